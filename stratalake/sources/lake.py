@@ -112,8 +112,9 @@ class Lake:
         """A layer table; with ``after_load`` only rows of later loads."""
         path = self.path(layer, table)
         load = self.latest(layer, table) if layer != "gold" else None
-        if load is None:  # a table nobody logged: Gold, or files put there by hand
-            return self.spark.read.option("mergeSchema", "true").parquet(path)
+        if load is None:  # Gold, a streamed table, or files put there by hand
+            merge = "true" if layer == "bronze" else "false"
+            return self.spark.read.option("mergeSchema", merge).parquet(path)
         schema = T.StructType(load.schema.fields + [T.StructField(LOAD_ID, T.LongType())])
         df = self.spark.read.schema(schema).parquet(path)
         oldest = load.first_load_id if after_load is None else max(load.first_load_id, after_load + 1)
