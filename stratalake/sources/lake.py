@@ -22,9 +22,18 @@ from stratalake.sources.storage import child_dirs, children, delete_dir, path_ex
 
 LAYERS = ("bronze", "silver", "gold")
 
-_LOAD_SCHEMA = T.StructType.fromDDL(
-    "load_id long, first_load_id long, source_type string, source_name string, mode string, "
-    "rows long, watermark_col string, last_watermark_value string, schema string"
+_LOAD_SCHEMA = T.StructType(
+    [
+        T.StructField("load_id", T.LongType()),
+        T.StructField("first_load_id", T.LongType()),
+        T.StructField("source_type", T.StringType()),
+        T.StructField("source_name", T.StringType()),
+        T.StructField("mode", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("watermark_col", T.StringType()),
+        T.StructField("last_watermark_value", T.StringType()),
+        T.StructField("schema", T.StringType()),
+    ]
 )
 _LOG_SCHEMA = T.StructType(_LOAD_SCHEMA.fields + [T.StructField("last_ingested", T.TimestampType())])
 

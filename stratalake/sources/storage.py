@@ -46,9 +46,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     The session's ``spark.checkpoint.dir`` names the shared folder. Without it only a
     local-mode session may fall back to this machine's temporary folder.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/stratalake/{name}-{uuid.uuid4().hex}"
     if spark.sparkContext.master.startswith("local"):

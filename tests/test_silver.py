@@ -1,0 +1,115 @@
+import datetime as dt
+
+import pytest
+from fixtures import LEAVE_CSV, ROUTES_CSV, TICKETS_JSON, TRANSACTIONS_JSON, silver_of
+from pyspark.errors import ArithmeticException
+from pyspark.sql import functions as F
+
+from stratalake import build_silver, load_bronze, to_silver
+from stratalake.functions.schema import infer_key
+from stratalake.operators.silver import snake_case_columns
+
+
+@pytest.mark.parametrize(
+    "name, text, key, before, after, types",
+    [
+        ("ticket_events.json", TICKETS_JSON, "agent_id", 6, 4, {"agent_id": "int", "resolved": "string"}),
+        ("transactions.json", TRANSACTIONS_JSON, "customer_id", 8, 4, {"amount": "float", "txn_timestamp": "string"}),
+        ("leave_logs.csv", LEAVE_CSV, "leave_id", 4, 4, {"employee_id": "int", "start_date": "date"}),
+        ("route_telemetry.csv", ROUTES_CSV, "dispatch_id", 4, 4, {"distance_miles": "float"}),
+    ],
+)
+def test_sample_sources(spark, tmp_path, name, text, key, before, after, types):
+    bronze, silver, load = silver_of(spark, tmp_path, name, text)
+    assert infer_key(bronze.schema) == key
+    assert (bronze.count(), silver.count(), load.rows) == (before, after, after)
+    assert {c: dict(silver.dtypes)[c] for c in types} == types
+    assert {"_ingestion_timestamp", "_source_name", "_load_mode"} <= set(silver.columns)
+
+
+def test_camel_case_order_items(spark):
+    items = spark.createDataFrame([(1, 2, 3, 4)], "OrderItemID int, OrderID int, ProductID int, Quantity int")
+    items = items.withColumn("UnitPrice", F.lit("9.99").cast("decimal(10,2)"))
+    silver = to_silver(items)
+    assert infer_key(items.schema) == "order_item_id"
+    assert silver.dtypes[0] == ("order_item_id", "int") and silver.dtypes[-1] == ("unit_price", "float")
+
+
+def test_every_type(spark):
+    df = spark.sql("""
+        SELECT 1L AS id, 1Y AS b, 2S AS s, 1.5D AS d, 2.5F AS f, 1.25BD AS dec, true AS flag, X'41' AS bin,
+               DATE'2024-01-01' AS day, TIMESTAMP'2024-01-01 00:00:00' AS ts,
+               TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ntz,
+               array(1, 2) AS arr, map('a', 1) AS m, named_struct('x', 1) AS st
+    """)
+    assert dict(to_silver(df).dtypes) == {
+        "id": "int", "b": "int", "s": "int", "d": "float", "f": "float", "dec": "float", "flag": "string",
+        "bin": "string", "day": "date", "ts": "timestamp", "ntz": "timestamp_ntz",
+        "arr": "string", "m": "string", "st": "string",
+    }
+    wide = dict(to_silver(df, widen=True, keep_boolean=True).dtypes)
+    assert (wide["id"], wide["d"], wide["dec"], wide["flag"]) == ("bigint", "double", "decimal(3,2)", "boolean")
+    row = to_silver(df, nested="json").collect()[0]
+    assert (row.arr, row.m, row.st, row.flag) == ("[1,2]", '{"a":1}', '{"x":1}', "true")
+    assert row.ntz == dt.datetime(2024, 1, 1)
+    with pytest.raises(ValueError):
+        to_silver(df, nested="xml")
+
+
+def test_overflow_is_loud(spark):
+    df = spark.createDataFrame([(5_000_000_000,)], "id long")
+    with pytest.raises(ArithmeticException):
+        to_silver(df).collect()
+    assert to_silver(df, widen=True).collect()[0].id == 5_000_000_000
+
+
+def test_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, None), (None, "b")], "order_id int, code string")
+    assert to_silver(df).count() == 2
+    assert to_silver(df, pk="code").count() == 2
+    assert to_silver(df, dedupe=True).count() == 1
+    with pytest.raises(ValueError, match="not a column"):
+        to_silver(df, pk="nothing")
+
+
+def test_name_clash_is_refused(spark):
+    with pytest.raises(ValueError, match="both become"):
+        to_silver(spark.createDataFrame([(1, 2)], "orderId int, order_id int"))
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, 2)], "`a.b` int, `Two Words` int")
+    assert to_silver(df).columns == ["a.b", "two _words"]
+    assert snake_case_columns(df).columns == ["a.b", "two _words"]
+
+
+def test_key_filter_reaches_the_scan(spark, tmp_path):
+    spark.range(10).toDF("OrderID").write.parquet(str(tmp_path / "t"))
+    plan = to_silver(spark.read.parquet(str(tmp_path / "t")))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(OrderID)" in text and "Exchange" not in text
+
+
+def test_incremental_silver_reads_new_loads_only(spark, lake):
+    def bronze(n, mode="incremental"):
+        load_bronze(lake, "t_bronze", spark.range(n).toDF("row_id"), "src", mode, watermark_col="row_id")
+
+    bronze(10)
+    assert build_silver(lake, "t_bronze", incremental=True).rows == 10
+    bronze(15)
+    second = build_silver(lake, "t_bronze", incremental=True)
+    assert (second.rows, second.mode) == (5, "incremental")
+    assert build_silver(lake, "t_bronze", incremental=True) == second  # nothing new, nothing done
+    assert lake.read("silver", "t_silver").count() == 15
+    bronze(3, "full")
+    assert build_silver(lake, "t_bronze", incremental=True).mode == "full"
+    assert lake.read("silver", "t_silver").count() == 3
+    assert build_silver(lake, "t_bronze", pk="_source_name").rows == 3
+
+
+def test_silver_rewrite_with_fewer_rows(spark, lake):
+    df = spark.createDataFrame([(1, None), (2, None)], "row_id int, other_id int")
+    load_bronze(lake, "t_bronze", df, "src")
+    assert build_silver(lake, "t_bronze").rows == 2
+    assert build_silver(lake, "t_bronze", pk="other_id").rows == 0
+    assert lake.read("silver", "t_silver").count() == 0

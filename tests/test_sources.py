@@ -1,0 +1,105 @@
+from types import SimpleNamespace
+
+import pytest
+from fixtures import LEAVE_CSV, TICKETS_JSON, TRANSACTIONS_JSON
+from pyspark.sql import types as T
+
+from stratalake import Lake, read_source
+from stratalake.sources import storage
+from stratalake.sources.files import MissingSource, files_exist, format_of
+
+
+def _write(tmp_path, name, text):
+    path = tmp_path / name
+    path.write_text(text)
+    return str(path)
+
+
+def test_format_of():
+    assert [format_of(p) for p in ("a.CSV", "x/b.tsv", "c.json/", "noext", "d.parquet", ".hidden")] == [
+        "csv", "tsv", "json", "csv", "parquet", "csv",
+    ]
+
+
+def test_csv_comments_and_types(spark, tmp_path):
+    df = read_source(spark, _write(tmp_path, "leave_logs.csv", LEAVE_CSV))
+    assert df.count() == 4
+    assert [f.dataType for f in df.schema.fields] == [
+        T.StringType(), T.IntegerType(), T.StringType(), T.DateType(), T.DateType(), T.StringType(),
+    ]
+
+
+def test_csv_comment_can_be_kept(spark, tmp_path):
+    path = _write(tmp_path, "paths.csv", "path,n\n/usr,1\nhome,2\n")
+    assert read_source(spark, path).count() == 1
+    assert read_source(spark, path, comment=None).count() == 2
+
+
+def test_tsv_by_suffix_and_by_name(spark, tmp_path):
+    path = _write(tmp_path, "t.tsv", "a\tb\n1\tx,y\n")
+    assert read_source(spark, path).collect()[0].b == "x,y"
+    other = _write(tmp_path, "t.txt", "a\tb\n1\tx\n")
+    assert read_source(spark, other, "tsv").columns == ["a", "b"]
+
+
+def test_unknown_format_reads_csv_with_all_lines(spark, tmp_path):
+    path = _write(tmp_path, "t.dat", "a,b\n1,x\n/2,y\n")
+    assert read_source(spark, path).count() == 2
+
+
+def test_json_lines_bad_records(spark, tmp_path):
+    df = read_source(spark, _write(tmp_path, "t.json", TICKETS_JSON))
+    assert df.columns[0] == "_corrupt_record" and df.columns[1:] == sorted(df.columns[1:])
+    assert df.cache().where("_corrupt_record is not null").count() == 2
+    assert df.count() == 6
+
+
+def test_pretty_json_read_whole(spark, tmp_path):
+    df = read_source(
+        spark, _write(tmp_path, "t.json", TRANSACTIONS_JSON), multi_line=True, allow_comments=True
+    )
+    assert df.columns == ["amount", "customer_id", "transaction_id", "txn_timestamp"]
+    assert df.count() == 4
+
+
+def test_explicit_schema_spares_inference(spark, tmp_path):
+    path = _write(tmp_path, "t.csv", "a,b\n1,2\n")
+    df = read_source(spark, path, schema="a string, b bigint")
+    assert df.schema.simpleString() == "struct<a:string,b:bigint>"
+    assert df.collect()[0].b == 2
+
+
+def test_missing(spark, tmp_path):
+    with pytest.raises(MissingSource):
+        read_source(spark, str(tmp_path / "nowhere.csv"))
+    path = _write(tmp_path, "t.csv", "a\n1\n")
+    rows = files_exist(spark, [path, path + "x"]).collect()
+    assert [r["exists"] for r in rows] == [True, False]
+
+
+def _session(master, shared=None):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: shared if key == "spark.checkpoint.dir" else default),
+        sparkContext=SimpleNamespace(master=master),
+    )
+
+
+def test_scratch_folder():
+    shared = _session("yarn", "s3a://bucket/tmp/")
+    a, b = (storage.scratch_dir(shared, "x") for _ in range(2))
+    assert a != b and a.startswith("s3a://bucket/tmp/stratalake/x-")
+    assert storage.scratch_dir(_session("local[2]"), "x") != storage.scratch_dir(_session("local[2]"), "x")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.scratch_dir(_session("yarn"), "x")
+
+
+def test_gold_overwrite_counts_in_one_pass(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    assert lake.overwrite("gold", "t", spark.range(100)) == 100
+    assert lake.overwrite("gold", "t", spark.range(7)) == 7
+    assert lake.read("gold", "t").count() == 7
+    assert lake.overwrite("gold", "t", spark.range(0)) == 0
+    with pytest.raises(ValueError):
+        lake.path("gold", "../t")
+    with pytest.raises(ValueError):
+        lake.path("copper", "t")
