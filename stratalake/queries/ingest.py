@@ -148,7 +148,7 @@ def bronze_append_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("""
     SELECT load_id, mode, n, CAST(high AS VARCHAR) AS high FROM (
-        SELECT 1 AS load_id, 'incremental' AS mode, count(*) AS n, max(event_id) AS high
+        SELECT CAST(1 AS BIGINT) AS load_id, 'incremental' AS mode, count(*) AS n, max(event_id) AS high
         FROM events WHERE ts < '2024-01-16'
         UNION ALL
         SELECT 2, 'incremental', count(*) FILTER (ts >= '2024-01-16'), max(event_id) FROM events

@@ -162,14 +162,14 @@ def crowded(spark):
     dimension key comes twice."""
     n = 6000
     key = F.expr(f"CASE WHEN id < {n // 3} THEN 7 WHEN id < {n // 3 + n // 10} THEN NULL ELSE id % 50 END")
-    facts = spark.range(n).select(
+    facts = spark.range(0, n, 1, 3).select(
         key.cast("int").alias("k"),
         (F.col("id") % 13).cast("int").alias("x"),
         F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 5).alias("y"),
         F.concat(F.lit("t"), F.col("id") % 3).alias("t"),
         F.expr("cast(id % 7 as decimal(8,2))").alias("d"),
     )
-    dims = spark.range(5, 60).select(
+    dims = spark.range(5, 60, 1, 1).select(
         F.col("id").cast("int").alias("k"), F.concat(F.lit("g"), F.col("id") % 4).alias("g"), F.col("id").alias("w")
     )
     dims = dims.unionByName(spark.createDataFrame([(7, "g1", 1), (None, "g2", 2)], "k int, g string, w long"))
@@ -204,7 +204,7 @@ def _plain(rows):
 @pytest.mark.parametrize("strategy", STRATEGIES)
 @pytest.mark.parametrize("first, second", [("facts", "dims"), ("dims", "facts")])
 @pytest.mark.parametrize("kind", ["left", "full"])
-@pytest.mark.parametrize("group", [["g"], ["k"], ["k", "t"], []])
+@pytest.mark.parametrize("group", [["g"], ["k", "t"], []])
 def test_strategies_agree_with_sql(spark, crowded, strategy, first, second, kind, group):
     plan = {
         "source_tables": [first, second],
