@@ -103,8 +103,8 @@ def load_bronze(
         batch, schema = align(batch, previous.schema)
         if lookback is not None and previous.last_watermark_value is not None:
             keys = [key] if isinstance(key, str) else list(key)
-            stored = newer_than(lake.read("bronze", table), watermark_col, previous, lookback)
-            batch = batch.join(stored.select(*keys).distinct(), keys, "left_anti")
+            stored = newer_than(lake.read("bronze", table, load=previous), watermark_col, previous, lookback)
+            batch = batch.join(stored.select(*keys), keys, "left_anti")
     else:
         batch = with_audit(df, source_name, mode)
     return lake.write_load(

@@ -27,7 +27,7 @@ def layer_catalog(lake: Lake, layers=LAYERS) -> DataFrame:
     """(layer, table_name, rows, columns) of every table, over whole directories."""
     parts = []
     for layer in layers:
-        tables = {t: lake.read(layer, t) for t in lake.tables(layer)}
+        tables = lake.read_all(layer)
         if tables:
             parts.append(row_counts(tables).select(F.lit(layer).alias("layer"), "*"))
     if not parts:
@@ -72,8 +72,8 @@ def register_views(lake: Lake, layers=LAYERS) -> list[str]:
     """A temporary view per table of the layers; ``-`` in a name becomes ``_``."""
     names = []
     for layer in layers:
-        for table in lake.tables(layer):
-            lake.read(layer, table).createOrReplaceTempView(view_name(table))
+        for table, df in lake.read_all(layer).items():
+            df.createOrReplaceTempView(view_name(table))
             names.append(view_name(table))
     return names
 

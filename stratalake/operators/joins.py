@@ -31,14 +31,20 @@ def full_join(fact: DataFrame, dim: DataFrame, key: str, left=left_join) -> Data
     """Full outer join with one coalesced key, as a left join plus the dimension rows no fact has.
 
     Spark can neither broadcast a side of a full outer join nor split its crowded keys. The
-    left join allows both, and the second part needs only the distinct keys of the fact,
-    which are combined before they are shuffled.
+    left join allows both. The second part needs only the distinct keys of the fact, combined
+    before they are shuffled; next to a dimension small enough to broadcast, those the
+    dimension lacks are left out first, so no more keys move than the dimension has.
     """
-    unmatched = dim.join(fact.select(key).distinct(), key, "left_anti")
+    keys = fact.select(key)
+    if is_broadcastable(dim):
+        keys = keys.join(dim.select(key), key, "left_semi")
+    unmatched = dim.join(keys.distinct(), key, "left_anti")
     return left(fact, dim, key).unionByName(unmatched, allowMissingColumns=True)
 
 
-def hot_keys(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(
+    left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE
+) -> DataFrame:
     """Keys that hold at least ``share`` of a side's non-null rows: (key, _hot_left, _hot_right).
 
     At most 1/share keys per side can. Rows are counted per key in their own task first, so a
@@ -63,7 +69,12 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def spread_left_join(
-    left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE, salts: int = SALTS
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    share: float = HOT_SHARE,
+    salts: int = SALTS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left join that cuts crowded keys of either side into ``salts`` parts.
 
@@ -73,14 +84,15 @@ def spread_left_join(
     instead of inheriting the crowded partition.
 
     The two lists of crowded keys hold at most 1/share keys each; that bound is why they
-    may be broadcast.
+    may be broadcast. ``counted`` stands in for the left side when its keys are counted: the
+    table the key column comes from, so that earlier joins need not run twice.
 
     A row's part comes from its place in the scan (``deal``), so that exact copies part too. A
     retried task must deal the same way: when a side is itself the result of a shuffle, add
     the column with ``dealt`` before that shuffle.
     """
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    hot = hot_keys(left, right, key, share)
+    hot = hot_keys(left if counted is None else counted, right, key, share)
     hot_left = F.coalesce("_hot_left", F.lit(False))
     hot_right = F.coalesce("_hot_right", F.lit(False))
 
@@ -115,5 +127,7 @@ def is_broadcastable(df: DataFrame) -> bool:
     """Is the size estimate under the session's broadcast limit?"""
     spark = df.sparkSession
     raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    if raw.strip().startswith("-"):  # broadcasting is off
+        return False
     limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(raw)
-    return limit > 0 and estimated_bytes(df) <= limit
+    return estimated_bytes(df) <= limit

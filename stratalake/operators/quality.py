@@ -45,7 +45,7 @@ def key_coverage(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str |
 
 def orphans(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str | None = None) -> DataFrame:
     """The fact rows whose key the dimension lacks (rows without a key are none)."""
-    known = dim.select(F.col(dim_key or fact_key).alias(fact_key)).distinct()
+    known = dim.select(F.col(dim_key or fact_key).alias(fact_key))
     return fact.where(F.col(fact_key).isNotNull()).join(known, fact_key, "left_anti")
 
 

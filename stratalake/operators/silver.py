@@ -68,7 +68,7 @@ def build_silver(
     )
     if add and done.load_id == source.load_id:
         return done
-    bronze = lake.read("bronze", bronze_table, after_load=done.load_id if add else None)
+    bronze = lake.read("bronze", bronze_table, done.load_id if add else None, load=source)
     silver = to_silver(bronze, pk, widen, keep_boolean, nested)
     schema = None
     if add:

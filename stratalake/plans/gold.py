@@ -61,7 +61,7 @@ def build_gold(
       Needs every aggregate to read one table only.
     * ``spread``: join with crowded keys cut in parts (see ``spread_left_join``).
     * ``auto``: ``plain`` if all dimensions are under the broadcast limit, else ``two_step`` if
-      the plan allows it, else ``spread``.
+      the plan allows it, else ``spread`` for the dimensions over the limit.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -70,23 +70,31 @@ def build_gold(
     sides = _sides(tables, plan)
     plan = _plain_texts(plan, sides, as_of)
     plan = _known_columns(plan, sides, strict)
+    sides = [replace(s, df=_needed_columns(plan, sides, s)) for s in sides]
 
     grouped = _grouped(plan, sides, J.left_join)
-    if plan.joins and strategy != "plain":
-        needed = _tokens(*_texts(plan), *(s.key for s in sides if s.key))
-        thin = [s.df.select(*[c for c in s.df.columns if c.lower() in needed]) for s in sides]
-        big = not all(J.is_broadcastable(df) for df in thin[1:])
-        if strategy == "two_step" or (strategy == "auto" and big):
-            measured = _measured_side(plan, sides, thin)
-            if measured is not None:
-                grouped = _two_step(plan, sides, measured, grouped.schema)
-            elif strategy == "two_step":
-                raise PlanError("two_step needs all aggregates to read one table")
-            else:
-                strategy = "spread"
-        if strategy == "spread":
-            fact = replace(sides[0], df=J.dealt(sides[0].df))
-            grouped = _grouped(plan, [fact, *sides[1:]], J.spread_left_join)
+    if not plan.joins or strategy == "plain":
+        return _finished(plan, grouped)
+
+    large = [s for s in sides[1:] if not J.is_broadcastable(s.df)]
+    measured = _measured_side(plan, sides)
+    if strategy == "auto":
+        if not large:
+            return _finished(plan, grouped)
+        if measured == 0 and _grouping_stays_fine(plan, large):
+            # Combining first would save no rows, and the group-by shuffles anew after the join,
+            # so adaptive execution can split crowded fact keys.
+            return _finished(plan, grouped)
+        strategy = "spread" if measured is None else "two_step"
+    else:
+        large = sides[1:]
+    if strategy == "two_step":
+        if measured is None:
+            raise PlanError("two_step needs all aggregates to read one table")
+        grouped = _two_step(plan, sides, measured, grouped.schema)
+    else:
+        spread = _spreading(sides, {s.key for s in large})
+        grouped = _grouped(plan, [replace(sides[0], df=J.dealt(sides[0].df)), *sides[1:]], spread)
     return _finished(plan, grouped)
 
 
@@ -137,6 +145,12 @@ def _texts(plan: GoldPlan) -> list[str]:
     )
 
 
+def _needed_columns(plan: GoldPlan, sides: list[Side], side: Side) -> DataFrame:
+    """The columns of a side the plan reads; its size estimate is then that of what moves."""
+    needed = _tokens(*_texts(plan), *(s.key for s in sides if s.key))
+    return side.df.select(*[f"`{c}`" for c in side.df.columns if c.lower() in needed])
+
+
 def _plain_texts(plan: GoldPlan, sides: list[Side], as_of: str | None) -> GoldPlan:
     """Drop table qualifiers (prepared sides share no names) and fix the current date."""
     columns = {s.name.lower(): {c.lower() for c in s.df.columns} for s in sides}
@@ -219,6 +233,23 @@ def _fold(sides: list[Side], left_join) -> DataFrame:
     return df
 
 
+def _spreading(sides: list[Side], keys: set[str]):
+    """A left join that spreads crowded keys for the given join keys.
+
+    Left keys are counted on the table the key column comes from, which costs a scan of one
+    column instead of the joins so far. A key that only the joined rows crowd is left to
+    adaptive execution, which splits the left side of a left join.
+    """
+
+    def join(left: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+        if key not in keys:
+            return J.left_join(left, dim, key)
+        home = next(s.df for s in sides if key in s.df.columns)
+        return J.spread_left_join(left, dim, key, counted=home)
+
+    return join
+
+
 def _filtered(df: DataFrame, filters: list[str]) -> DataFrame:
     for text in filters:
         df = _analysed(f"filter {text!r}", lambda df=df, text=text: df.where(F.expr(text)))
@@ -281,7 +312,7 @@ def _own_pre_columns(plan: GoldPlan, df: DataFrame, known: set[str]) -> tuple[Da
     return df, own
 
 
-def _measured_side(plan: GoldPlan, sides: list[Side], thin: list[DataFrame]) -> int | None:
+def _measured_side(plan: GoldPlan, sides: list[Side]) -> int | None:
     """The largest table that all aggregates can be computed on."""
     if any(a.is_opaque for a in plan.aggregations):
         return None
@@ -292,7 +323,13 @@ def _measured_side(plan: GoldPlan, sides: list[Side], thin: list[DataFrame]) ->
         df, _ = _own_pre_columns(plan, side.df, known)
         if all(_reads_only(df, c, known) for c in inputs):
             fits.append(i)
-    return max(fits, key=lambda i: J.estimated_bytes(thin[i]), default=None)
+    return max(fits, key=lambda i: J.estimated_bytes(sides[i].df), default=None)
+
+
+def _grouping_stays_fine(plan: GoldPlan, large: list[Side]) -> bool:
+    """Counting distinct values keeps them in the first grouping, which then combines little."""
+    distinct = any(a.func == "COUNT_DISTINCT" for a in plan.aggregations)
+    return distinct and not {s.key.lower() for s in large} & _tokens(*plan.group_by)
 
 
 def _two_step(plan: GoldPlan, sides: list[Side], m: int, schema: T.StructType) -> DataFrame:

@@ -34,13 +34,15 @@ def read_source(
     multi_line: bool = False,
     allow_comments: bool = False,
     sampling_ratio: float | None = None,
+    merge_schema: bool = False,
 ) -> DataFrame:
     """Read a file or directory in the given format (default: the suffix decides).
 
     CSV and TSV have a header; lines that start with ``comment`` are skipped (pass None to
     keep them). JSON is one object per line; lines that do not parse land in
     ``_corrupt_record``. ``multi_line`` and ``allow_comments`` read pretty-printed or
-    commented JSON whole instead. A format this reader does not know is read as
+    commented JSON whole instead. ``merge_schema`` puts the columns of differing Parquet files
+    together. A format this reader does not know is read as
     plain CSV with a header.
 
     Without ``schema`` CSV and JSON cost one more pass over the input to infer it; on large
@@ -56,7 +58,7 @@ def read_source(
         reader = reader.option("samplingRatio", sampling_ratio)
 
     if fmt == "parquet":
-        return reader.parquet(path)
+        return reader.parquet(path, mergeSchema=merge_schema)
     if fmt == "json":
         return reader.json(path, multiLine=multi_line, allowComments=allow_comments)
     if fmt not in FORMATS:

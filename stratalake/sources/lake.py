@@ -13,7 +13,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +86,7 @@ class Lake:
         schema = T.StructType(_LOG_SCHEMA.fields + [T.StructField("table_name", T.StringType())])
         if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
 
     def load_state(self, layer: str = "bronze") -> DataFrame:
         """The latest load per table."""
@@ -96,31 +96,43 @@ class Lake:
         return log.groupBy("table_name").agg(latest).select("table_name", "l.*")
 
     def latest(self, layer: str, table: str) -> Load | None:
+        """The latest committed load of a table; reads one small file however many loads there were."""
         path = self._log_path(layer, table)
-        if not path_exists(self.spark, path):
-            return None
-        log = self.spark.read.schema(_LOG_SCHEMA).parquet(path)
-        row = log.orderBy(F.desc("load_id"), F.desc("last_ingested")).first()
-        if row is None:
-            return None
-        values = {f: row[f] for f in _LOAD_SCHEMA.names}
-        values["schema"] = T.StructType.fromJson(json.loads(row["schema"]))
-        return Load(**values)
+        ids = [int(n.split("=")[1]) for n in child_dirs(self.spark, path) if n.startswith("load=")]
+        for load_id in sorted(ids, reverse=True):
+            log = self.spark.read.schema(_LOG_SCHEMA).parquet(f"{path}/load={load_id}")
+            row = log.orderBy(F.desc("last_ingested")).first()
+            if row is not None:  # else a commit that did not finish
+                return _load_of(row)
+        return None
+
+    def latest_loads(self, layer: str) -> dict[str, Load]:
+        """The same for all tables of a layer, in one job."""
+        return {row["table_name"]: _load_of(row) for row in self.load_state(layer).collect()}
 
     def _commit(self, layer: str, table: str, load: Load) -> None:
         values = {**load.__dict__, "schema": load.schema.json()}
-        row = self.spark.createDataFrame([tuple(values[f] for f in _LOAD_SCHEMA.names)], _LOAD_SCHEMA)
-        row = row.withColumn("last_ingested", F.current_timestamp())
-        row.coalesce(1).write.mode("append").parquet(self._log_path(layer, table))
+        row = self.spark.range(0, 1, 1, 1).select(
+            *[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in _LOAD_SCHEMA.fields],
+            F.current_timestamp().alias("last_ingested"),
+        )
+        row.write.mode("append").parquet(f"{self._log_path(layer, table)}/load={load.load_id}")
 
     # -- read ----------------------------------------------------------------
 
     def read(
-        self, layer: str, table: str, after_load: int | None = None, with_load_id: bool = False
+        self,
+        layer: str,
+        table: str,
+        after_load: int | None = None,
+        with_load_id: bool = False,
+        load: Load | None = None,
     ) -> DataFrame:
-        """A layer table; with ``after_load`` only rows of later loads."""
+        """A layer table as of its latest committed load (or the given one); with ``after_load``
+        only rows of later loads."""
         path = self.path(layer, table)
-        load = self.latest(layer, table) if layer != "gold" else None
+        if load is None and layer != "gold":
+            load = self.latest(layer, table)
         if load is None:  # Gold, a streamed table, or files put there by hand
             merge = "true" if layer == "bronze" else "false"
             return self.spark.read.option("mergeSchema", merge).parquet(path)
@@ -130,6 +142,11 @@ class Lake:
         df = df.where(F.col(LOAD_ID).between(oldest, load.load_id))
         return df if with_load_id else df.drop(LOAD_ID)
 
+    def read_all(self, layer: str) -> dict[str, DataFrame]:
+        """Every table of a layer."""
+        loads = self.latest_loads(layer) if layer != "gold" else {}
+        return {t: self.read(layer, t, load=loads.get(t)) for t in self.tables(layer)}
+
     # -- write ---------------------------------------------------------------
 
     def write_load(
@@ -223,6 +240,12 @@ class Lake:
         return seen.get["rows"]
 
 
+def _load_of(row: Row) -> Load:
+    values = {f: row[f] for f in _LOAD_SCHEMA.names}
+    values["schema"] = T.StructType.fromJson(json.loads(row["schema"]))
+    return Load(**values)
+
+
 def watermark_text(df: DataFrame, column: str):
     """``max(column)`` as text that reads back the same in any session time zone."""
     high = F.max(F.col(column))
