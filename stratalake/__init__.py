@@ -2,10 +2,10 @@
 
 from stratalake.operators.bronze import load_bronze, with_audit
 from stratalake.operators.silver import build_silver, to_silver
-from stratalake.plans.gold import build_gold, write_gold
+from stratalake.plans.gold import build_gold, run_gold, write_gold
 from stratalake.plans.resolve import gold_from_columns, plan_from_columns, shared_keys
 from stratalake.plans.spec import GoldPlan, PlanError
-from stratalake.plans.summary import auto_summary, summary_plan
+from stratalake.plans.summary import auto_summary, run_summary, summary_plan
 from stratalake.runs import SourceSpec, run_layers
 from stratalake.sources.files import read_source
 from stratalake.sources.jdbc import JdbcTable, read_jdbc, tables_exist
@@ -27,7 +27,9 @@ __all__ = [
     "plan_from_columns",
     "read_jdbc",
     "read_source",
+    "run_gold",
     "run_layers",
+    "run_summary",
     "shared_keys",
     "summary_plan",
     "tables_exist",

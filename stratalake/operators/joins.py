@@ -42,25 +42,21 @@ def full_join(fact: DataFrame, dim: DataFrame, key: str, left=left_join) -> Data
     return left(fact, dim, key).unionByName(unmatched, allowMissingColumns=True)
 
 
-def hot_keys(
-    left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE
-) -> DataFrame:
-    """Keys that hold at least ``share`` of a side's non-null rows: (key, _hot_left, _hot_right).
+def hot_keys(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold at least ``share`` of the non-null rows of both sides together, and which
+    side holds more of them: (key, _hot_left, _hot_right). At most 1/share keys can.
 
-    At most 1/share keys per side can. Rows are counted per key in their own task first, so a
-    crowded key reaches the shuffle as one row per task.
+    Rows are counted per key in their own task first, so a crowded key reaches the shuffle as one
+    row per task.
     """
     keys = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
         right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
     counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    totals = counts.agg(F.struct(F.sum("l").alias("l"), F.sum("r").alias("r"))).scalar()
-    shares = counts.withColumn("t", totals)
-    return shares.select(
-        key,
-        ((F.col("l") > 0) & (F.col("l") >= F.col("t.l") * share)).alias("_hot_left"),
-        ((F.col("r") > 0) & (F.col("r") >= F.col("t.r") * share)).alias("_hot_right"),
-    ).where("_hot_left or _hot_right")
+    total = counts.agg(F.sum(F.col("l") + F.col("r"))).scalar()
+    return counts.where(F.col("l") + F.col("r") >= total * share).select(
+        key, (F.col("l") >= F.col("r")).alias("_hot_left"), (F.col("l") < F.col("r")).alias("_hot_right")
+    )
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -76,15 +72,14 @@ def spread_left_join(
     salts: int = SALTS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join that cuts crowded keys of either side into ``salts`` parts.
+    """Left join that cuts crowded keys into ``salts`` parts.
 
-    Rows of a key crowded on one side are dealt out over the parts, and the matching rows of
-    the other side are repeated in each. Other keys are joined as usual. The join runs on
+    The side with more rows of a crowded key deals them out over the parts, the other side
+    repeats its rows in each. Other keys are joined as usual. The join runs on
     (key, part), so a later group-by on the key shuffles again, after a partial aggregate,
     instead of inheriting the crowded partition.
 
-    The two lists of crowded keys hold at most 1/share keys each; that bound is why they
-    may be broadcast. ``counted`` stands in for the left side when its keys are counted: the
+    There are at most 1/share crowded keys; that bound is why their list may be broadcast. ``counted`` stands in for the left side when its keys are counted: the
     table the key column comes from, so that earlier joins need not run twice.
 
     A row's part comes from its place in the scan (``deal``), so that exact copies part too. A
@@ -102,17 +97,16 @@ def spread_left_join(
         parts = F.when(repeat, every).when(deal_out, F.array(part)).otherwise(F.array(F.lit(0)))
         return df.withColumn("_part", F.explode(parts)).drop("_hot_left")
 
-    # A key crowded on both sides is dealt out on the right and repeated on the left.
     # Null keys match nothing; they are dealt out so that they do not crowd one task.
     lefts = parted(left, hot_left | F.col(key).isNull(), hot_right).withColumn(
         "_repeated", hot_right
     )
-    rights = parted(right, hot_right, hot_left & ~hot_right).withColumn("_matched", F.lit(True))
+    rights = parted(right, hot_right, hot_left).withColumn("_matched", F.lit(True))
     joined = lefts.drop("_hot_right").join(
         rights.drop("_hot_right", DEAL), [key, "_part"], "left"
     )
-    # A repeated left row has a match in some part (its key is crowded on the right), so its
-    # copies in parts without one are no result rows.
+    # A repeated left row has a match in some part (the right side holds more rows of its key
+    # than the left), so its copies in parts without one are no result rows.
     stray = F.col("_repeated") & F.col("_matched").isNull()
     joined = joined.where(~stray).drop("_part", "_repeated", "_matched")
     return joined if DEAL in left.columns else joined.drop(DEAL)

@@ -103,6 +103,14 @@ def write_gold(lake: Lake, df: DataFrame, destination: str) -> int:
     return lake.overwrite("gold", destination, df)
 
 
+def run_gold(lake: Lake, plan: dict | GoldPlan, **options) -> int:
+    """Read the plan's Silver tables, build and store its Gold table; returns the row count."""
+    plan = GoldPlan.from_dict(plan)
+    names = {plan.fact, *(j.dim for j in plan.joins)}
+    tables = {n: lake.read("silver", n) for n in names}
+    return write_gold(lake, build_gold(tables, plan, **options), plan.destination)
+
+
 # -- preparing ------------------------------------------------------------------
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from stratalake.functions.names import summary_name
 from stratalake.functions.schema import infer_key, is_id_name, is_numeric, is_temporal
 from stratalake.operators.aggregates import Aggregate
-from stratalake.plans.gold import build_gold
+from stratalake.plans.gold import build_gold, write_gold
 from stratalake.plans.spec import GoldPlan, PlanError
+from stratalake.sources.lake import Lake
 
 # String columns with these endings identify rows rather than group them.
 _NOT_DIMENSION = ("_id", "_email", "_name")
@@ -90,3 +91,9 @@ def auto_summary(
     """The default summary, largest groups first (``ordered=False`` spares the global sort)."""
     out = build_gold({table: df}, summary_plan(df.schema, table, key, group_by, measures))
     return out.orderBy(F.desc("record_count")) if ordered else out
+
+
+def run_summary(lake: Lake, silver_table: str) -> int:
+    """Store the default summary of a Silver table in Gold; returns the row count."""
+    summary = auto_summary(lake.read("silver", silver_table), silver_table)
+    return write_gold(lake, summary, summary_name(silver_table))

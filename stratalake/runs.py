@@ -10,14 +10,16 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
-from stratalake.functions.names import bronze_name, silver_name
+from stratalake.functions.names import bronze_name, silver_name, summary_name
 from stratalake.operators.bronze import load_bronze
 from stratalake.operators.silver import build_silver
-from stratalake.plans.gold import build_gold, write_gold
+from stratalake.plans.gold import run_gold
 from stratalake.plans.spec import GoldPlan
-from stratalake.sources.files import read_source
+from stratalake.plans.summary import run_summary
+from stratalake.sources.files import format_of, read_source
 from stratalake.sources.jdbc import JdbcTable, read_jdbc
 from stratalake.sources.lake import Lake
+from stratalake.streaming.files import ingest_new_files
 
 log = logging.getLogger(__name__)
 
@@ -26,7 +28,11 @@ RESULT = "layer string, table_name string, status string, rows long, error strin
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """One source: a file path or a JDBC table, and how to load it."""
+    """One source: a file path or a JDBC table, and how to load it.
+
+    An incremental load takes the rows above the stored ``watermark_col``. Without one, a file
+    source takes the files it has not seen before; a JDBC source is appended whole.
+    """
 
     source: str | JdbcTable
     mode: str = "full"
@@ -40,35 +46,56 @@ class SourceSpec:
     widen: bool = False
     name: str | None = None
 
+    @property
+    def is_jdbc(self) -> bool:
+        return isinstance(self.source, JdbcTable)
+
     @property
     def label(self) -> str:
-        return self.source.table if isinstance(self.source, JdbcTable) else self.source
+        return self.source.table if self.is_jdbc else self.source
 
     @property
     def bronze_table(self) -> str:
-        kind = "jdbc" if isinstance(self.source, JdbcTable) else "file"
-        return self.name or bronze_name(self.label, kind)
+        return self.name or bronze_name(self.label, "jdbc" if self.is_jdbc else "file")
+
+    @property
+    def silver_table(self) -> str:
+        return silver_name(self.bronze_table)
 
     def read(self, lake: Lake) -> DataFrame:
-        if isinstance(self.source, JdbcTable):
-            return read_jdbc(
-                lake.spark,
-                self.source,
-                partition_column=self.partition_column,
-                num_partitions=self.num_partitions,
-            )
-        return read_source(lake.spark, self.source, self.fmt, self.schema)
+        if not self.is_jdbc:
+            return read_source(lake.spark, self.source, self.fmt, self.schema)
+        return read_jdbc(
+            lake.spark,
+            self.source,
+            partition_column=self.partition_column,
+            num_partitions=self.num_partitions,
+            lower=self._stored_watermark(lake),
+        )
+
+    def _stored_watermark(self, lake: Lake) -> str | None:
+        """Where the new rows start, to split only their range. (Time-zone dependent values are
+        kept as numbers in the load state and cannot serve.)"""
+        if self.mode != "incremental" or self.lookback or self.watermark_col != self.partition_column:
+            return None
+        load = lake.latest("bronze", self.bronze_table) if self.watermark_col else None
+        kinds = ("int", "bigint", "smallint", "date", "timestamp_ntz")
+        if load is None or load.schema[self.watermark_col].dataType.simpleString() not in kinds:
+            return None
+        return load.last_watermark_value
 
 
 def run_layers(
     lake: Lake,
     sources: Sequence[SourceSpec],
     plans: Sequence[dict | GoldPlan] = (),
+    summaries: bool = False,
     stop_on_failure: bool = True,
     incremental_silver: bool = False,
     concurrent: int = 4,
 ) -> DataFrame:
-    """Load every source into Bronze, make Silver of them, then build the Gold plans.
+    """Load every source into Bronze, make Silver of them, then build the Gold plans (and, with
+    ``summaries``, the default summary of every Silver table).
 
     Tables of a layer do not depend on each other; up to ``concurrent`` of them run at a time so
     that small ones do not leave the cluster idle. A failed table does not stop its
@@ -93,17 +120,20 @@ def run_layers(
     whole = len(loaded) == len(bronze)
 
     go = whole or not stop_on_failure
-    ready = [s for s in sources if s.bronze_table in loaded]
-    silver = [
-        (silver_name(s.bronze_table), lambda s=s: _silver(lake, s, incremental_silver))
-        for s in (ready if go else sources)
-    ]
+    ready = [s for s in sources if s.bronze_table in loaded] if go else sources
+    silver = [(s.silver_table, lambda s=s: _silver(lake, s, incremental_silver)) for s in ready]
     made = layer("silver", silver, go)
     whole = whole and len(made) == len(silver)
 
     go = whole or not stop_on_failure
     checked = [GoldPlan.from_dict(p) for p in plans]
-    gold = [(p.destination, lambda p=p: _gold(lake, p)) for p in checked]
+    gold = [(p.destination, lambda p=p: run_gold(lake, p)) for p in checked]
+    if summaries:
+        gold += [
+            (summary_name(s.silver_table), lambda s=s: run_summary(lake, s.silver_table))
+            for s in (ready if go else sources)
+            if s.silver_table in made or not go
+        ]
     layer("gold", gold, go)
     return lake.spark.createDataFrame(results, RESULT)
 
@@ -117,14 +147,17 @@ def _attempt(layer: str, table: str, job: Callable[[], int]) -> tuple:
 
 
 def _bronze(lake: Lake, spec: SourceSpec) -> int:
-    is_jdbc = isinstance(spec.source, JdbcTable)
+    if spec.mode == "incremental" and not spec.is_jdbc and not spec.watermark_col:
+        schema = spec.schema or spec.read(lake).schema
+        fmt = spec.fmt or format_of(spec.source)
+        return ingest_new_files(lake, spec.source, spec.bronze_table, schema, fmt)
     return load_bronze(
         lake,
         spec.bronze_table,
         spec.read(lake),
         spec.label,
         spec.mode,
-        source_type="jdbc" if is_jdbc else "file",
+        source_type="jdbc" if spec.is_jdbc else "file",
         watermark_col=spec.watermark_col,
         lookback=spec.lookback,
         key=spec.pk,
@@ -135,9 +168,3 @@ def _silver(lake: Lake, spec: SourceSpec, incremental: bool) -> int:
     return build_silver(
         lake, spec.bronze_table, pk=spec.pk, widen=spec.widen, incremental=incremental
     ).rows
-
-
-def _gold(lake: Lake, plan: GoldPlan) -> int:
-    names = {plan.fact, *plan.source_tables, *(j.dim for j in plan.joins)}
-    tables = {n: lake.read("silver", n) for n in names}
-    return write_gold(lake, build_gold(tables, plan), plan.destination)

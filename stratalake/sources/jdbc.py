@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.functions.schema import is_numeric
+
 POSTGRES_DRIVER = "org.postgresql.Driver"
 
 
@@ -46,11 +48,19 @@ class JdbcTable:
         return JdbcTable(self.url, table, self.properties)
 
 
-def column_bounds(spark: SparkSession, source: JdbcTable, column: str):
-    """Smallest and largest value of ``column``, computed by the database; one row comes back."""
+def _scan(spark: SparkSession, source: JdbcTable, table: str, **options) -> DataFrame:
+    asked = {**source.properties, **{k: str(v) for k, v in options.items()}}
+    return spark.read.format("jdbc").options(url=source.url, dbtable=table, **asked).load()
+
+
+def column_bounds(spark: SparkSession, source: JdbcTable, column: str) -> tuple[str | None, str | None]:
+    """Smallest and largest value of ``column`` as text, computed by the database in one row."""
     query = f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {source.table}) bounds"
-    row = spark.read.jdbc(source.url, query, properties=source.properties).first()
-    return (row[0], row[1]) if row else (None, None)
+    row = _scan(spark, source, query)
+    if is_numeric(row.schema["lo"].dataType):
+        row = row.select(F.floor("lo").alias("lo"), F.ceil("hi").alias("hi"))
+    found = row.select(F.col("lo").cast("string"), F.col("hi").cast("string")).first()
+    return (found["lo"], found["hi"]) if found else (None, None)
 
 
 def read_jdbc(
@@ -59,38 +69,40 @@ def read_jdbc(
     partition_column: str | None = None,
     num_partitions: int = 64,
     bounds: tuple | None = None,
+    lower: str | None = None,
     predicates: Sequence[str] | None = None,
     fetch_size: int = 10_000,
 ) -> DataFrame:
     """Scan a table.
 
     With ``partition_column`` (number, date or timestamp) the scan is split into
-    ``num_partitions`` ranges between ``bounds`` (asked of the database when not given);
-    rows outside the bounds still belong to the first or last range. Ranges are of equal
-    width, so for a column with crowded values give ``predicates`` instead: one WHERE
-    clause per task, disjoint and together covering every row. With neither, one task
-    reads the whole table.
+    ``num_partitions`` ranges between ``bounds`` (asked of the database when not given; ``lower``
+    replaces the lower one, for a scan that will be filtered from there on). Rows outside the
+    bounds still belong to the first or last range. Ranges are of equal width, so for a column
+    with crowded values give ``predicates`` instead: one WHERE clause per task, disjoint and
+    together covering every row. With neither, one task reads the whole table.
 
     Filters and column choices made on the result are pushed into the database.
     """
-    properties = {**source.properties, "fetchsize": str(fetch_size)}
     if predicates:
+        properties = {**source.properties, "fetchsize": str(fetch_size)}
         return spark.read.jdbc(
             source.url, source.table, predicates=list(predicates), properties=properties
         )
-    if partition_column is None:
-        return spark.read.jdbc(source.url, source.table, properties=properties)
-    lo, hi = bounds if bounds is not None else column_bounds(spark, source, partition_column)
-    if lo is None or hi is None:  # empty table, or the column holds only NULL
-        return spark.read.jdbc(source.url, source.table, properties=properties)
-    return spark.read.jdbc(
-        source.url,
+    lo = hi = None
+    if partition_column is not None:
+        lo, hi = bounds if bounds is not None else column_bounds(spark, source, partition_column)
+    if lo is None or hi is None:  # no split asked for, an empty table, or only NULLs
+        return _scan(spark, source, source.table, fetchsize=fetch_size)
+    return _scan(
+        spark,
+        source,
         source.table,
-        column=partition_column,
-        lowerBound=lo,
+        fetchsize=fetch_size,
+        partitionColumn=partition_column,
+        lowerBound=lo if lower is None else lower,
         upperBound=hi,
         numPartitions=num_partitions,
-        properties=properties,
     )
 
 

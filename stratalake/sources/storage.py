@@ -19,6 +19,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def is_dir(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = _fs(spark, path)
+    return fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isDirectory()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names right below ``path``; empty when it does not exist."""
     fs, hadoop_path = _fs(spark, path)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 from stratalake.functions.names import check_table_name
 from stratalake.sources.lake import Lake
+from stratalake.sources.storage import is_dir
 
 _READERS = {"csv": "csv", "tsv": "csv", "json": "json", "parquet": "parquet"}
 
@@ -20,7 +20,7 @@ def stream_source(
     schema: T.StructType | str,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """A streaming read of a folder with the same reader settings as a batch read."""
+    """A streaming read of a folder, or of one file in it, with the settings of a batch read."""
     if fmt not in _READERS:
         raise ValueError(f"format must be one of {sorted(_READERS)}, not {fmt!r}")
     reader = spark.readStream.format(_READERS[fmt]).schema(schema)
@@ -28,6 +28,8 @@ def stream_source(
         reader = reader.options(header=True, comment="/", sep="\t" if fmt == "tsv" else ",")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if not is_dir(spark, path):
+        path = f"{path[:-1]}[{path[-1]}]"  # the stream takes one file only as a pattern
     return reader.load(path)
 
 
@@ -38,8 +40,8 @@ def ingest_new_files(
     schema: T.StructType | str,
     fmt: str = "parquet",
     max_files_per_trigger: int | None = None,
-) -> StreamingQuery:
-    """Append the files of a folder that were not ingested before, then stop.
+) -> int:
+    """Append the files of a folder that were not ingested before, then stop; gives the new rows.
 
     The checkpoint, kept beside the layers on shared storage, records which files were read and
     the Parquet sink which batches were committed, so a rerun after a failure repeats nothing.
@@ -61,4 +63,4 @@ def ingest_new_files(
         .start(lake.path("bronze", table))
     )
     query.awaitTermination()
-    return query
+    return sum(batch.numInputRows for batch in query.recentProgress)

@@ -2,7 +2,7 @@ import pytest
 from fixtures import LEAVE_CSV, TICKETS_JSON, employees
 from pyspark.sql import functions as F
 
-from stratalake import Lake, SourceSpec, build_silver, ingest_new_files, load_bronze, run_layers
+from stratalake import JdbcTable, Lake, SourceSpec, build_silver, ingest_new_files, load_bronze, run_layers
 from stratalake.operators import catalog as C
 from stratalake.operators import quality as Q
 
@@ -203,3 +203,30 @@ def test_incremental_run(spark, tmp_path):
         report = _report(run_layers(lake, [spec], incremental_silver=True))
         assert report[("bronze", "rows_bronze")] == ("success", added)
     assert lake.read("silver", "rows_silver").count() == 25
+
+
+def test_incremental_files_without_watermark_are_taken_once(spark, tmp_path, lake):
+    path = tmp_path / "leave_logs.csv"
+    path.write_text(LEAVE_CSV)
+    for want in (4, 0):
+        report = _report(run_layers(lake, [SourceSpec(str(path), "incremental")]))
+        assert report[("bronze", "leave_logs_bronze")] == ("success", want)
+        assert report[("silver", "leave_logs_silver")] == ("success", 4)
+
+
+def test_run_with_summaries(spark, tmp_path, lake):
+    report = _report(run_layers(lake, _sources(tmp_path), summaries=True))
+    assert report[("gold", "leave_logs_summary")] == ("success", 4)
+    assert report[("gold", "ticket_events_summary")] == ("success", 3)
+    assert lake.read("gold", "leave_logs_summary").columns == [
+        "leave_type", "approval_status", "start_date", "record_count",
+    ]
+
+
+def test_jdbc_increment_splits_only_the_new_range(spark, lake):
+    table = JdbcTable("jdbc:x", "public.t")
+    load_bronze(lake, "t_bronze", spark.range(50).toDF("k"), "t", "incremental", watermark_col="k")
+    spec = SourceSpec(table, "incremental", watermark_col="k", partition_column="k")
+    assert spec._stored_watermark(lake) == "49"
+    assert SourceSpec(table, "full", watermark_col="k", partition_column="k")._stored_watermark(lake) is None
+    assert SourceSpec(table, "incremental", watermark_col="k")._stored_watermark(lake) is None

@@ -201,7 +201,7 @@ def _plain(rows):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.mark.parametrize("strategy", ["plain", "two_step", "spread"])
 @pytest.mark.parametrize("first, second", [("facts", "dims"), ("dims", "facts")])
 @pytest.mark.parametrize("kind", ["left", "full"])
 @pytest.mark.parametrize("group", [["g"], ["k", "t"], []])

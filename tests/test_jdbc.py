@@ -2,22 +2,41 @@
 
 from types import SimpleNamespace
 
+import pytest
+
 from stratalake.sources import jdbc
 from stratalake.sources.jdbc import JdbcTable, match_tables, read_jdbc
 
 
 class Reader:
-    def __init__(self, bounds=(1, 1000)):
+    """Takes the calls of ``spark.read`` and answers a bounds query with a one-row table."""
+
+    def __init__(self, bounds):
         self.calls = []
         self.bounds = bounds
 
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, **options):
+        self.calls.append(options)
+        return self
+
+    def load(self):
+        return self.bounds
+
     def jdbc(self, url, table, **options):
-        self.calls.append((url, table, options))
-        return SimpleNamespace(first=lambda: self.bounds)
+        self.calls.append({"url": url, "dbtable": table, **options})
+
 
+@pytest.fixture
+def session(spark):
+    def make(lo="1", hi="1000", kind="int"):
+        bounds = spark.range(1).selectExpr(f"cast({lo} as {kind}) as lo", f"cast({hi} as {kind}) as hi")
+        return SimpleNamespace(read=Reader(bounds))
 
-def _session(bounds=(1, 1000)):
-    return SimpleNamespace(read=Reader(bounds))
+    return make
 
 
 SOURCE = JdbcTable.postgresql("public.orders", "db.example", 5433, "shop", "me", "secret")
@@ -33,35 +52,49 @@ def test_postgresql_url_and_properties(monkeypatch):
     assert JdbcTable.postgresql("t").properties["password"] == "pw"
 
 
-def test_full_read_is_one_call():
-    s = _session()
+def test_full_read_is_one_call(session):
+    s = session()
     read_jdbc(s, SOURCE)
-    (url, table, options), = s.read.calls
-    assert (url, table) == (SOURCE.url, "public.orders") and "column" not in options
-
-
-def test_partitioned_read_asks_for_bounds_once():
-    s = _session()
-    read_jdbc(s, SOURCE, partition_column="order_id", num_partitions=12)
+    (call,) = s.read.calls
+    assert (call["url"], call["dbtable"], call["user"]) == (SOURCE.url, "public.orders", "me")
+    assert call["fetchsize"] == "10000" and "partitionColumn" not in call
+
+
+@pytest.mark.parametrize(
+    "lo, hi, kind, want",
+    [
+        ("1", "1000", "int", ("1", "1000")),
+        ("1.5", "9.25", "decimal(10,2)", ("1", "10")),
+        ("'2024-01-01'", "'2024-02-01'", "date", ("2024-01-01", "2024-02-01")),
+        ("'2024-01-01 10:00:00'", "'2024-02-01'", "timestamp", ("2024-01-01 10:00:00", "2024-02-01 00:00:00")),
+    ],
+)
+def test_partitioned_read_asks_for_bounds_once(session, lo, hi, kind, want):
+    s = session(lo, hi, kind)
+    read_jdbc(s, SOURCE, partition_column="c", num_partitions=12)
     bounds, scan = s.read.calls
-    assert "MIN(order_id)" in bounds[1] and "public.orders" in bounds[1]
-    assert scan[2]["column"] == "order_id"
-    assert (scan[2]["lowerBound"], scan[2]["upperBound"], scan[2]["numPartitions"]) == (1, 1000, 12)
-
-
-def test_given_bounds_and_empty_table():
-    s = _session()
-    read_jdbc(s, SOURCE, partition_column="order_id", bounds=(5, 6))
-    assert len(s.read.calls) == 1
-    empty = _session((None, None))
-    read_jdbc(empty, SOURCE, partition_column="order_id")
-    assert "column" not in empty.read.calls[-1][2]
-
-
-def test_predicates():
-    s = _session()
+    assert "MIN(c)" in bounds["dbtable"] and "public.orders" in bounds["dbtable"]
+    assert (scan["lowerBound"], scan["upperBound"]) == want
+    assert (scan["partitionColumn"], scan["numPartitions"]) == ("c", "12")
+
+
+def test_given_bounds_and_empty_table(session):
+    s = session()
+    read_jdbc(s, SOURCE, partition_column="c", bounds=(5, 6))
+    (call,) = s.read.calls
+    assert (call["lowerBound"], call["upperBound"]) == ("5", "6")
+    s = session()
+    read_jdbc(s, SOURCE, partition_column="c", lower="400")
+    assert (s.read.calls[1]["lowerBound"], s.read.calls[1]["upperBound"]) == ("400", "1000")
+    empty = session("NULL", "NULL")
+    read_jdbc(empty, SOURCE, partition_column="c", lower="400")
+    assert "partitionColumn" not in empty.read.calls[-1]
+
+
+def test_predicates(session):
+    s = session()
     read_jdbc(s, SOURCE, predicates=["mod(id, 2) = 0", "mod(id, 2) = 1"])
-    assert s.read.calls[0][2]["predicates"] == ["mod(id, 2) = 0", "mod(id, 2) = 1"]
+    assert s.read.calls[0]["predicates"] == ["mod(id, 2) = 0", "mod(id, 2) = 1"]
 
 
 def test_match_tables(spark):
