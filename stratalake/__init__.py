@@ -4,7 +4,7 @@ from stratalake.operators.bronze import load_bronze, with_audit
 from stratalake.operators.silver import build_silver, to_silver
 from stratalake.plans.gold import build_gold, run_gold, write_gold
 from stratalake.plans.resolve import gold_from_columns, plan_from_columns, shared_keys
-from stratalake.plans.spec import GoldPlan, PlanError
+from stratalake.plans.spec import GoldPlan, PlanError, plans_of
 from stratalake.plans.summary import auto_summary, run_summary, summary_plan
 from stratalake.runs import SourceSpec, run_layers
 from stratalake.sources.files import read_source
@@ -25,6 +25,7 @@ __all__ = [
     "ingest_new_files",
     "load_bronze",
     "plan_from_columns",
+    "plans_of",
     "read_jdbc",
     "read_source",
     "run_gold",

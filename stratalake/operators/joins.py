@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-HOT_SHARE = 0.001
+# A crowded key is cut so that no part holds more than this share of the rows of a join, nor
+# less than this many rows. A share of 1/10000 of 100 TB is 10 GB.
+SHARE = 0.0001
+MIN_ROWS = 100_000
 DEAL = "_deal"
 
 
@@ -42,20 +44,33 @@ def full_join(fact: DataFrame, dim: DataFrame, key: str, left=left_join) -> Data
     return left(fact, dim, key).unionByName(unmatched, allowMissingColumns=True)
 
 
-def hot_keys(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least ``share`` of the non-null rows of both sides together, and which
-    side holds more of them: (key, _hot_left, _hot_right). At most 1/share keys can.
+def hot_keys(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    share: float | None = None,
+    min_rows: int | None = None,
+) -> DataFrame:
+    """Keys that crowd a join: (key, _hot_left, _parts).
+
+    A key is crowded when it holds at least ``share`` of the non-null rows of both sides together
+    (and ``min_rows``), so there are at most 1/share. ``_hot_left`` tells whether the left side holds
+    more of them, ``_parts`` into how many parts that side is to be cut.
 
     Rows are counted per key in their own task first, so a crowded key reaches the shuffle as one
     row per task.
     """
+    share, min_rows = share or SHARE, min_rows or MIN_ROWS
     keys = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
         right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
     counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     total = counts.agg(F.sum(F.col("l") + F.col("r"))).scalar()
-    return counts.where(F.col("l") + F.col("r") >= total * share).select(
-        key, (F.col("l") >= F.col("r")).alias("_hot_left"), (F.col("l") < F.col("r")).alias("_hot_right")
+    enough = F.greatest(total * share, F.lit(float(min_rows)))
+    return counts.where(F.col("l") + F.col("r") >= enough).select(
+        key,
+        (F.col("l") >= F.col("r")).alias("_hot_left"),
+        F.ceil(F.greatest("l", "r") / enough).cast("int").alias("_parts"),
     )
 
 
@@ -68,46 +83,45 @@ def spread_left_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    share: float = HOT_SHARE,
-    salts: int = SALTS,
+    share: float | None = None,
+    min_rows: int | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join that cuts crowded keys into ``salts`` parts.
+    """Left join that cuts crowded keys into parts, the more the larger the key.
 
     The side with more rows of a crowded key deals them out over the parts, the other side
-    repeats its rows in each. Other keys are joined as usual. The join runs on
-    (key, part), so a later group-by on the key shuffles again, after a partial aggregate,
-    instead of inheriting the crowded partition.
+    repeats its rows in each. Other keys are joined as usual. The join runs on (key, part), so a
+    later group-by on the key shuffles again, after a partial aggregate, instead of
+    inheriting the crowded partition.
 
-    There are at most 1/share crowded keys; that bound is why their list may be broadcast. ``counted`` stands in for the left side when its keys are counted: the
-    table the key column comes from, so that earlier joins need not run twice.
+    There are at most 1/share crowded keys; that bound is why their list may be broadcast.
+    ``counted`` stands in for the left side when its keys are counted: the table the key column
+    comes from, so that earlier joins need not run twice.
 
-    A row's part comes from its place in the scan (``deal``), so that exact copies part too. A
-    retried task must deal the same way: when a side is itself the result of a shuffle, add
-    the column with ``dealt`` before that shuffle.
+    A row's part comes from its place in the scan (``dealt``), so that exact copies part too. A
+    retried task must deal the same way: when a side is itself the result of a shuffle, add that
+    column before the shuffle.
     """
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    hot = hot_keys(left if counted is None else counted, right, key, share)
-    hot_left = F.coalesce("_hot_left", F.lit(False))
-    hot_right = F.coalesce("_hot_right", F.lit(False))
-
-    def parted(df: DataFrame, deal_out, repeat) -> DataFrame:
-        df = dealt(df).join(F.broadcast(hot), key, "left")
-        part = F.pmod(F.col(DEAL), F.lit(salts)).cast("int")
-        parts = F.when(repeat, every).when(deal_out, F.array(part)).otherwise(F.array(F.lit(0)))
-        return df.withColumn("_part", F.explode(parts)).drop("_hot_left")
-
-    # Null keys match nothing; they are dealt out so that they do not crowd one task.
-    lefts = parted(left, hot_left | F.col(key).isNull(), hot_right).withColumn(
-        "_repeated", hot_right
-    )
-    rights = parted(right, hot_right, hot_left).withColumn("_matched", F.lit(True))
-    joined = lefts.drop("_hot_right").join(
-        rights.drop("_hot_right", DEAL), [key, "_part"], "left"
-    )
+    hot = hot_keys(left if counted is None else counted, right, key, share, min_rows)
+    place, parts = F.col(DEAL), F.col("_parts")
+
+    def parted(df: DataFrame, deals) -> DataFrame:
+        # Null keys match nothing; they are dealt out so that they do not crowd one task.
+        usual = F.when(F.col(key).isNull(), F.pmod(place, F.lit(10_000))).otherwise(F.lit(0))
+        part = (
+            F.when(parts.isNull(), F.array(usual.cast("int")))
+            .when(deals, F.array(F.pmod(place, parts).cast("int")))
+            .otherwise(F.sequence(F.lit(0), parts - 1))
+        )
+        df = dealt(df).join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(part))
+        return df.withColumn("_repeated", parts.isNotNull() & ~deals).drop("_hot_left", "_parts")
+
+    lefts = parted(left, F.col("_hot_left"))
+    rights = parted(right, ~F.col("_hot_left")).drop(DEAL, "_repeated")
+    joined = lefts.join(rights.withColumn("_matched", F.lit(True)), [key, "_part"], "left")
     # A repeated left row has a match in some part (the right side holds more rows of its key
     # than the left), so its copies in parts without one are no result rows.
-    stray = F.col("_repeated") & F.col("_matched").isNull()
+    stray = F.coalesce("_repeated", F.lit(False)) & F.col("_matched").isNull()
     joined = joined.where(~stray).drop("_part", "_repeated", "_matched")
     return joined if DEAL in left.columns else joined.drop(DEAL)
 

@@ -61,6 +61,8 @@ class GoldPlan:
             return plan
         if "cross_table_hint" in plan:
             return plan_from_hint(plan)
+        if "source_silver" in plan:  # the plan of a single table, or of "a + b"
+            plan = {"source_tables": [t.strip() for t in plan["source_silver"].split("+")], **plan}
         missing = [k for k in ("source_tables", "group_by", "aggregations") if k not in plan]
         if missing:
             raise PlanError(f"plan lacks {', '.join(missing)}")
@@ -106,6 +108,16 @@ class GoldPlan:
             raise PlanError(f"output names used twice: {twice}")
 
 
+def plans_of(document: dict) -> list[GoldPlan]:
+    """The plans of a planning document: one joined plan if its join is confirmed, else one per
+    table. A bare plan is a document of one."""
+    if "tables" not in document:
+        return [GoldPlan.from_dict(document)]
+    if (document.get("cross_table_hint") or {}).get("join_confirmed"):
+        return [plan_from_hint(document)]
+    return [GoldPlan.from_dict(t) for t in document["tables"]]
+
+
 def plan_from_hint(plan: dict) -> GoldPlan:
     """A two-table plan from a confirmed join hint and the plans of the single tables.
 

@@ -125,7 +125,7 @@ def gold_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def join_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _users(spark, sf_dir)
-    joined = spread_left_join(users["events"], users["users"], "user_id")
+    joined = spread_left_join(users["events"], users["users"], "user_id", min_rows=20)
     return joined.select("user_id", "event_id", "event_type", "c_name")
 
 

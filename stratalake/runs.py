@@ -14,7 +14,7 @@ from stratalake.functions.names import bronze_name, silver_name, summary_name
 from stratalake.operators.bronze import load_bronze
 from stratalake.operators.silver import build_silver
 from stratalake.plans.gold import run_gold
-from stratalake.plans.spec import GoldPlan
+from stratalake.plans.spec import plans_of
 from stratalake.plans.summary import run_summary
 from stratalake.sources.files import format_of, read_source
 from stratalake.sources.jdbc import JdbcTable, read_jdbc
@@ -88,7 +88,7 @@ class SourceSpec:
 def run_layers(
     lake: Lake,
     sources: Sequence[SourceSpec],
-    plans: Sequence[dict | GoldPlan] = (),
+    plans: Sequence[dict] = (),
     summaries: bool = False,
     stop_on_failure: bool = True,
     incremental_silver: bool = False,
@@ -126,8 +126,7 @@ def run_layers(
     whole = whole and len(made) == len(silver)
 
     go = whole or not stop_on_failure
-    checked = [GoldPlan.from_dict(p) for p in plans]
-    gold = [(p.destination, lambda p=p: run_gold(lake, p)) for p in checked]
+    gold = [(p.destination, lambda p=p: run_gold(lake, p)) for d in plans for p in plans_of(d)]
     if summaries:
         gold += [
             (summary_name(s.silver_table), lambda s=s: run_summary(lake, s.silver_table))

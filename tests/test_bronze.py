@@ -50,6 +50,14 @@ def test_full_load_of_nothing_empties(spark, lake):
     assert _keys(lake) == []
 
 
+def test_empty_batches_of_any_make(spark, lake):
+    for empty in (spark.createDataFrame([], "k long"), spark.range(9).toDF("k").where("false")):
+        assert _load(lake, empty, "full", watermark_col="k").rows == 0
+        assert _load(lake, empty, watermark_col="k", partition_by=["k"]).rows == 0
+    assert lake.overwrite("gold", "g", spark.createDataFrame([], "k long")) == 0
+    assert lake.read("gold", "g").count() == 0
+
+
 def test_rerun_after_crash_does_not_duplicate(spark, lake, monkeypatch):
     _load(lake, spark.range(1, 11).toDF("k"), watermark_col="k")
 

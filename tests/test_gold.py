@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stratalake import PlanError, build_gold, to_silver
 from stratalake.operators import joins as J
-from stratalake.plans.spec import GoldPlan
+from stratalake.plans.spec import GoldPlan, plans_of
 
 STRATEGIES = ["plain", "two_step", "spread", "auto"]
 
@@ -156,6 +156,13 @@ def test_sla_audit(spark, tmp_path, strategy):
 # -- plans against plain SQL, on crowded keys ---------------------------------------
 
 
+@pytest.fixture(autouse=True)
+def small_parts(monkeypatch):
+    """Keys count as crowded, and are cut, at test size."""
+    monkeypatch.setattr(J, "SHARE", 0.01)
+    monkeypatch.setattr(J, "MIN_ROWS", 20)
+
+
 @pytest.fixture(scope="module")
 def crowded(spark):
     """A third of the facts share one key, a tenth have none, some keys have no dimension row; a
@@ -261,24 +268,38 @@ def test_auto_leaves_broadcast_joins_alone_and_combines_large_ones(spark, crowde
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("share", [0.001, 0.3, 1.0])
-def test_spread_join_is_a_left_join(spark, crowded, share):
+@pytest.mark.parametrize("share, min_rows", [(0.001, 1), (0.02, 30), (0.3, 1), (1.0, 10**9)])
+def test_spread_join_is_a_left_join(spark, crowded, share, min_rows):
     facts, dims = crowded["facts"], crowded["dims"]
     for left, right in ((facts, dims), (dims, facts)):
-        got = J.spread_left_join(left, right, "k", share, salts=8)
+        got = J.spread_left_join(left, right, "k", share, min_rows)
         want = left.join(right, "k", "left")
         assert got.columns == want.columns
         assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
-def test_spread_join_cuts_the_crowded_key(spark, crowded):
-    """No task of the join holds the crowded key alone."""
-    facts = J.dealt(crowded["facts"])
-    part = F.pmod(F.col("_deal"), F.lit(16))
-    sizes = facts.where("k = 7").groupBy(part).count().collect()
-    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 6000 / 3 / 4
-    hot = J.hot_keys(crowded["facts"], crowded["dims"], "k", 0.2).collect()
-    assert [(r.k, r._hot_left, r._hot_right) for r in hot] == [(7, True, False)]
+def test_crowded_on_both_sides(spark):
+    left = spark.range(0, 400, 1, 2).select(F.expr("CASE WHEN id < 200 THEN 1 ELSE id END").alias("k"), "id")
+    right = spark.range(0, 300, 1, 2).select(F.expr("CASE WHEN id < 250 THEN 1 ELSE id END").alias("k"), F.lit("r").alias("r"))
+    for a, b in ((left, right), (right.withColumnRenamed("r", "x"), left)):
+        got, want = J.spread_left_join(a, b, "k", 0.01, 5), a.join(b, "k", "left")
+        assert got.count() == want.count()
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_crowded_key_is_cut_by_its_size(spark, crowded):
+    """A third of the rows in one key: its parts hold no more than the share."""
+    facts, dims = crowded["facts"], crowded["dims"]
+    rows = {r.k: r for r in J.hot_keys(facts, dims, "k", 0.05, 1).collect()}
+    total = facts.where("k is not null").count() + dims.where("k is not null").count()
+    assert list(rows) == [7] and rows[7]._hot_left
+    parts = rows[7]._parts
+    assert parts == math.ceil(facts.where("k = 7").count() / (total * 0.05))
+    place = F.pmod(F.col("_deal"), F.lit(parts))
+    sizes = [r["count"] for r in J.dealt(facts).where("k = 7").groupBy(place).count().collect()]
+    assert len(sizes) == parts and max(sizes) <= total * 0.05 * 1.1
+    assert J.hot_keys(facts, dims, "k", 0.01).count() <= 100
+    assert J.hot_keys(facts, dims, "k", 0.05, 10**6).count() == 0
 
 
 def test_full_join(spark, crowded):
@@ -432,6 +453,16 @@ def test_joined_hint(simple):
             build_gold(simple, _hint(**change), strict=False)
 
 
+def test_planning_documents(simple):
+    single = {"source_silver": "a", "group_by": ["s"], "aggregations": [_agg("SUM", "v", "v_sum")], "destination": "a_summary"}
+    document = {"tables": [single, {**single, "source_silver": "a + b"}], "cross_table_hint": None}
+    plans = plans_of(document)
+    assert [p.source_tables for p in plans] == [["a"], ["a", "b"]]
+    assert build_gold(simple, plans[0]).collect()[0].v_sum == 2
+    assert [p.destination for p in plans_of(_hint())] == ["d"]
+    assert plans_of(PLAN)[0].destination == "d"
+
+
 def test_silver_feeds_gold(spark):
     items = spark.createDataFrame([(1, 5, 2.0), (2, 5, 3.0)], "OrderItemID int, OrderID int, UnitPrice double")
     plan = {"source_tables": ["i"], "group_by": ["order_id"], "aggregations": [_agg("SUM", "unit_price", "p")]}
