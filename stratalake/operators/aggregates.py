@@ -81,6 +81,11 @@ def is_name(text: str) -> bool:
     return bool(_NAME.match(text))
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it: in backticks unless it is a plain word."""
+    return name if is_name(name) else f"`{name}`"
+
+
 def text_column(text: str) -> Column:
     return F.col(text) if is_name(text) else F.expr(text)
 

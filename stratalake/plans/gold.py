@@ -21,6 +21,7 @@ from stratalake.operators.aggregates import (
     is_name,
     merged,
     partials,
+    quoted,
     whole,
 )
 from stratalake.plans.spec import GoldPlan, PlanError
@@ -77,10 +78,10 @@ def build_gold(
         return _finished(plan, grouped)
 
     large = [s for s in sides[1:] if not J.is_broadcastable(s.df)]
+    if strategy == "auto" and not large:
+        return _finished(plan, grouped)
     measured = _measured_side(plan, sides)
     if strategy == "auto":
-        if not large:
-            return _finished(plan, grouped)
         if measured == 0 and _grouping_stays_fine(plan, large):
             # Combining first would save no rows, and the group-by shuffles anew after the join,
             # so adaptive execution can split crowded fact keys.
@@ -139,9 +140,11 @@ def _check_key_types(table: str, key: str, a: T.DataType, b: T.DataType) -> None
         )
 
 
-def _tokens(*texts: str) -> set[str]:
-    """Words of expressions, lower case. A superset of the columns they read."""
-    return {w.lower() for t in texts for w in re.findall(r"\w+", t)}
+def _mentioned(names, *texts: str) -> set[str]:
+    """Which of the names expressions mention (lower case): a superset of the columns they read."""
+    low = " ".join(texts).lower()
+    words = set(re.findall(r"\w+", low))
+    return {n for n in map(str.lower, names) if (n in words if re.fullmatch(r"\w+", n) else n in low)}
 
 
 def _texts(plan: GoldPlan) -> list[str]:
@@ -155,8 +158,9 @@ def _texts(plan: GoldPlan) -> list[str]:
 
 def _needed_columns(plan: GoldPlan, sides: list[Side], side: Side) -> DataFrame:
     """The columns of a side the plan reads; its size estimate is then that of what moves."""
-    needed = _tokens(*_texts(plan), *(s.key for s in sides if s.key))
-    return side.df.select(*[f"`{c}`" for c in side.df.columns if c.lower() in needed])
+    keys = [s.key for s in sides if s.key]
+    needed = _mentioned(side.df.columns, *_texts(plan), *keys)
+    return side.df.select(*[quoted(c) for c in side.df.columns if c.lower() in needed])
 
 
 def _plain_texts(plan: GoldPlan, sides: list[Side], as_of: str | None) -> GoldPlan:
@@ -213,7 +217,18 @@ def _known_columns(plan: GoldPlan, sides: list[Side], strict: bool) -> GoldPlan:
     group_by = [c for c in plan.group_by if c not in lost_groups]
     if plan.group_by and not group_by:
         raise PlanError(f"none of the group-by columns exists: {plan.group_by}")
-    aggregations = [a for a in plan.aggregations if a not in lost_aggs]
+    aggregations = [
+        replace(
+            a,
+            **{
+                part: quoted(text)
+                for part, text in (("col", a.col), ("den", a.den))
+                if text and text.lower() in known
+            },
+        )
+        for a in plan.aggregations
+        if a not in lost_aggs
+    ]
     return replace(
         plan,
         group_by=group_by,
@@ -273,7 +288,8 @@ def _grouped(plan: GoldPlan, sides: list[Side], left_join) -> DataFrame:
         )
     df = _filtered(df, plan.filters)
     return _analysed(
-        "aggregates", lambda: df.groupBy(*plan.group_by).agg(*[whole(a) for a in plan.aggregations])
+        "aggregates",
+        lambda: df.groupBy(*map(quoted, plan.group_by)).agg(*[whole(a) for a in plan.aggregations]),
     )
 
 
@@ -301,7 +317,7 @@ def _finished(plan: GoldPlan, df: DataFrame) -> DataFrame:
 def _reads_only(df: DataFrame, text: str, known: set[str]) -> bool:
     """Does an expression read no column but those of ``df``? The plan was analysed before, and
     prepared sides share no names, so words that are columns of the plan decide it."""
-    return _tokens(text) & known <= {c.lower() for c in df.columns}
+    return _mentioned(known, text) <= {c.lower() for c in df.columns}
 
 
 def _plan_columns(plan: GoldPlan, sides: list[Side]) -> set[str]:
@@ -337,7 +353,7 @@ def _measured_side(plan: GoldPlan, sides: list[Side]) -> int | None:
 def _grouping_stays_fine(plan: GoldPlan, large: list[Side]) -> bool:
     """Counting distinct values keeps them in the first grouping, which then combines little."""
     distinct = any(a.func == "COUNT_DISTINCT" for a in plan.aggregations)
-    return distinct and not {s.key.lower() for s in large} & _tokens(*plan.group_by)
+    return distinct and not _mentioned([s.key for s in large], *plan.group_by)
 
 
 def _two_step(plan: GoldPlan, sides: list[Side], m: int, schema: T.StructType) -> DataFrame:
@@ -354,14 +370,15 @@ def _two_step(plan: GoldPlan, sides: list[Side], m: int, schema: T.StructType) -
     late = [f for f in plan.filters if f not in early]
 
     # What later steps read of this table stays in the grouping.
-    used = _tokens(*plan.group_by, *late)
+    texts = plan.group_by + late
     for p in reversed(plan.pre_columns):
-        if p["column"].lower() in used and p["column"] not in own:
-            used |= _tokens(p["expression"])
-    used |= _tokens(*(a.col for a in plan.aggregations if a.func == "COUNT_DISTINCT"))
-    used |= {s.key.lower() for s in (sides[1:] if m == 0 else sides[m:])}
+        if p["column"] not in own and _mentioned([p["column"]], *texts):
+            texts.append(p["expression"])
+    texts += [a.col for a in plan.aggregations if a.func == "COUNT_DISTINCT"]
+    texts += [s.key for s in (sides[1:] if m == 0 else sides[m:])]
+    used = _mentioned(df.columns, *texts)
     keep = [c for c in df.columns if c.lower() in used]
-    partial = df.groupBy(*keep).agg(*partials(df, plan.aggregations))
+    partial = df.groupBy(*map(quoted, keep)).agg(*partials(df, plan.aggregations))
 
     joined = _fold([*sides[:m], replace(side, df=partial), *sides[m + 1 :]], J.left_join)
 
@@ -371,8 +388,8 @@ def _two_step(plan: GoldPlan, sides: list[Side], m: int, schema: T.StructType) -
     for p in plan.pre_columns:
         name, value = p["column"], F.expr(p["expression"])
         if name in own and name in keep:
-            value = F.when(F.col(ROWS).isNull(), value).otherwise(F.col(name))
+            value = F.when(F.col(ROWS).isNull(), value).otherwise(F.col(quoted(name)))
         joined = joined.withColumn(name, value)
     joined = _filtered(joined, late)
-    grouped = joined.groupBy(*plan.group_by).agg(*merged(df, plan.aggregations))
-    return grouped.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    grouped = joined.groupBy(*map(quoted, plan.group_by)).agg(*merged(df, plan.aggregations))
+    return grouped.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])

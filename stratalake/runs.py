@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from stratalake.functions.names import bronze_name, silver_name, summary_name
-from stratalake.operators.bronze import load_bronze
+from stratalake.operators.bronze import data_columns, load_bronze
 from stratalake.operators.silver import build_silver
 from stratalake.plans.gold import run_gold
 from stratalake.plans.spec import plans_of
@@ -19,6 +19,7 @@ from stratalake.plans.summary import run_summary
 from stratalake.sources.files import format_of, read_source
 from stratalake.sources.jdbc import JdbcTable, read_jdbc
 from stratalake.sources.lake import Lake
+from stratalake.sources.storage import path_exists
 from stratalake.streaming.files import ingest_new_files
 
 log = logging.getLogger(__name__)
@@ -147,7 +148,7 @@ def _attempt(layer: str, table: str, job: Callable[[], int]) -> tuple:
 
 def _bronze(lake: Lake, spec: SourceSpec) -> int:
     if spec.mode == "incremental" and not spec.is_jdbc and not spec.watermark_col:
-        schema = spec.schema or spec.read(lake).schema
+        schema = spec.schema or _stored_schema(lake, spec.bronze_table) or spec.read(lake).schema
         fmt = spec.fmt or format_of(spec.source)
         return ingest_new_files(lake, spec.source, spec.bronze_table, schema, fmt)
     return load_bronze(
@@ -163,6 +164,13 @@ def _bronze(lake: Lake, spec: SourceSpec) -> int:
     ).rows
 
 
+def _stored_schema(lake: Lake, table: str):
+    """The schema of an earlier ingest, so that a rerun infers nothing from the whole folder."""
+    if not path_exists(lake.spark, lake.path("bronze", table)):
+        return None
+    return data_columns(lake.read("bronze", table)).schema
+
+
 def _silver(lake: Lake, spec: SourceSpec, incremental: bool) -> int:
     return build_silver(
         lake, spec.bronze_table, pk=spec.pk, widen=spec.widen, incremental=incremental

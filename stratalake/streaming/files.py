@@ -48,6 +48,8 @@ def ingest_new_files(
     ``max_files_per_trigger`` bounds a batch when a folder brings a large backlog. The source
     name of a row is its file.
     """
+    if lake.latest("bronze", table) is not None:
+        raise ValueError(f"{table} is loaded in batches; stream into another table")
     rows = stream_source(lake.spark, path, fmt, schema, max_files_per_trigger).withColumns(
         {
             "_ingestion_timestamp": F.current_timestamp(),

@@ -214,6 +214,13 @@ def test_incremental_files_without_watermark_are_taken_once(spark, tmp_path, lak
         assert report[("silver", "leave_logs_silver")] == ("success", 4)
 
 
+def test_streams_and_batches_do_not_mix(spark, tmp_path, lake):
+    spark.range(0, 5, 1, 1).write.parquet(str(tmp_path / "landing"))
+    load_bronze(lake, "t_bronze", spark.range(3), "s")
+    with pytest.raises(ValueError, match="batches"):
+        ingest_new_files(lake, str(tmp_path / "landing"), "t_bronze", "id bigint")
+
+
 def test_run_with_summaries(spark, tmp_path, lake):
     report = _report(run_layers(lake, _sources(tmp_path), summaries=True))
     assert report[("gold", "leave_logs_summary")] == ("success", 4)

@@ -332,6 +332,25 @@ def test_colliding_columns_come_from_the_fact(spark):
         build_gold({"fact": fact, "dim": dim}, {**plan, "filters": ["dim.status = 'dim'"]})
 
 
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_odd_column_names(spark, strategy):
+    fact = spark.createDataFrame([(1, "x", 2), (1, "x", 3), (2, "y", 4)], "k int, `my group` string, `unit price` int")
+    dim = spark.createDataFrame([(1, "p")], "k int, `a.b` string")
+    plan = {
+        "source_tables": ["fact", "dim"],
+        "joins": [{"dim": "dim", "on": "k"}],
+        "group_by": ["my group", "a.b"],
+        "aggregations": [_agg("SUM", "unit price", "total"), _agg("MAX", "`unit price` + 1", "top")],
+    }
+    rows = build_gold({"fact": fact, "dim": dim}, plan, strategy=strategy).collect()
+    assert sorted(tuple(r) for r in rows) == [("x", "p", 5, 4), ("y", None, 4, 5)]
+
+
+def test_count_of_everything(spark):
+    plan = {"source_tables": ["t"], "group_by": [], "aggregations": [_agg("COUNT", "*", "n")]}
+    assert build_gold({"t": spark.range(5)}, plan).collect()[0].n == 5
+
+
 def test_same_dimension_twice(spark):
     fact = spark.createDataFrame([(1, 2, 10)], "a int, b int, v int")
     dim = spark.createDataFrame([(1, "one"), (2, "two")], "k int, name string")
