@@ -37,8 +37,8 @@ HEADLINE = [
     "gold_case_rate",
     "gold_auto_summary",
     "gold_from_names",
-    "key_audits",
-    "coverage",
+    "key_audit",
+    "key_coverage",
     "catalog_tables",
     "sql_join_semi_anti",
     "sql_window_rank",

@@ -46,11 +46,13 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
-    def query(self, sql: str | None = None):
+    def query(self, sql: str | None = None, name: str | None = None):
+        """Register a function under its own or the given name, with the SQL of the same answer."""
+
         def add(fn):
-            self.queries[fn.__name__] = fn
+            self.queries[name or fn.__name__] = fn
             if sql is not None:
-                self.sql[fn.__name__] = sql
+                self.sql[name or fn.__name__] = sql
             return fn
 
         return add

@@ -35,7 +35,7 @@ QUERIES, SQL = R.queries, R.sql
     SELECT 'conversations', count(*), CAST(count(*) - count(conv_id) AS BIGINT), count(DISTINCT conv_id),
            (SELECT count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1)),
            count(conv_id) - count(DISTINCT conv_id) FROM conversations
-""")
+""", name="key_audit")
 def key_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         key_audit(table(spark, sf_dir, name), key).select(F.lit(name).alias("table_name"), "*")
@@ -51,7 +51,7 @@ def key_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
            count(DISTINCT user_id) FILTER (user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
                AS orphan_keys
     FROM events
-""")
+""", name="key_coverage")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "customer").where("c_acctbal > 0")
     return key_coverage(table(spark, sf_dir, "events"), known, "user_id", "c_custkey")
@@ -88,7 +88,7 @@ def shared_key_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL
     SELECT 'text', 3, false, CAST((SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark)
                                   + (SELECT count(*) FROM conversations) AS BIGINT)
-""")
+""", name="shared_keys")
 def shared_column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that several tables have, with the rows of those tables."""
     source = tables(spark, sf_dir, *TABLES)
@@ -141,12 +141,31 @@ def catalog_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.select("layer", "table_name", F.col("rows").alias("n"))
 
 
-@R.query()
+@R.query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST(1 AS BIGINT) AS files, true AS has_size, true AS is_dated, "
+        f"count(*) AS n FROM {t}"
+        for t in TABLES
+    ),
+    name="file_profile",
+)
 def file_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_profile(spark, sf_dir)
+    """The files of each table beside its rows."""
+    stem = F.regexp_extract("path", r"([^/]+)\.parquet", 1)
+    files = (
+        file_profile(spark, sf_dir)
+        .groupBy(stem.alias("table_name"))
+        .agg(
+            F.count(F.lit(1)).alias("files"),
+            (F.min("size") > 0).alias("has_size"),
+            F.min("modified").isNotNull().alias("is_dated"),
+        )
+    )
+    counts = row_counts(tables(spark, sf_dir, *TABLES))
+    return counts.select("table_name", F.col("rows").alias("n")).join(files, "table_name", "left")
 
 
-@R.query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 50")
+@R.query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 50", name="preview")
 def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(table(spark, sf_dir, "orders").orderBy("o_orderkey"), 50)
 
@@ -204,8 +223,7 @@ def _sql_query(name: str, sources: tuple[str, ...], spark_sql: str, other_sql: s
         _views(spark, sf_dir, *sources)
         return spark.sql(spark_sql)
 
-    run.__name__ = name
-    R.query(other_sql or spark_sql)(run)
+    R.query(other_sql or spark_sql, name)(run)
 
 
 # Keys of large tables are made distinct before they are joined or intersected: that happens in
