@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from stratalake.functions.names import AUDIT_COLUMNS
 from stratalake.functions.schema import wider_type
-from stratalake.sources.lake import Lake, Load, watermark_value
+from stratalake.sources.lake import Lake, Load, watermark_text, watermark_value
 
 
 class SchemaConflict(ValueError):
@@ -72,6 +73,17 @@ def newer_than(df: DataFrame, column: str, load: Load | None, lookback: str | No
     return df.where(F.col(column) > limit)
 
 
+def _with_watermark(lake: Lake, table: str, load: Load, column: str) -> Load:
+    """The load with its watermark for ``column``. When earlier loads kept none (or one of another
+    column) it is taken from the stored rows, so that they are not loaded again."""
+    known = load.watermark_col == column and load.last_watermark_value is not None
+    if known or column not in load.schema.names:
+        return load
+    stored = lake.read("bronze", table, load=load)
+    high = stored.agg(watermark_text(stored, column)).first()[0]
+    return replace(load, watermark_col=column, last_watermark_value=high)
+
+
 def load_bronze(
     lake: Lake,
     table: str,
@@ -98,6 +110,7 @@ def load_bronze(
     schema = None
     if mode == "incremental" and previous is not None:
         if watermark_col:
+            previous = _with_watermark(lake, table, previous, watermark_col)
             df = newer_than(df, watermark_col, previous, lookback)
         batch = with_audit(df, source_name, mode)
         batch, schema = align(batch, previous.schema)

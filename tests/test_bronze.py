@@ -36,6 +36,17 @@ def test_incremental_three_loads(spark, lake):
     assert lake.load_log().count() == 3
 
 
+def test_watermark_is_found_when_earlier_loads_kept_none(spark, lake):
+    _load(lake, spark.range(10).toDF("k"), "full")
+    assert _load(lake, spark.range(15).toDF("k"), watermark_col="k").rows == 5
+    two = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    assert _load(lake, two, watermark_col="k").rows == 5
+    assert _load(lake, two, watermark_col="w").rows == 0  # another column: its stored maximum
+    assert _load(lake, spark.range(21, 22).toDF("k")).last_watermark_value is None
+    assert _load(lake, spark.range(23).toDF("k"), watermark_col="k").rows == 1
+    assert len(_keys(lake)) == len(set(_keys(lake)))
+
+
 def test_full_replaces_and_is_idempotent(spark, lake):
     for n in (10, 4, 4):
         _load(lake, spark.range(n).toDF("k"), "full")
