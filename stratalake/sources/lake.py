@@ -33,6 +33,7 @@ _LOAD_SCHEMA = T.StructType(
         T.StructField("watermark_col", T.StringType()),
         T.StructField("last_watermark_value", T.StringType()),
         T.StructField("schema", T.StringType()),
+        T.StructField("partition_by", T.StringType()),
     ]
 )
 _LOG_SCHEMA = T.StructType(_LOAD_SCHEMA.fields + [T.StructField("last_ingested", T.TimestampType())])
@@ -51,6 +52,7 @@ class Load:
     watermark_col: str | None
     last_watermark_value: str | None
     schema: T.StructType
+    partition_by: tuple[str, ...] = ()
 
 
 class Lake:
@@ -111,7 +113,11 @@ class Lake:
         return {row["table_name"]: _load_of(row) for row in self.load_state(layer).collect()}
 
     def _commit(self, layer: str, table: str, load: Load) -> None:
-        values = {**load.__dict__, "schema": load.schema.json()}
+        values = {
+            **load.__dict__,
+            "schema": load.schema.json(),
+            "partition_by": json.dumps(load.partition_by),
+        }
         row = self.spark.range(0, 1, 1, 1).select(
             *[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in _LOAD_SCHEMA.fields],
             F.current_timestamp().alias("last_ingested"),
@@ -177,6 +183,10 @@ class Lake:
         path = self.path(layer, table)
         if previous is None:
             self._clear_unlogged(path, mode)
+        if keep:  # all loads of a table share one folder layout
+            if partition_by and tuple(partition_by) != previous.partition_by:
+                raise ValueError(f"{table} is partitioned by {list(previous.partition_by)}")
+            partition_by = previous.partition_by
 
         seen = Observation(f"{layer}.{table}.{load_id}")
         metrics = [F.count(F.lit(1)).alias("rows")]
@@ -202,7 +212,8 @@ class Lake:
             rows=seen.get["rows"],
             watermark_col=watermark_col,
             last_watermark_value=high,
-            schema=T.StructType(list((schema or df.schema).fields)),
+            schema=schema or df.schema,
+            partition_by=tuple(partition_by),
         )
         self._commit(layer, table, load)
         if not keep:
@@ -243,6 +254,7 @@ class Lake:
 def _load_of(row: Row) -> Load:
     values = {f: row[f] for f in _LOAD_SCHEMA.names}
     values["schema"] = T.StructType.fromJson(json.loads(row["schema"]))
+    values["partition_by"] = tuple(json.loads(row["partition_by"]))
     return Load(**values)
 
 
