@@ -3,7 +3,7 @@
 Templates are cut into segments of a few fixed lengths, and documents into overlapping windows just long enough that each holds every segment that
 begins within one stride. MinHash bands of segments and windows retrieve candidate templates; then the share of the template's word
 5-grams that the document holds is computed exactly. Only windows with an anchor word are hashed: the anchors are chosen so that every 5-gram of every template has
-one, so a window without an anchor has no 5-gram in common with any template.
+one (but for a few of common words alone), so windows without an anchor cannot make up a match.
 """
 
 from __future__ import annotations
@@ -55,12 +55,25 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]] = TEMPLA
     return table.select("license", "form", words(F.col("text")).alias("t_words")).where(F.size("t_words") >= SHINGLE)
 
 
-def anchors(templates: list[list[str]], size: int = SHINGLE) -> list[str]:
-    """Words of which every ``size`` words in a row of every template hold one; the longest words that cover most go first."""
-    open_ = [set(t[i : i + size]) for t in templates for i in range(len(t) - size + 1)]
+#: Words too frequent to serve as anchors.
+COMMON = frozenset("a an and any are as at be by can either for from if in is it its may no not of on one or other our that the their there this to under use was we which will with without you your".split())
+
+
+def anchors(templates: list[list[str]], size: int = SHINGLE, least: float = CONTAINMENT) -> list[str]:
+    """Words of which every ``size`` words in a row of a template hold one, but for those of ``COMMON`` words alone.
+
+    A text that holds the share ``least`` of a template's 5-grams still holds one with an anchor, as long as fewer than that share are of common
+    words alone; a template of which more are is an error.
+    """
+    open_ = []
+    for t in templates:
+        grams = [set(t[i : i + size]) - COMMON for i in range(len(t) - size + 1)]
+        if sum(not g for g in grams) >= least * len(grams):
+            raise ValueError(f"a template of common words alone: {' '.join(t[:12])}")
+        open_ += [g for g in grams if g]
     chosen = []
     while open_:
-        count = Counter(w for s in open_ for w in s if len(w) > 3) or Counter(w for s in open_ for w in s)
+        count = Counter(w for s in open_ for w in s)
         best = max(count, key=lambda w: (count[w] * len(w), w))
         chosen.append(best)
         open_ = [s for s in open_ if best not in s]
@@ -129,7 +142,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: fl
     spark = docs.sparkSession
     table = template_table(spark, templates)
     listed = [r.t_words for r in table.collect()]
-    spans = anchors(listed)
+    spans = anchors(listed, least=least)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), words(F.col("text")).alias("words"))
     marks = F.array(*map(F.lit, spans)) if spans else F.array().cast("array<string>")
     near = d.where(F.arrays_overlap("words", marks) & (F.size("words") >= SHINGLE))
