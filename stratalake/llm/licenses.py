@@ -143,9 +143,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: fl
     table = template_table(spark, templates)
     listed = [r.t_words for r in table.collect()]
     spans = anchors(listed, least=least)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), words(F.col("text")).alias("words"))
     marks = F.array(*map(F.lit, spans)) if spans else F.array().cast("array<string>")
-    near = d.where(F.arrays_overlap("words", marks) & (F.size("words") >= SHINGLE))
+    told = words(F.col("text"))
+    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text")).where(
+        F.arrays_overlap(told, marks) & (F.size(told) >= SHINGLE)
+    )
     t = F.col("t_words")
     cut = [
         F.when((F.size(t) >= low) & (F.size(t) < high), _bands(_segments(t, low), low))
@@ -154,12 +156,14 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: fl
     key = ["b.level", "b.band", "b.hash"]
     segments = table.select("license", "form", F.explode(F.coalesce(*cut)).alias("b")).select("license", "form", *key).distinct()
     windows = F.concat(*(_bands(_windows(F.col("words"), marks, low), low) for low in LEVELS))
-    hits = near.select("doc_id", "text_key", F.explode(windows).alias("b")).select("doc_id", "text_key", *key).join(F.broadcast(segments), ["level", "band", "hash"])
+    hits = near.withColumn("words", told).select("doc_id", "text_key", F.explode(windows).alias("b")).select("doc_id", "text_key", *key).join(F.broadcast(segments), ["level", "band", "hash"])
     candidates = hits.select("doc_id", "text_key", "license", "form")
     candidates = candidates.distinct().join(F.broadcast(table), ["license", "form"])
-    own = d.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "words")
+    # Only documents with an anchor have candidates; their texts, not their words, go through the shuffle.
+    own = near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "text")
     checked = candidates.join(own, candidates["doc_id"].eqNullSafe(own["_id"]) & (candidates["text_key"] == own["_key"]))
-    checked = checked.select("doc_id", "text_key", "license", "form", _shingle_texts(F.col("t_words")).alias("t"), _shingle_texts(F.col("words")).alias("x"))
+    texts = let(words(F.col("text")), _shingle_texts)
+    checked = checked.select("doc_id", "text_key", "license", "form", _shingle_texts(F.col("t_words")).alias("t"), texts.alias("x"))
     share = checked.select("doc_id", "text_key", "license", F.size("t").alias("shingles"), (F.size(F.array_intersect("t", "x")) / F.size("t")).alias("containment"))
     return (
         share.where(F.col("containment") >= least)
