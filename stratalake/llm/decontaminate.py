@@ -74,10 +74,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     keyed_items = items.withColumn("item_key", F.xxhash64("item")).withColumnRenamed("item_id", "_item")
     aligned = hits.join(keyed_items, hits["item_id"].eqNullSafe(keyed_items["_item"]) & (hits["item_key"] == keyed_items["item_key"])).select("doc_id", "text_key", "item_id", "shift", "item")
-    own = d.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "words")
+    # Texts go through the shuffle, not arrays of words, which are twice as large.
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), F.col("text").cast("string").alias("text"))
     placed = aligned.join(own, aligned["doc_id"].eqNullSafe(own["_id"]) & (aligned["text_key"] == own["_key"]))
     window = F.least(F.size("item"), F.lit(WINDOW))
-    same = F.transform("item", lambda w, i: F.when((i + F.col("shift") >= 0) & F.get("words", F.greatest(i + F.col("shift"), F.lit(0))).eqNullSafe(w), 1).otherwise(0))
+    same = let(
+        words(F.col("text")),
+        lambda found: F.transform(
+            "item", lambda w, i: F.when((i + F.col("shift") >= 0) & F.get(found, F.greatest(i + F.col("shift"), F.lit(0))).eqNullSafe(w), 1).otherwise(0)
+        ),
+    )
     compared = placed.select("doc_id", "text_key", "item_id", "shift", window.alias("window"), same.alias("same"))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("same") - F.col("window")),
