@@ -50,15 +50,15 @@ class Memo(dict):
 class Bpe:
     """Encoder and decoder for the ranks of a vocabulary and the pattern that cuts texts."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 700_000):
         self.ranks = ranks
         self.cuts = regex.compile(pattern)
         self.longest = max(map(len, ranks))
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.digits = {rank: str(rank) for rank in self.tokens}
         self.words_of_bits = [0] * ((max(self.tokens) >> 8) + 1)  # all 0 between merges
-        self.memo = Memo(self.merge, memo)
-        self.words = Memo(lambda word: self._cut(" " + word), memo)
+        self.words = Memo(self._word, memo)  # by word, for a space and the word
+        self.others = Memo(self.merge, memo)  # by pre-token, without a space before it
 
     def merge(self, cut: str) -> tuple[int, ...]:
         """The ids of one pre-token: a whole token stays; else the pair of least rank, leftmost, merges until none is left."""
@@ -115,8 +115,15 @@ class Bpe:
             i = after[i]
         return tuple(ids)
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        cuts = self.cuts.findall(" " + word)
+        return self.merge(cuts[0]) if len(cuts) == 1 else self._joined(cuts)
+
+    def _joined(self, cuts: list[str]) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(self.words[c[1:]] if len(c) > 1 and c[0] == " " and not c[1].isspace() else self.others[c] for c in cuts))
+
     def _cut(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.memo.__getitem__, self.cuts.findall(text))))
+        return self._joined(self.cuts.findall(text))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text.

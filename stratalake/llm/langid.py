@@ -247,10 +247,12 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     keyed = pool.withColumn("h", F.xxhash64("text", "lang")).select(
         "lang", "h", F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - size) / 2)).cast("int"), F.lit(size)).alias("text")
     )
-    langs = [r.lang for r in pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     picked: list[tuple[str, str]] = []
-    for lang in langs:  # a top-k per language: no sort of the pool, and only k rows leave a task
-        top = keyed.where(F.col("lang") == lang).orderBy("h", "text").limit(SAMPLE_PER_LANG)
+    for lang, n in counts:
+        # About twice the rows wanted pass the hash, so that few rows leave each task whatever their number.
+        least = int(min(1.0, 2 * SAMPLE_PER_LANG / n) * (1 << 32))
+        top = keyed.where((F.col("lang") == lang) & (F.shiftrightunsigned("h", 32) < least)).orderBy("h", "text").limit(SAMPLE_PER_LANG)
         picked += [(r.text, lang) for r in top.collect()]
     return picked
 

@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -141,14 +142,18 @@ class Reader:
             yield None if null else doc_id, n, pieces
 
 
+#: A word of Latin letters that goes on with another ASCII sign: a pre-token ends where the letters do.
+HEAD = regex.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([\x00-@\[-`{-\x7f].*)", regex.DOTALL)
+
+
 class WordEncoder:
-    """The tokenizers library, asked once for each word while the memo holds it.
+    """The tokenizers library, asked once for each word (and what follows its letters) while the memo holds it.
 
     Byte-level pre-tokenization never joins a word with a space that follows it, so a text's ids are those of its words, each with the space
     before it. Texts where a space follows or precedes other white space are handed over whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -160,6 +165,16 @@ class WordEncoder:
     def _ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put ids of the words into the memo; returns what it did not hold before."""
+        cut = {w: m.groups() if (m := HEAD.fullmatch(w)) else (w,) for w in words if w not in self.memo}
+        parts = [p for p in set(chain.from_iterable(cut.values())) if p not in self.memo]
+        self.memo.update(zip(parts, self._ask(parts), strict=True))
+        for w, of in cut.items():
+            if len(of) > 1:
+                self.memo[w] = self.memo[of[0]] + self.memo[of[1]]
+        return [*parts, *cut]
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for text in texts:
             if SPACES.search(text):
@@ -167,15 +182,13 @@ class WordEncoder:
                 continue
             first, *rest = text.split(" ")
             words = [first, *(" " + w for w in rest)]
-            missing = [w for w in set(words) if w not in self.memo]
-            if len(self.memo) + len(missing) > self.most:
+            if len(self.memo) > self.most:
                 self.memo.clear()
-                missing = list(set(words))
-            self.memo.update(zip(missing, self._ask(missing), strict=True))
+            new = self._learn(set(words))
             yield list(chain.from_iterable(map(self.memo.__getitem__, words)))
-            for w in missing:
+            for w in new:
                 if len(w) > MEMO_CHARS:
-                    del self.memo[w]
+                    self.memo.pop(w, None)
 
 
 _LOADED: dict[str, WordEncoder] = {}

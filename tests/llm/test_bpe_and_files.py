@@ -1,0 +1,87 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow.fs as pafs
+import pytest
+import tiktoken
+from conftest_llm import ODD
+from tokenizers import Tokenizer
+
+from stratalake.llm import bpe, token_files
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+
+
+def test_encoder_gives_the_library_ids(library):
+    ours, rng = bpe.bpe_of(RANKS, public_tokenizers.PATTERN), random.Random(5)
+    signs = "  \n\t'sd.,aeiouéßñthe  ngr漢字\U0001f600  "
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)] + [t or "" for _, t in ODD]
+    for text in texts:
+        ids = ours.encode(text)
+        assert ids == library.encode_ordinary(text)
+        assert ours.decode(ids) == text.encode()
+
+
+def test_long_pretoken_merges_like_the_library(library):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdeinorst") for _ in range(30_000))
+    ours = bpe.bpe_of(RANKS, public_tokenizers.PATTERN)
+    assert ours.encode(text) == library.encode_ordinary(text)
+    assert not any(ours.words_of_bits)  # drained
+
+
+def test_small_memo_changes_nothing(library):
+    ours = bpe.Bpe(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, memo=3)
+    text = "the cat sat on the mat and the other cat sat there " * 20
+    assert ours.encode(text) == library.encode_ordinary(text) and len(ours.words) <= 3
+
+
+def test_documents(spark, documents, library):
+    for row in bpe.encode_documents(documents(ODD, extra=True), RANKS, public_tokenizers.PATTERN, with_ids=True).collect():
+        texts = [t or "" for d, t in ODD if d == row.doc_id]
+        ids = library.encode_ordinary(texts[0])
+        assert (row.ids, row.n_tokens) == (ids, len(ids))
+        assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(texts[0].encode()).hexdigest()
+    assert bpe.encode_documents(documents([]), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("planes", [4, 32])
+def test_planes_round_trip(planes, tmp_path):
+    rng = np.random.default_rng(1)
+    for n in (1, 7, 8, 1000):
+        ids = rng.integers(0, 1 << 32, n, dtype=np.uint64).astype("<u4")
+        assert (token_files.join_planes(token_files.split_planes(ids, planes), n) == ids).all()
+    fs = pafs.LocalFileSystem()
+    docs = [(3, [1, 2, 3]), (None, []), (5, list(range(150_000))), (6, [50_256])]
+    writer = token_files.Writer(fs.open_output_stream(str(tmp_path / "a")), planes)
+    for d in docs:
+        writer.add(*d)
+    writer.close()
+    with fs.open_input_file(str(tmp_path / "a")) as f:
+        reader = token_files.Reader(f)
+        assert [(d, n, [int(x) for p in pieces for x in p]) for d, n, pieces in reader.documents()] == [(d, len(i), i) for d, i in docs]
+        assert reader.block(1)[0] == 65_536 - 3  # any block by itself
+
+
+def test_token_table(spark, documents):
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = True
+    got = sorted(token_files.token_table(documents(ODD, extra=True), JSON).collect(), key=lambda r: r.start)
+    order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    at = 0
+    for row, (doc_id, text) in zip(got, order, strict=True):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (row.doc_id, row.start, row.n_tokens) == (doc_id, at, len(ids))
+        assert row.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        at += len(ids)
+    assert token_files.token_table(documents([]), JSON).count() == 0

@@ -1,0 +1,165 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from conftest_llm import ODD
+
+from stratalake.llm import common, ngram_join, winnow
+
+
+def brute(rows, words=5):
+    """Links and classes by comparing every pair of n-gram sets, kept as tuples of words."""
+    import regex
+
+    sets = []
+    for _, text in rows:
+        found = regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
+        n = min(words, len(found))
+        sets.append({tuple(found[i : i + n]) for i in range(len(found) - n + 1)} if n else set())
+    links, roots = [0] * len(rows), list(range(len(rows)))
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common_ = len(sets[i] & sets[j])
+            if common_ and 9 * common_ >= 4 * (len(sets[i]) + len(sets[j])):
+                links[i] += 1
+                links[j] += 1
+                roots[max(root(i), root(j))] = min(root(i), root(j))
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(doc_id)
+    least = {r: min((d for d in ids if d is not None), default=None) for r, ids in groups.items()}
+    return sorted(((rows[i][0] or -1), least[root(i)], links[i], len(groups[root(i)])) for i in range(len(rows)))
+
+
+def family(seed, n, length=60):
+    """Texts that differ from a common one in a few words, and a chain of ever more different ones."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, out = [word() for _ in range(length)], []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(length)] = word()
+        out.append(" ".join(t))
+        if rng.random() < 0.3:
+            base[rng.randrange(length)] = word()
+    return out
+
+
+def result(df):
+    return sorted(((r.doc_id or -1), r.class_id, r.n_links, r.class_size) for r in df.collect())
+
+
+def test_links_and_classes_are_those_of_all_pairs(spark, documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)  # several blocks and salted buckets
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 8)
+    texts = [t for s in range(6) for t in family(s, 12)] + family(99, 90)
+    rows = list(enumerate(texts + texts[:5] + [texts[0].upper() + "!"])) + [(1000 + (d or 0), t) for d, t in ODD if t is None or len(t) < 10_000]
+    assert result(ngram_join.join_similar(documents(rows, extra=True))) == brute(rows)
+
+
+def test_odd_rows(spark, documents):
+    got = ngram_join.join_similar(documents(ODD, extra=True)).collect()
+    assert sorted((r.doc_id or -1, r.n_links) for r in got) == sorted((d or -1, int(d == 5)) for d, _ in ODD)
+    assert ngram_join.join_similar(documents([])).count() == 0
+    assert ngram_join.keep_one(documents([])).count() == 0
+    kept = ngram_join.keep_one(documents(ODD, extra=True))
+    assert kept.columns == documents(ODD, extra=True).columns and kept.count() == len(ODD) - 1
+
+
+def test_one_of_each_class_stays(spark, documents):
+    rows = list(enumerate(family(1, 30)))[::-1]
+    kept = {r.doc_id for r in ngram_join.keep_one(documents(rows)).collect()}
+    assert kept == {c for _, c, _, _ in brute(rows)}
+
+
+def test_bands_reach_the_recall():
+    for threshold in (0.5, 0.8, 0.9):
+        bands, rows = ngram_join.bands_for(threshold, 0.999, 200)
+        assert bands * rows <= 200 and 1 - (1 - threshold**rows) ** bands >= 0.999
+    with pytest.raises(ValueError):
+        ngram_join.bands_for(0.1, 0.99999, 20)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7)]
+    roots = {}
+
+    def root(i):
+        roots.setdefault(i, i)
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        roots[max(a, b)] = min(a, b)
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {i: root(i) for i in roots}
+
+
+def slow_winnow(text, k=winnow.K, window=winnow.WINDOW):
+    """Kept positions by looking at every window."""
+    points = common.code_points(text)
+    n = len(points)
+    if not n:
+        return []
+    k = min(k, n)
+    span = common.SpanHash(points)
+    hashes = [int(span(np.array([i]), np.array([i + k]))[0]) >> 32 for i in range(n - k + 1)]
+    window = min(window, len(hashes))
+    kept = set()
+    for i in range(len(hashes) - window + 1):
+        part = hashes[i : i + window]
+        kept.add(i + max(j for j, h in enumerate(part) if h == min(part)))
+    return sorted((p, hashes[p]) for p in kept)
+
+
+def test_winnowing_keeps_the_rightmost_least_hash_of_each_window():
+    rng = random.Random(4)
+    for n in (0, 1, 5, winnow.K, winnow.K + 1, winnow.K + winnow.WINDOW, 400):
+        for signs in ("a", "ab", "abcdefghij é\U0001f600"):
+            text = "".join(rng.choice(signs) for _ in range(n))
+            hashes, places = winnow.winnow(common.code_points(text))
+            assert list(zip(places.tolist(), hashes.tolist(), strict=True)) == slow_winnow(text)
+
+
+def test_shared_passage_shares_a_mark():
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    for _ in range(50):
+        passage = text(winnow.K + winnow.WINDOW - 1)
+        a, b = text(rng.randrange(200)) + passage + text(50), text(rng.randrange(200)) + passage + text(70)
+        assert len(np.intersect1d(winnow.fingerprint(a), winnow.fingerprint(b)))
+
+
+def test_fingerprints_against_the_order_of_ids(spark, documents):
+    rows = [(i * 3 % 101, t) for i, t in enumerate(family(3, 60))]
+    rows = [*{d: (d, t) for d, t in rows}.values(), (500, None), (501, ""), (502, "x" * 5000), (503, "short")]
+    got = {r.doc_id: r for r in winnow.fingerprints(documents(rows, extra=True)).collect()}
+    order = sorted(rows, reverse=True, key=lambda r: r[0])
+    assert len(got) == len(rows)
+    for (doc_id, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        text, after, r = text or "", after or "", got[doc_id]
+        half = len(text) // 2
+        changed = text[: len(text) - half] + after[:half]
+        assert r.n_chars == len(text)
+        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        own, other, far = (winnow.fingerprint(t) for t in (text, changed, after))
+        assert (r.fingerprint, r.edited_fingerprint) == (winnow.shown(own), winnow.shown(other))
+        assert (r.near_edited, r.near_next) == (winnow.likeness(own, other), winnow.likeness(own, far))
+
+
+def test_fingerprints_of_odd_rows(spark, documents):
+    assert winnow.fingerprints(documents([])).count() == 0
+    assert winnow.fingerprints(documents(ODD, extra=True)).count() == len(ODD)
+    alone = winnow.fingerprints(documents([(1, "only")])).first()
+    assert (alone.near_edited, alone.near_next) == (winnow.likeness(winnow.fingerprint("only"), winnow.fingerprint("onon")), 1.0)

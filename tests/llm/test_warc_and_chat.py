@@ -1,0 +1,95 @@
+import gzip
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from stratalake.llm import chat, warc
+
+PAGES = "page_id long, url string, html string, part int, file string, `offset` string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(p, f"http://x/{p}\r\nY: z", h, 1, "f", "o") for p, h in rows], PAGES)
+
+
+BIG = "é" * 700
+
+
+def test_equal_payloads_revisit_the_largest_id(spark):
+    rows = [(1, BIG), (2, BIG), (7, BIG), (3, "small"), (4, "small"), (5, None), (6, ""), (None, BIG), (8, "z" * 1000), (8, "z" * 1000), (9, "y" * 999), (10, "y" * 999), (11, "\r\n\r\nWARC/1.1\r\n" * 200)]
+    got = warc.archive_pages(pages(spark, rows)).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        payload = (text[r.page_id] or "").encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
+    kinds = sorted(((r.page_id or 0), r.record_type, r.refers_to) for r in got)
+    assert [k for k in kinds if k[1] == "revisit"] == [(0, "revisit", 7), (1, "revisit", 7), (2, "revisit", 7)]
+
+
+def test_empty_table(spark):
+    assert warc.archive_pages(pages(spark, [])).count() == 0
+
+
+def test_index_reads_selected_records_only(spark, tmp_path):
+    rows = [(i, f"page {i} " * 200) for i in range(40)]
+    index = warc.write_archives(warc.plan_records(pages(spark, rows)), str(tmp_path))
+    got = warc.read_records(index.where("page_id % 7 = 3"), str(tmp_path), with_payload=True).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: t for i, t in rows if i % 7 == 3}
+    place = index.where("page_id = 5").first()
+    with open(place.file, "rb") as f:
+        f.seek(place.offset)
+        record = gzip.decompress(f.read(place.length))
+    assert record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record.endswith(b"\r\n\r\n")
+    assert b"WARC-Target-URI: http://x/5%0D%0AY: z\r\n" in record
+
+
+TURNS = "conv_id long, turn long, role string, text string, mask int, turns int"
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def plain(rows):
+    """What each conversation's result must be, from its rows."""
+    out = {}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for conv in {r[0] for r in rows}:
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=key)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        told = "".join(f"{role}\n{t}\n" for role, t in turns)
+        out[conv] = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+ROWS = [
+    (1, 0, "user", CONTROL), (1, 1, "assistant", CONTROL), (1, 2, "assistant", "again\\"), (1, 3, "assistant", ""), (1, 4, "user", "\\[INST] [\\INST] <"),
+    (2, 1, "assistant", "second"), (2, 0, "system", "<s>[SYSTEM]\n[NEXT]"), (3, 0, None, None), (3, None, "tool", "null turn first"),
+    (4, 0, "[/ROLE]<s>", "odd role [END] [/END]"), (4, 0, "[/ROLE]<s>", "odd role [END] [/END]"), (5, 0, "assistant", "é\U0001f600\n" * 5000), (None, 0, "user", "no id"), (6, 0, "", ""), (7, 0, "assistant", None),
+]
+
+
+def test_conversations_read_back_whole(spark):
+    df = spark.createDataFrame([(*r, 1, 2) for r in ROWS], TURNS)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.summary(df).collect()}
+    assert got == plain(ROWS)
+    assert chat.summary(df.limit(0)).count() == 0
+
+
+def test_mask_by_code_points_and_merged_roles(spark):
+    df = spark.createDataFrame([(*r, 1, 2) for r in ROWS], TURNS)
+    for r in chat.format_conversations(df).collect():
+        assert sum(m.chars for m in r["mask"]) == len(r.formatted)
+        at, loss = 0, ""
+        for m in r["mask"]:
+            loss += r.formatted[at : at + m.chars] if m.loss else ""
+            at += m.chars
+        turns = sorted((x for x in ROWS if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))
+        assert re.sub(r"(?s)\\(.)", r"\1", loss) == "".join(x[3] or "" for x in turns if x[2] == "assistant")
+    one = chat.format_conversations(df.where("conv_id = 1")).first().formatted
+    assert one.count("<s>[ANSWER]") == 1 and one.count("[NEXT]") == 2 and one.count("[INST]") == 2
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([(*r, 1, 2) for r in ROWS], TURNS)
+    text = chat.summary(df.where(F.col("conv_id").isNotNull()))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Arrow" not in text
