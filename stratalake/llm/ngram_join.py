@@ -287,10 +287,17 @@ def keep_one(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
 
     Rows of a class of their own pass through; of others one row is picked by an aggregate that combines before the shuffle.
     """
-    labels = join_similar(docs, threshold).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("class_key").alias("_class"), F.col("class_size").alias("_size")).distinct()
-    keyed = docs.withColumn("_own_key", text_key())
-    joined = keyed.join(labels, keyed["doc_id"].cast("long").eqNullSafe(labels["_id"]) & (keyed["_own_key"] == labels["_key"]))
-    alone = joined.where("_size = 1").select(*docs.columns)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    picked = joined.where("_size > 1").groupBy("_class").agg(F.min_by(row, F.struct(F.col("_id").isNull(), "_id", "_key")).alias("row"))
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):  # names that no column of docs has
+        mark += "_"
+    id_, key, own, group, size = (mark + c for c in ("id", "key", "own", "class", "size"))
+    labels = join_similar(docs, threshold).select(
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("class_key").alias(group), F.col("class_size").alias(size)
+    )
+    labels = labels.distinct()
+    keyed = docs.withColumn(own, text_key())
+    joined = keyed.join(labels, keyed["doc_id"].cast("long").eqNullSafe(labels[id_]) & (keyed[own] == labels[key]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = joined.where(F.col(size) == 1).select(*columns)
+    picked = joined.where(F.col(size) > 1).groupBy(group).agg(F.min_by(F.struct(*columns), F.struct(F.col(id_).isNull(), id_, key)).alias("row"))
     return alone.unionByName(picked.select("row.*"))
