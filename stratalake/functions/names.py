@@ -8,7 +8,8 @@ AUDIT_COLUMNS = ("_ingestion_timestamp", "_source_name", "_load_mode")
 BAD_RECORD = "_corrupt_record"
 LOAD_ID = "_load_id"
 
-_WORD = re.compile(r"(?<=[^\n])(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])")
+# The naming rule, two patterns that are applied in this order.
+SNAKE_CASE = (r"(.)([A-Z][a-z]+)", r"([a-z0-9])([A-Z])")
 
 
 def to_snake_case(name: str) -> str:
@@ -17,7 +18,9 @@ def to_snake_case(name: str) -> str:
     A word starts at a capital followed by a lower-case letter, or at a capital
     after a lower-case letter or digit. Spaces stay as they are.
     """
-    return _WORD.sub("_", name).lower()
+    for pattern in SNAKE_CASE:
+        name = re.sub(pattern, r"\1_\2", name)
+    return name.lower()
 
 
 def _strip_layer(name: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,6 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/stratalake/{name}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
+    if re.match(r"local(\[|$)", spark.sparkContext.master):  # not local-cluster, whose executors have folders of their own
         return tempfile.mkdtemp(prefix=f"stratalake-{name}-")
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

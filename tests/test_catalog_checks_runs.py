@@ -43,7 +43,7 @@ def test_orphans_of_the_samples(spark, tmp_path, lake):
     from stratalake import read_source
 
     lost = Q.orphans(read_source(spark, str(path)), employees(spark), "employee_id").collect()
-    assert [r.employee_id for r in lost] == [8899]
+    assert [r.employee_id for r in lost] == [77]
 
 
 def test_bad_records(spark, tmp_path, lake):

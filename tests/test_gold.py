@@ -55,9 +55,9 @@ def test_customer_revenue(spark, tmp_path, strategy):
     assert dict(out.dtypes)["total_spend"] == "double" and dict(out.dtypes)["last_active_at"] == "string"
     got = {k: tuple(r)[3:] for k, r in _rows(out, "customer_id").items()}
     assert got == {
-        1001: (2, 500.5, 250.25, "2026-07-11T09:30:00Z", True),
-        1002: (1, 45.0, 45.0, "2026-07-11T08:15:00Z", False),
-        1003: (1, None, None, None, False),  # the unmatched row counts; a flag is never NULL
+        51: (1, 310.0, 310.0, "2025-02-02T09:00:00Z", True),
+        52: (2, 32.5, 16.25, "2025-02-03T12:30:00Z", False),
+        53: (1, None, None, None, False),  # the unmatched row counts; a flag is never NULL
     }
 
 
@@ -82,9 +82,9 @@ def test_fleet_efficiency(spark, tmp_path, strategy):
         rows = _rows(build_gold({"vehicles": vehicles(spark), "routes": routes}, plan, strategy=strategy), "vehicle_id")
     finally:
         spark.conf.unset("spark.sql.ansi.enabled")
-    assert sorted(rows) == [301, 302, 303]
-    assert rows[302].fuel_efficiency_mpg is None
-    want = {301: (43.0, 150.5 / 12.2), 303: (44.2526, 420.4 / 45.8)}
+    assert sorted(rows) == [41, 42, 43]
+    assert rows[43].fuel_efficiency_mpg is None
+    want = {41: (50.0, 12.5), 42: (55.5, 11.0)}
     for k, (mph, mpg) in want.items():
         assert math.isclose(rows[k].average_speed_mph, mph, rel_tol=1e-5)
         assert math.isclose(rows[k].fuel_efficiency_mpg, mpg, rel_tol=1e-5)
@@ -111,8 +111,8 @@ def test_leave_by_department(spark, tmp_path, strategy):
         with pytest.raises(PlanError, match="two_step"):
             build_gold(source, plan, strategy=strategy)
         return
-    rows = _rows(build_gold(source, plan, as_of="2026-07-12", strategy=strategy), "department")
-    assert {k: tuple(r)[1:] for k, r in rows.items()} == {"X": (1, 7, 10, 100.0), "Y": (1, 1, -1, 200.0)}
+    rows = _rows(build_gold(source, plan, as_of="2025-03-10", strategy=strategy), "department")
+    assert {k: tuple(r)[1:] for k, r in rows.items()} == {"X": (1, 10, 3, 110.0), "Y": (1, 2, 58, 220.0)}
 
 
 @pytest.mark.parametrize("strategy", STRATEGIES)
@@ -124,10 +124,10 @@ def test_sla_audit(spark, tmp_path, strategy):
         "pre_columns": [
             {
                 "column": "agent_full_name",
-                "expression": "CASE WHEN agent_id = 799 THEN 'AUTOMATED_BOT' "
+                "expression": "CASE WHEN agent_id = 99 THEN 'Robot' "
                 "ELSE concat_ws(' ', agents.first_name, last_name) END",
             },
-            {"column": "support_tier", "expression": "CASE WHEN agent_id = 799 THEN 'AI_AGENT' ELSE tier_level END"},
+            {"column": "support_tier", "expression": "CASE WHEN agent_id = 99 THEN 'machine' ELSE tier_level END"},
             {
                 "column": "breach",
                 "expression": "CASE WHEN (priority = 'Critical' AND response_time_minutes > 15) OR (priority = 'High' "
@@ -146,10 +146,10 @@ def test_sla_audit(spark, tmp_path, strategy):
     source = {"tickets": tickets, "agents": agents(spark)}
     rows = _rows(build_gold(source, plan, strategy=strategy), "agent_id")
     assert {k: tuple(r)[1:] for k, r in rows.items()} == {
-        701: ("Ada Lane", "T1", 2, 112.5, 2, 50.0),
-        702: ("Ben Moss", "T2", 1, 12.0, 0, 100.0),
-        703: ("Cat Nash", "T1", 0, None, 0, None),
-        799: ("AUTOMATED_BOT", "AI_AGENT", 1, 30.0, 0, 100.0),
+        21: ("Ada Lane", "T1", 1, 9.0, 0, 100.0),
+        22: ("Ben Moss", "T2", 2, 32.0, 1, 50.0),
+        23: ("Cat Nash", "T1", 0, None, 0, None),
+        99: ("Robot", "machine", 1, 121.0, 1, 0.0),
     }
 
 
