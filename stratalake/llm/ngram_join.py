@@ -31,6 +31,8 @@ SALT_ROWS, BLOCK = 512, 512
 #: Sketch distances, as shares of differing values: nearer than TIGHT is covered by the pivot; a pair at the threshold is
 #: within SLACK but for a chance of about 1e-6.
 TIGHT, SLACK = 0.1, 0.36
+#: The reach of the member that all parts of a cut bucket share.
+HEAD = 0.85
 
 
 def bands_for(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -96,8 +98,13 @@ def signatures(docs: DataFrame, threshold: Fraction = THRESHOLD, words: int = WO
 
 
 def _pivots(batches: Iterator[pa.RecordBatch], reach: float, keep_pivots: bool) -> Iterator[pa.RecordBatch]:
-    """Go through sorted buckets: links (a, b), and with ``keep_pivots`` the pivots of cut buckets as rows with a null b."""
-    bucket, pivots, names = None, np.zeros((0, 0), np.uint8), []
+    """Go through sorted buckets: links (a, b), and with ``keep_pivots`` the pivots of cut buckets as rows with a null b.
+
+    A member links to one pivot of each group of linked pivots within reach, and makes them one group: as connected as links to all of them,
+    but never more of them than members. The first pivot of a cut bucket is in all its parts and reaches to ``HEAD``; pivots so near it that whatever
+    is within ``reach`` of them or of what they cover is linked with it as well need no second pass.
+    """
+    bucket, pivots, names, group = None, np.zeros((0, 0), np.uint8), [], np.zeros(0, np.int64)
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -109,15 +116,23 @@ def _pivots(batches: Iterator[pa.RecordBatch], reach: float, keep_pivots: bool)
         out: list[tuple] = []
         for i in range(n):
             if keys[i] != bucket:
-                bucket, pivots, names = keys[i], np.zeros((0, width), np.uint8), []
+                bucket, pivots, names, group = keys[i], np.zeros((0, width), np.uint8), [], np.zeros(0, np.int64)
             if names and names[0] == nodes[i]:
                 continue  # the bucket's least member came first already
             apart = (pivots != sketches[i]).mean(axis=1)
-            out += [(nodes[i], names[k], None) for k in np.flatnonzero(apart <= reach)]
+            near = apart <= reach
+            if parts[i] > 1 and names and apart[0] <= HEAD:
+                near[0] = True
+            groups, first = np.unique(group[near], return_index=True)
+            out += [(nodes[i], names[k], None) for k in np.flatnonzero(near)[first]]
+            own = groups[0] if len(groups) else len(names)
+            group[np.isin(group, groups)] = own
             if not (apart <= TIGHT).any():
+                far = not names or apart[0] > HEAD - SLACK - TIGHT
                 pivots = np.concatenate([pivots, sketches[i : i + 1]])
                 names.append(nodes[i])
-                if keep_pivots and parts[i] > 1:
+                group = np.append(group, own)
+                if keep_pivots and parts[i] > 1 and far:
                     out.append((nodes[i], None, bucket[0]))
         if out:
             a, b, cut = zip(*out, strict=True)
@@ -131,7 +146,7 @@ def families(signed: DataFrame) -> DataFrame:
     """(node, root) of the sets that may be similar to another one.
 
     A bucket of many members is dealt out over tasks by a salt. Each task goes through its members after the bucket's least member, so that what is near that one
-    needs no other task; the pivots of such a bucket then meet in a second pass with a wider reach.
+    needs no other task; the other pivots of such a bucket then meet in a second pass with a wider reach.
     """
     sets = signed.where("set_key is not null").groupBy("set_key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     banded = sets.select("set_key", F.explode("bands").alias("bucket"))
