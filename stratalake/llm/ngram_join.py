@@ -39,7 +39,7 @@ def bands_for(threshold: float, recall: float = RECALL, most: int = MOST_HASHES)
     """(bands, rows): the most rows per band, so the fewest chance hits, that reach the recall at the threshold with at most ``most`` hashes."""
     best = None
     for rows in range(1, most + 1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))))
         if bands * rows <= most:
             best = bands, rows
     if best is None:
