@@ -1,7 +1,4 @@
-"""Aggregate expressions the plans use beyond the plain SQL ones.
-
-All divisions are ``try_divide``: a zero denominator gives NULL with ANSI on or off.
-"""
+"""Expressions the plans use beyond the plain SQL ones."""
 
 from __future__ import annotations
 
@@ -9,20 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ratio_of_sums(num: Column, den: Column) -> Column:
-    return F.try_divide(F.sum(num), F.sum(den))
-
-
-def count_where(cond: Column) -> Column:
-    """Rows where ``cond`` is true, 0 (not NULL) for a group without any."""
-    return F.sum(F.when(cond, 1).otherwise(0))
-
-
-def percent_where(cond: Column, of: Column) -> Column:
-    """``count_where(cond)`` per counted ``of``, times 100; NULL when nothing was counted."""
-    return F.try_divide(count_where(cond), F.count(of)) * 100
-
-
 def flag(cond: Column) -> Column:
     """A condition as a boolean that is never NULL."""
     return F.coalesce(cond, F.lit(False))

@@ -39,10 +39,6 @@ def silver_name(bronze: str) -> str:
     return re.sub(r"_bronze$", "", bronze) + "_silver"
 
 
-def base_name(table: str) -> str:
-    return _strip_layer(table)
-
-
 def summary_name(table: str) -> str:
     return _strip_layer(table) + "_summary"
 

@@ -121,7 +121,7 @@ def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
     x, y = a.simpleString(), b.simpleString()
     if x in _WHOLE_ORDER and y in _WHOLE_ORDER:
         return a if _WHOLE_ORDER.index(x) > _WHOLE_ORDER.index(y) else b
-    if {x, y} == {"float", "double"}:
+    if {x, y} == {"float", "double"} or (y == "double" and x in _WHOLE_ORDER[:3]) or (x == "double" and y in _WHOLE_ORDER[:3]):
         return T.DoubleType()
     if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
         scale = max(a.scale, b.scale)

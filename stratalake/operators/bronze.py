@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from stratalake.functions.names import AUDIT_COLUMNS
 from stratalake.functions.schema import wider_type
-from stratalake.sources.lake import Lake, Load, watermark_text, watermark_value
+from stratalake.sources.lake import STREAM, Lake, Load, watermark_text, watermark_value
 
 
 class SchemaConflict(ValueError):
@@ -61,6 +61,21 @@ def align(df: DataFrame, stored: T.StructType) -> tuple[DataFrame, T.StructType]
     return df.select(*columns), T.StructType(fields)
 
 
+def fit(df: DataFrame, stored: T.StructType) -> tuple[DataFrame, T.StructType]:
+    """``align``, but a column without any value in the batch, whose inferred type says nothing, takes the stored type."""
+    try:
+        return align(df, stored)
+    except SchemaConflict:
+        types = {f.name.lower(): f.dataType for f in stored.fields}
+        differ = [f.name for f in df.schema.fields if wider_type(types.get(f.name.lower(), f.dataType), f.dataType) is None]
+        values = df.agg(*[F.count(F.col(f"`{c}`")) for c in differ]).first()
+        empty = [c for c, n in zip(differ, values, strict=True) if n == 0]
+        if not empty:
+            raise
+    columns = [F.lit(None).cast(types[c.lower()]).alias(c) if c in empty else F.col(f"`{c}`") for c in df.columns]
+    return align(df.select(*columns), stored)
+
+
 def newer_than(df: DataFrame, column: str, load: Load | None, lookback: str | None = None) -> DataFrame:
     """Rows above the stored watermark, compared with a typed literal so the filter reaches
     the source. ``lookback`` (an SQL literal such as ``interval 1 hour`` or ``100``) lowers
@@ -76,9 +91,10 @@ def newer_than(df: DataFrame, column: str, load: Load | None, lookback: str | No
 def _with_watermark(lake: Lake, table: str, load: Load, column: str) -> Load:
     """The load with its watermark for ``column``. When earlier loads kept none (or one of another
     column) it is taken from the stored rows, so that they are not loaded again."""
-    known = load.watermark_col == column and load.last_watermark_value is not None
-    if known or column not in load.schema.names:
+    if load.watermark_col == column and load.last_watermark_value is not None:
         return load
+    if column not in load.schema.names:  # no stored row has a value, and another column's says nothing
+        return replace(load, watermark_col=column, last_watermark_value=None)
     stored = lake.read("bronze", table, load=load)
     high = stored.agg(watermark_text(stored, column)).first()[0]
     return replace(load, watermark_col=column, last_watermark_value=high)
@@ -109,11 +125,13 @@ def load_bronze(
     previous = lake.latest("bronze", table)
     schema = None
     if mode == "incremental" and previous is not None:
+        if previous.source_type == STREAM:
+            raise ValueError(f"{table} is filled by a file stream; load batches into another table")
         if watermark_col:
             previous = _with_watermark(lake, table, previous, watermark_col)
             df = newer_than(df, watermark_col, previous, lookback)
         batch = with_audit(df, source_name, mode)
-        batch, schema = align(batch, previous.schema)
+        batch, schema = fit(batch, previous.schema)
         if lookback is not None and previous.last_watermark_value is not None:
             keys = [key] if isinstance(key, str) else list(key)
             stored = newer_than(lake.read("bronze", table, load=previous), watermark_col, previous, lookback)

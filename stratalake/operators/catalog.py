@@ -37,7 +37,7 @@ def layer_catalog(lake: Lake, layers=LAYERS) -> DataFrame:
 
 def load_overview(lake: Lake) -> DataFrame:
     """Bronze tables with their latest load; tables nobody logged show NULLs."""
-    state = lake.load_state("bronze").drop("rows", "schema", "partition_by")
+    state = lake.load_state("bronze").drop("rows", "schema", "partition_by", "source_load_id", "batch")
     return layer_catalog(lake, ("bronze",)).join(state, "table_name", "left")
 
 

@@ -60,15 +60,11 @@ def build_silver(
     table = silver_name(bronze_table)
     source = lake.latest("bronze", bronze_table)
     done = lake.latest("silver", table)
-    add = (
-        incremental
-        and source is not None
-        and done is not None
-        and done.load_id >= source.first_load_id
-    )
-    if add and done.load_id == source.load_id:
+    covered = done.source_load_id if done else None
+    add = incremental and source is not None and covered is not None and covered >= source.first_load_id
+    if add and covered == source.load_id:
         return done
-    bronze = lake.read("bronze", bronze_table, done.load_id if add else None, load=source)
+    bronze = lake.read("bronze", bronze_table, covered if add else None, load=source)
     silver = to_silver(bronze, pk, widen, keep_boolean, nested)
     schema = None
     if add:
@@ -82,6 +78,6 @@ def build_silver(
         source_type="layer",
         source_name=bronze_table,
         partition_by=partition_by,
-        load_id=source.load_id if source else None,
+        source_load_id=source.load_id if source else None,
         previous=done,
     )

@@ -9,6 +9,7 @@ from stratalake.functions.names import BAD_RECORD
 from stratalake.operators.bronze import data_columns, load_bronze, newer_than, with_audit
 from stratalake.operators.catalog import load_overview, row_counts
 from stratalake.operators.quality import split_bad_records
+from stratalake.operators.silver import build_silver
 from stratalake.queries.base import Registry, new_lake, table
 from stratalake.runs import SourceSpec, run_layers
 from stratalake.sources.files import files_exist, read_source
@@ -234,6 +235,68 @@ def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data_columns(lake.read("bronze", "events_bronze"))
 
 
+@R.query("""
+    SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus,
+        CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS o_orderpriority
+    FROM orders
+""")
+def stream_schema_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in two ingests; the files of the second lack a column and bring another one."""
+    folder = scratch_dir(spark, "landing") + "/orders"
+    lake = new_lake(spark, "growth")
+    orders = table(spark, sf_dir, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    orders.where(~odd).select("o_orderkey", "o_custkey", "o_orderstatus").write.mode("append").parquet(folder)
+    ingest_new_files(lake, folder, "orders_bronze")
+    orders.where(odd).select("o_orderkey", "o_orderpriority", "o_custkey").write.mode("append").parquet(folder)
+    for _ in range(2):
+        ingest_new_files(lake, folder, "orders_bronze")
+    return data_columns(lake.read("bronze", "orders_bronze"))
+
+
+@R.query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
+def stream_csv_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV files whose columns come in two orders, ingested by their headers."""
+    folder = scratch_dir(spark, "landing") + "/orders"
+    lake = new_lake(spark, "reordered")
+    orders = table(spark, sf_dir, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    orders.where(~odd).select("o_orderkey", "o_custkey", "o_orderpriority").write.mode("append").csv(folder, header=True)
+    orders.where(odd).select("o_custkey", "o_orderpriority", "o_orderkey").write.mode("append").csv(folder, header=True)
+    given = orders.select("o_orderkey", "o_custkey", "o_orderpriority").schema
+    for _ in range(2):
+        ingest_new_files(lake, folder, "orders_bronze", given, "csv")
+    return data_columns(lake.read("bronze", "orders_bronze"))
+
+
+@R.query("""
+    SELECT event_id, user_id, CASE WHEN event_id % 2 = 1 THEN event_id + 1 END AS seq FROM events
+""")
+def bronze_watermark_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events watched by event_id, then by a column that only the second batch has."""
+    lake = new_lake(spark, "watched")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    odd = F.col("event_id") % 2 == 1
+    load_bronze(lake, "events_bronze", events.where(~odd), "events", "incremental", watermark_col="event_id")
+    later = events.where(odd).withColumn("seq", F.col("event_id") + 1)
+    for _ in range(2):
+        load_bronze(lake, "events_bronze", later, "events", "incremental", watermark_col="seq")
+    return data_columns(lake.read("bronze", "events_bronze"))
+
+
+@R.query("SELECT o_orderkey, o_custkey FROM orders")
+def silver_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in two incremental steps through Silver, then rebuilt in full."""
+    lake = new_lake(spark, "rebuild")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    odd = F.col("o_orderkey") % 2 == 1
+    for part in (orders.where(~odd), orders.where(odd)):
+        load_bronze(lake, "orders_bronze", part, "orders", "incremental")
+        build_silver(lake, "orders_bronze", pk="o_orderkey", widen=True, incremental=True)
+    build_silver(lake, "orders_bronze", pk="o_orderkey", widen=True)
+    return data_columns(lake.read("silver", "orders_silver"))
+
+
 @R.query("""
     SELECT 'bronze' AS layer, 'orders_bronze' AS table_name, 'success' AS status, count(*) AS n FROM orders
     UNION ALL SELECT 'bronze', 'customer_bronze', 'success', count(*) FROM customer

@@ -11,12 +11,12 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from stratalake.functions.names import bronze_name, silver_name, summary_name
-from stratalake.operators.bronze import data_columns, load_bronze
+from stratalake.operators.bronze import load_bronze
 from stratalake.operators.silver import build_silver
 from stratalake.plans.gold import run_gold
 from stratalake.plans.spec import plans_of
 from stratalake.plans.summary import run_summary
-from stratalake.sources.files import format_of, read_source
+from stratalake.sources.files import FORMATS, MissingSource, format_of, read_source
 from stratalake.sources.jdbc import JdbcTable, read_jdbc
 from stratalake.sources.lake import Lake
 from stratalake.sources.storage import path_exists
@@ -33,6 +33,7 @@ class SourceSpec:
 
     An incremental load takes the rows above the stored ``watermark_col``. Without one, a file
     source takes the files it has not seen before; a JDBC source is appended whole.
+    ``options`` are reader options of ``read_source`` (of a file stream: ``comment``).
     """
 
     source: str | JdbcTable
@@ -46,6 +47,7 @@ class SourceSpec:
     pk: str | None = None
     widen: bool = False
     name: str | None = None
+    options: dict | None = None
 
     @property
     def is_jdbc(self) -> bool:
@@ -65,7 +67,7 @@ class SourceSpec:
 
     def read(self, lake: Lake) -> DataFrame:
         if not self.is_jdbc:
-            return read_source(lake.spark, self.source, self.fmt, self.schema)
+            return read_source(lake.spark, self.source, self.fmt, self.schema, **(self.options or {}))
         return read_jdbc(
             lake.spark,
             self.source,
@@ -81,7 +83,7 @@ class SourceSpec:
             return None
         load = lake.latest("bronze", self.bronze_table) if self.watermark_col else None
         kinds = ("int", "bigint", "smallint", "date", "timestamp_ntz")
-        if load is None or load.schema[self.watermark_col].dataType.simpleString() not in kinds:
+        if load is None or self.watermark_col not in load.schema.names or load.schema[self.watermark_col].dataType.simpleString() not in kinds:
             return None
         return load.last_watermark_value
 
@@ -104,6 +106,16 @@ def run_layers(
     tables that lack their input are skipped. The result has one row per table and layer.
     """
     results: list[tuple] = []
+    for name, names in (("bronze", [s.bronze_table for s in sources]), ("silver", [s.silver_table for s in sources])):
+        twice = sorted({n for n in names if names.count(n) > 1})
+        if twice:
+            raise ValueError(f"several sources make the same {name} table: {twice}")
+    parsed: list = []
+    for d in plans:
+        try:
+            parsed += plans_of(d)
+        except Exception as e:  # a plan that cannot be read is a failed row, like any other
+            parsed.append((str(d.get("destination")), e))
 
     def layer(name: str, jobs: list[tuple[str, Callable[[], int]]], go: bool) -> set[str]:
         """Run a layer's jobs; gives the tables that are done."""
@@ -127,7 +139,7 @@ def run_layers(
     whole = whole and len(made) == len(silver)
 
     go = whole or not stop_on_failure
-    gold = [(p.destination, lambda p=p: run_gold(lake, p)) for d in plans for p in plans_of(d)]
+    gold = [(p[0], lambda p=p: _refuse(p[1])) if isinstance(p, tuple) else (p.destination, lambda p=p: run_gold(lake, p)) for p in parsed]
     if summaries:
         gold += [
             (summary_name(s.silver_table), lambda s=s: run_summary(lake, s.silver_table))
@@ -138,6 +150,10 @@ def run_layers(
     return lake.spark.createDataFrame(results, RESULT)
 
 
+def _refuse(error: Exception) -> int:
+    raise error
+
+
 def _attempt(layer: str, table: str, job: Callable[[], int]) -> tuple:
     try:
         return layer, table, "success", job(), None
@@ -148,9 +164,13 @@ def _attempt(layer: str, table: str, job: Callable[[], int]) -> tuple:
 
 def _bronze(lake: Lake, spec: SourceSpec) -> int:
     if spec.mode == "incremental" and not spec.is_jdbc and not spec.watermark_col:
-        schema = spec.schema or _stored_schema(lake, spec.bronze_table) or spec.read(lake).schema
-        fmt = spec.fmt or format_of(spec.source)
-        return ingest_new_files(lake, spec.source, spec.bronze_table, schema, fmt)
+        fmt, options = (spec.fmt or format_of(spec.source)).lower(), dict(spec.options or {})
+        if fmt not in FORMATS:  # as ``read_source`` does
+            log.warning("format %r is not known, reading %s as CSV", fmt, spec.source)
+            fmt, options = "csv", {"comment": None}
+        if not path_exists(lake.spark, spec.source):
+            raise MissingSource(f"no such source: {spec.source}")
+        return ingest_new_files(lake, spec.source, spec.bronze_table, spec.schema, fmt, comment=options.get("comment", "/"))
     return load_bronze(
         lake,
         spec.bronze_table,
@@ -164,13 +184,6 @@ def _bronze(lake: Lake, spec: SourceSpec) -> int:
     ).rows
 
 
-def _stored_schema(lake: Lake, table: str):
-    """The schema of an earlier ingest, so that a rerun infers nothing from the whole folder."""
-    if not path_exists(lake.spark, lake.path("bronze", table)):
-        return None
-    return data_columns(lake.read("bronze", table)).schema
-
-
 def _silver(lake: Lake, spec: SourceSpec, incremental: bool) -> int:
     return build_silver(
         lake, spec.bronze_table, pk=spec.pk, widen=spec.widen, incremental=incremental

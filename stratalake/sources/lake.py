@@ -22,6 +22,9 @@ from stratalake.sources.storage import child_dirs, children, delete_dir, path_ex
 
 LAYERS = ("bronze", "silver", "gold")
 
+#: Source type of a table that a file stream fills.
+STREAM = "stream"
+
 _LOAD_SCHEMA = T.StructType(
     [
         T.StructField("load_id", T.LongType()),
@@ -34,6 +37,8 @@ _LOAD_SCHEMA = T.StructType(
         T.StructField("last_watermark_value", T.StringType()),
         T.StructField("schema", T.StringType()),
         T.StructField("partition_by", T.StringType()),
+        T.StructField("source_load_id", T.LongType()),
+        T.StructField("batch", T.LongType()),
     ]
 )
 _LOG_SCHEMA = T.StructType(_LOAD_SCHEMA.fields + [T.StructField("last_ingested", T.TimestampType())])
@@ -53,6 +58,9 @@ class Load:
     last_watermark_value: str | None
     schema: T.StructType
     partition_by: tuple[str, ...] = ()
+    #: The load of the layer before that this one covers, and the number of a stream's batch.
+    source_load_id: int | None = None
+    batch: int | None = None
 
 
 class Lake:
@@ -167,18 +175,19 @@ class Lake:
         source_name: str | None = None,
         watermark_col: str | None = None,
         partition_by: Sequence[str] = (),
-        load_id: int | None = None,
+        source_load_id: int | None = None,
+        batch: int | None = None,
         previous: Load | None = None,
     ) -> Load:
         """Store one load and commit it.
 
         Row count and highest watermark are observed while the rows are written: the
         source is read once. ``observe`` sits right under the write, in the last stage,
-        where a retried task is counted once. ``mode='full'`` replaces the table.
+        where a retried task is counted once. ``mode='full'`` replaces the table. Every load has a
+        folder of its own, so readers of the committed ones see nothing of it before its commit.
         """
         previous = previous or self.latest(layer, table)
-        if load_id is None:
-            load_id = previous.load_id + 1 if previous else 1
+        load_id = previous.load_id + 1 if previous else 1
         keep = mode == "incremental" and previous is not None
         path = self.path(layer, table)
         if previous is None:
@@ -214,6 +223,8 @@ class Lake:
             last_watermark_value=high,
             schema=schema or df.schema,
             partition_by=tuple(partition_by),
+            source_load_id=source_load_id,
+            batch=batch,
         )
         self._commit(layer, table, load)
         if not keep:

@@ -2,67 +2,126 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalake.functions.names import check_table_name
-from stratalake.sources.lake import Lake
+from stratalake.operators.bronze import align, fit, with_audit
+from stratalake.sources.files import FORMATS, read_source
+from stratalake.sources.lake import STREAM, Lake
 from stratalake.sources.storage import is_dir
 
-_READERS = {"csv": "csv", "tsv": "csv", "json": "json", "parquet": "parquet"}
-
 
-def stream_source(
-    spark: SparkSession,
-    path: str,
-    fmt: str,
-    schema: T.StructType | str,
-    max_files_per_trigger: int | None = None,
-) -> DataFrame:
-    """A streaming read of a folder, or of one file in it, with the settings of a batch read."""
-    if fmt not in _READERS:
-        raise ValueError(f"format must be one of {sorted(_READERS)}, not {fmt!r}")
-    reader = spark.readStream.format(_READERS[fmt]).schema(schema)
-    if _READERS[fmt] == "csv":
-        reader = reader.options(header=True, comment="/", sep="\t" if fmt == "tsv" else ",")
+def new_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the names of the files in a folder, or of one file; it opens none of them."""
+    reader = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length long, content binary"
+    )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if not is_dir(spark, path):
         path = f"{path[:-1]}[{path[-1]}]"  # the stream takes one file only as a pattern
-    return reader.load(path)
+    return reader.load(path).select("path")
+
+
+def _literal(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def by_header(spark: SparkSession, paths: Sequence[str], comment: str | None) -> list[list[str]]:
+    """CSV files grouped by their header line, the first that is neither blank nor a comment."""
+    lines = spark.read.text([_literal(p) for p in paths]).where(F.trim("value") != "")
+    if comment:
+        lines = lines.where(~F.col("value").startswith(comment))
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    first = lines.select("value", place.alias("place"), F.col("_metadata.file_path").alias("file"))
+    headers = first.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    return [[unquote(f) for f in row.files] for row in groups.collect()]
+
+
+def _read_files(
+    spark: SparkSession, paths: Sequence[str], fmt: str, known: T.StructType, base: str | None, comment: str | None
+) -> Iterator[DataFrame]:
+    """The files as one table per header (CSV) or one in all; known columns get their known types. With audit columns."""
+    for group in by_header(spark, paths, comment) if fmt in ("csv", "tsv") else [list(paths)]:
+        files = [_literal(p) for p in group]
+        types = {f.name.lower(): f.dataType for f in known.fields}
+        found = read_source(spark, files, fmt, comment=comment, merge_schema=True, base=base, infer=False).schema
+        if any(f.name.lower() not in types for f in found.fields) and fmt in ("csv", "tsv"):
+            found = read_source(spark, files, fmt, comment=comment, base=base).schema
+        if fmt != "parquet":  # a Parquet file's own types are widened by ``align``
+            found = T.StructType([T.StructField(f.name, types.get(f.name.lower(), f.dataType)) for f in found.fields])
+        df = read_source(spark, files, fmt, found, comment=comment, merge_schema=True, base=base)
+        yield with_audit(df, "", "incremental").withColumn("_source_name", F.col("_metadata.file_path"))
 
 
 def ingest_new_files(
     lake: Lake,
     path: str,
     table: str,
-    schema: T.StructType | str,
+    schema: T.StructType | str | None = None,
     fmt: str = "parquet",
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = 10_000,
+    comment: str | None = "/",
 ) -> int:
     """Append the files of a folder that were not ingested before, then stop; gives the new rows.
 
-    The checkpoint, kept beside the layers on shared storage, records which files were read and
-    the Parquet sink which batches were committed, so a rerun after a failure repeats nothing.
-    ``max_files_per_trigger`` bounds a batch when a folder brings a large backlog. The source
-    name of a row is its file.
+    A stream of file names, with its checkpoint beside the layers, decides which files make up a batch. Each
+    batch is read by the files' own headers, fitted to the stored schema (missing columns become NULL, new ones are added,
+    types widen or are refused) and committed as one load that keeps the batch's number: a batch that is
+    repeated after a failure either was committed and is passed over, or overwrites what the failure left.
+    ``schema`` gives types of columns; others are inferred, per batch, and fitted to the stored ones. CSV files are read once more for
+    their headers. ``max_files_per_trigger`` bounds the files, and so the list of names, of a batch.
     """
-    if lake.latest("bronze", table) is not None:
+    if fmt not in FORMATS:
+        raise ValueError(f"format must be one of {sorted(FORMATS)}, not {fmt!r}")
+    spark = lake.spark
+    before = lake.latest("bronze", table)
+    if before is not None and before.source_type != STREAM:
         raise ValueError(f"{table} is loaded in batches; stream into another table")
-    rows = stream_source(lake.spark, path, fmt, schema, max_files_per_trigger).withColumns(
-        {
-            "_ingestion_timestamp": F.current_timestamp(),
-            "_source_name": F.col("_metadata.file_path"),
-            "_load_mode": F.lit("incremental"),
-        }
-    )
+    given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema or T.StructType([])
+    base = path if is_dir(spark, path) else None
+    added: list[int] = []
+
+    def store(batch: DataFrame, number: int) -> None:
+        files = [row.path for row in batch.collect()]  # names, of at most max_files_per_trigger files
+        previous = lake.latest("bronze", table)
+        if not files or (previous is not None and previous.batch is not None and previous.batch >= number):
+            return
+        stored = previous.schema if previous else None
+        # Stored strings take any text; other stored types must not turn what they cannot hold into NULL.
+        strings = [f for f in stored.fields if isinstance(f.dataType, T.StringType)] if stored else []
+        known = {f.name.lower(): f for f in [*strings, *given.fields]}
+        parts, merged = [], stored
+        for part in _read_files(spark, files, fmt, T.StructType(list(known.values())), base, comment):
+            if merged is not None:
+                part, merged = fit(part, merged)
+            parts.append(part)
+            merged = merged or part.schema
+        if not parts:
+            return
+        parts = [align(part, merged)[0] for part in parts]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        load = lake.write_load(
+            "bronze", table, whole, "incremental", schema=merged, source_type=STREAM, source_name=path, previous=previous, batch=number
+        )
+        added.append(load.rows)
+
     query = (
-        rows.writeStream.format("parquet")
+        new_files(spark, path, max_files_per_trigger)
+        .writeStream.foreachBatch(store)
         .option("checkpointLocation", f"{lake.root}/_checkpoints/{check_table_name(table)}")
-        .outputMode("append")
         .trigger(availableNow=True)
-        .start(lake.path("bronze", table))
+        .start()
     )
     query.awaitTermination()
-    return sum(batch.numInputRows for batch in query.recentProgress)
+    return sum(added)

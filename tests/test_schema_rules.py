@@ -42,7 +42,6 @@ def test_layer_names():
     assert N.silver_name("orders_bronze") == "orders_silver"
     assert N.silver_name("orders") == "orders_silver"
     assert N.summary_name("orders_silver") == N.summary_name("orders_bronze") == "orders_summary"
-    assert N.base_name("orders") == "orders"
     assert N.view_name("a-b") == "a_b"
     for bad in ("../x", "a/b", "", "a b"):
         with pytest.raises(ValueError):
