@@ -13,22 +13,22 @@ Documents follow each other in ascending doc_id, and so do the files of one tabl
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm.bpe import MEMO_CHARS, SPACES
+from stratalake.llm.bpe import MEMO_CHARS
 from stratalake.llm.common import stored
 from stratalake.sources.storage import scratch_dir
 
@@ -73,11 +73,11 @@ class Writer:
         self.at += len(data)
         return len(data)
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
+    def add(self, doc_id: int | None, ids: Sequence[int]) -> None:
         self.doc_ids.append(doc_id or 0)
         self.is_null.append(doc_id is None)
         self.lengths.append(len(ids))
-        self.held.append(np.array(ids, dtype="<u4"))
+        self.held.append(np.asarray(ids, dtype="<u4"))
         self.n_held += len(ids)
         if self.n_held >= BLOCK:
             held = np.concatenate(self.held)
@@ -142,15 +142,16 @@ class Reader:
             yield None if null else doc_id, n, pieces
 
 
-#: A word of Latin letters that goes on with another ASCII sign: a pre-token ends where the letters do.
-HEAD = regex.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([\x00-@\[-`{-\x7f].*)", regex.DOTALL)
+#: A space beside other white space or at the end.
+BESIDE = re.compile(r" (?:\s|\Z|(?<=\s ))")
 
 
 class WordEncoder:
-    """The tokenizers library, asked once for each word (and what follows its letters) while the memo holds it.
+    """The tokenizers library, asked once for each word that follows a space while the memo holds it.
 
     Byte-level pre-tokenization never joins a word with a space that follows it, so a text's ids are those of its words, each with the space
-    before it. Texts where a space follows or precedes other white space are handed over whole.
+    before it. The words of a text that the memo lacks go to the library as one text: the ids that begin with a space tell where each starts.
+    Texts where a space follows or precedes other white space are handed over whole, as are those that do not come back in as many words.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -159,36 +160,34 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
-        self.memo: dict[str, list[int]] = {}
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how byte-level tokens write a space
+        self.memo: dict[str, bytes] = {}
         self.most = most
 
-    def _ask(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> list[str]:
-        """Put ids of the words into the memo; returns what it did not hold before."""
-        cut = {w: m.groups() if (m := HEAD.fullmatch(w)) else (w,) for w in words if w not in self.memo}
-        parts = [p for p in set(chain.from_iterable(cut.values())) if p not in self.memo]
-        self.memo.update(zip(parts, self._ask(parts), strict=True))
-        for w, of in cut.items():
-            if len(of) > 1:
-                self.memo[w] = self.memo[of[0]] + self.memo[of[1]]
-        return [*parts, *cut]
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        for text in texts:
-            if SPACES.search(text):
-                yield self._ask([text])[0]
-                continue
-            first, *rest = text.split(" ")
-            words = [first, *(" " + w for w in rest)]
-            if len(self.memo) > self.most:
-                self.memo.clear()
-            new = self._learn(set(words))
-            yield list(chain.from_iterable(map(self.memo.__getitem__, words)))
-            for w in new:
-                if len(w) > MEMO_CHARS:
-                    self.memo.pop(w, None)
+    def _ask(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of one text."""
+        if text.startswith(" ") or BESIDE.search(text):
+            return self._ask(text)
+        first, *words = text.split(" ")
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        new = list(set(words).difference(self.memo))
+        asked = self._ask(" ".join([first, *new]))
+        starts = np.flatnonzero(self.spaced[asked])
+        if len(starts) != len(new):
+            return self._ask(text)
+        cuts, data = [*(4 * starts).tolist(), 4 * len(asked)], asked.tobytes()
+        self.memo.update(zip(new, [data[a:b] for a, b in pairwise(cuts)], strict=True))
+        ids = np.frombuffer(b"".join([data[: cuts[0]], *map(self.memo.__getitem__, words)]), dtype="<u4")
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del self.memo[w]
+        return ids
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -214,15 +213,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     os_fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, fs = encoder_of(tokenizer), pafs.FileSystem.from_uri(folder)[0]
+        encoder, end, fs = encoder_of(tokenizer), np.array([end_id], dtype="<u4"), pafs.FileSystem.from_uri(folder)[0]
         part, writer, docs_n, tokens = TaskContext.get().partitionId(), None, 0, 0
         file = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.tids"
         for batch in batches:
             if writer is None:
                 writer = Writer(fs.open_output_stream(file), planes)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                ids.append(end_id)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.append(encoder.encode(text.as_py() or ""), end)
                 writer.add(doc_id, ids)
                 docs_n, tokens = docs_n + 1, tokens + len(ids)
         if writer is not None:

@@ -85,3 +85,14 @@ def test_token_table(spark, documents):
         assert row.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
         at += len(ids)
     assert token_files.token_table(documents([]), JSON).count() == 0
+
+
+def test_words_encode_as_the_whole_text():
+    encoder = token_files.WordEncoder(JSON, most=50)
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = True
+    rng = np.random.default_rng(4)
+    signs = list(" \n\tab'1.éĠ\x1c\x85 ᠎​　") + [" the", " it's", "<|endoftext|>", "x" * 60]
+    texts = ["", " ", "a  b", "a \x1c b", "Ġ Ġa"] + ["".join(rng.choice(signs, n)) for n in rng.integers(1, 60, 2000)]
+    for text in texts:
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
