@@ -1,6 +1,6 @@
 """Layer tables on shared storage, and the record of what was loaded into them.
 
-Bronze and Silver tables are Parquet directories partitioned by ``_load_id``. A load
+The tables of every layer are Parquet directories partitioned by ``_load_id``. A load
 writes only its own partition and is committed by one small row in the load log, so
  - a load that failed half way is overwritten by its rerun (no duplicates),
  - readers see committed loads only, and pick them by partition pruning,
@@ -145,9 +145,8 @@ class Lake:
         """A layer table as of its latest committed load (or the given one); with ``after_load``
         only rows of later loads."""
         path = self.path(layer, table)
-        if load is None and layer != "gold":
-            load = self.latest(layer, table)
-        if load is None:  # Gold, a streamed table, or files put there by hand
+        load = load or self.latest(layer, table)
+        if load is None:  # files put there by hand
             merge = "true" if layer == "bronze" else "false"
             return self.spark.read.option("mergeSchema", merge).parquet(path)
         schema = T.StructType(load.schema.fields + [T.StructField(LOAD_ID, T.LongType())])
@@ -158,7 +157,7 @@ class Lake:
 
     def read_all(self, layer: str) -> dict[str, DataFrame]:
         """Every table of a layer."""
-        loads = self.latest_loads(layer) if layer != "gold" else {}
+        loads = self.latest_loads(layer)
         return {t: self.read(layer, t, load=loads.get(t)) for t in self.tables(layer)}
 
     # -- write ---------------------------------------------------------------
@@ -248,18 +247,12 @@ class Lake:
     def overwrite(
         self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()
     ) -> int:
-        """Replace a table without load history (Gold); returns its row count.
+        """Replace a table (Gold) by a full load; returns its row count.
 
-        The file count follows the plan's own partitions; adaptive execution merges the
-        small ones.
+        Until the commit readers see the former rows, also after a crash. The file count follows the
+        plan's own partitions; adaptive execution merges the small ones.
         """
-        path = self.path(layer, table)
-        seen = Observation(f"{layer}.{table}")
-        if partition_by:
-            df = df.hint("rebalance", *partition_by)
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        return seen.get["rows"]
+        return self.write_load(layer, table, df, "full", partition_by=partition_by).rows
 
 
 def _load_of(row: Row) -> Load:

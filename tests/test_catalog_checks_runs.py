@@ -62,6 +62,15 @@ def test_bad_records(spark, tmp_path, lake):
 # -- catalog ------------------------------------------------------------------------
 
 
+def test_sql_opens_only_the_tables_it_names(spark, lake, monkeypatch):
+    for n in (1, 2, 3):
+        lake.overwrite("gold", f"named-{n}", spark.range(n))
+    opened, read = [], lake.read
+    monkeypatch.setattr(lake, "read", lambda layer, table, **more: opened.append(table) or read(layer, table, **more))
+    assert C.run_sql(lake, "SELECT count(*) AS n FROM NAMED_2 JOIN `named_3` USING (id)").first().n == 2
+    assert sorted(opened) == ["named-2", "named-3"]
+
+
 def test_catalog_sees_every_load(spark, lake):
     assert C.layer_catalog(lake).count() == 0
     for n in (5, 8):

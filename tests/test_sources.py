@@ -103,3 +103,22 @@ def test_gold_overwrite_counts_in_one_pass(spark, tmp_path):
         lake.path("gold", "../t")
     with pytest.raises(ValueError):
         lake.path("copper", "t")
+
+
+def test_gold_keeps_its_former_rows_until_the_commit(spark, tmp_path, monkeypatch):
+    lake = Lake(spark, str(tmp_path))
+    lake.overwrite("gold", "t", spark.range(5))
+    before = lake.read("gold", "t")
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(lake, "_commit", crash)
+    with pytest.raises(RuntimeError, match="lost"):
+        lake.overwrite("gold", "t", spark.range(7).toDF("other"))
+    assert before.count() == 5 and lake.read("gold", "t").columns == ["id"] and lake.read("gold", "t").count() == 5
+    monkeypatch.undo()
+    grown = lake.read("gold", "t").union(spark.range(2))  # a table may be made from itself
+    assert lake.overwrite("gold", "t", grown) == 7
+    assert lake.overwrite("gold", "t", spark.range(6).selectExpr("id % 2 AS k", "id"), partition_by=["k"]) == 6
+    assert {(r.k, r.id) for r in lake.read("gold", "t").collect()} == {(i % 2, i) for i in range(6)}
