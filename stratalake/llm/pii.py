@@ -163,17 +163,29 @@ def _ip(f: Feistel, text: str, back: bool) -> str | None:
 
 
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
-    """North American numbers: area code and exchange begin with 2 to 9."""
+    """North American numbers, whose area code and exchange begin with 2 to 9; where +1 or a bracket marks a phone, all others as well, among themselves.
+
+    Ten bare digits in three groups, outside that range, may be anything and stay.
+    """
     digits = "".join(c for c in text if c in DIGITS)
     lead, own = digits[:-10], digits[-10:]
     if own[0] in "01" or own[3] in "01":
-        return None
+        return _other_phone(f, text, lead, own, back) if text[0] == "+" or "(" in text else None
     number = ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:])
     rest, line = divmod(f.permute(number, 800 * 800 * 10_000, "phone", back), 10_000)
     area, exchange = divmod(rest, 800)
     return _refill(text, f"{lead}{area + 200}{exchange + 200}{line:04d}")
 
 
+def _other_phone(f: Feistel, text: str, lead: str, own: str, back: bool) -> str:
+    """The 3,600,000,000 numbers of which area code or exchange begins with 0 or 1: areas below 200 with any exchange, then the rest."""
+    area, exchange = int(own[:3]), int(own[3:6])
+    rest = area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange
+    rest, line = divmod(f.permute(rest * 10_000 + int(own[6:]), 360_000 * 10_000, "phone:other", back), 10_000)
+    area, exchange = divmod(rest, 1000) if rest < 200_000 else divmod(rest - 200_000 + 200 * 200, 200)
+    return _refill(text, f"{lead}{area:03d}{exchange:03d}{line:04d}")
+
+
 def _world(f: Feistel, text: str, back: bool) -> str | None:
     """Other international numbers of 8 to 15 digits: the first two digits (of the country) stay."""
     digits = "".join(c for c in text if c in DIGITS)

@@ -152,6 +152,21 @@ def test_values_that_fail_validation_stay():
     assert pii.pseudonymise(text, FEISTEL) == (text, [])
 
 
+@pytest.mark.parametrize("form", ["+1 ({}) {}-{}", "({}) {}-{}", "1 ({}) {} {}", "+1 {}.{}.{}", "+1-{}-{}-{}"])
+def test_marked_phones_outside_the_north_american_range(form):
+    numbers = [("017", "555", "7713"), ("132", "555", "1352"), ("212", "155", "0123"), ("999", "199", "9999"), ("200", "000", "0000"), ("199", "999", "9999"), ("000", "000", "0000")]
+    seen = set()
+    for number in numbers:
+        value = form.format(*number)
+        new, found = pii.pseudonymise(f"call {value}, now", FEISTEL)
+        assert found == ["phone"] and value not in new and len(new) == len(value) + 10
+        own = "".join(c for c in new if c.isdigit())[-10:]
+        assert own[0] in "01" or own[3] in "01"
+        assert pii.pseudonymise(new, FEISTEL, back=True)[0] == f"call {value}, now"
+        seen.add(own)
+    assert len(seen) == len(numbers)
+
+
 def test_pseudonyms_of_documents(spark, documents):
     rows = [*ODD, (40, "card 4207051279108084"), (41, "again 4207051279108084!"), (41, "again 4207051279108084!")]
     df = documents(rows, extra=True)
