@@ -29,7 +29,7 @@ PATTERN = regex.compile(
   | (?P<secret>(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)["']?[ ]?[=:][ ]?["']?\K[A-Za-z0-9_+/-]{8,}=*(?![A-Za-z0-9_+/=-]))
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
   | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\w))
-  | (?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-]))
+  | (?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?![\w-])|(?=[Tt][0-9]{2})))
   | (?P<slash>(?<![\w/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\w/]))
   | (?P<dot>(?<![\w.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?!\.?\w))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
@@ -39,6 +39,14 @@ PATTERN = regex.compile(
     """,
     regex.VERBOSE,
 )
+#: Where the longest match fails validation, these forms are tried from its start to each border between groups, the longest first. Groups of a card are
+#: of three digits and more there, as rows of small numbers would hold a right check digit somewhere by chance.
+SHORTER = {
+    "iban": regex.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?"),
+    "world": regex.compile(r"\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}"),
+    "card": regex.compile(r"(?=(?:[ -]?[0-9]){13,19}$)[0-9]{3,}(?:[ -][0-9]{3,})*"),
+}
+BORDER = regex.compile(r"[ .-]")
 #: A text without a digit or an at sign holds no value but perhaps an assigned one.
 HINT = regex.compile(r"[0-9@=:]")
 
@@ -110,14 +118,15 @@ def _refill(shape: str, digits: str) -> str:
 
 
 def _card(f: Feistel, text: str, back: bool) -> str | None:
+    """The first digit stays, and so does the check digit that would come next: thus a longer run of digits that begins here is as right or wrong as it was."""
     digits = "".join(c for c in text if c in DIGITS)
     if luhn(digits[:-1]) != int(digits[-1]) or digits[0] == "0" or len(set(digits)) == 1:
         return None
     inner, n = digits[1:-1], 10 ** (len(digits) - 2)
-    while True:  # only numbers whose digits are not all the same belong to the format
+    while True:  # only numbers with that next digit whose digits are not all the same belong to the format
         inner = f"{f.permute(int(inner), n, f'card:{digits[0]}:{len(digits)}', back):0{len(inner)}d}"
         new = digits[0] + inner + str(luhn(digits[0] + inner))
-        if len(set(new)) > 1:
+        if len(set(new)) > 1 and luhn(new) == luhn(digits):
             return _refill(text, new)
 
 
@@ -247,21 +256,64 @@ CHANGES = {
 }
 
 
+def _values(f: Feistel, text: str, at: int, back: bool) -> tuple[list[tuple[int, int, str, str]], bool, int]:
+    """(start, end, kind, pseudonym) of the next values of ``text`` from ``at`` on, whether a longer match failed, and where to go on (-1: nowhere).
+
+    That is one value; or, where a match fails, the values found within it and within failed matches that overlap it: a shorter one from its start, else those that begin behind its start.
+    """
+    values: list[tuple[int, int, str, str]] = []
+    reach = fresh = -1  # the end of the failed matches, and of those that were not within another
+    while match := PATTERN.search(text, at):
+        kind, start, end = match.lastgroup, *match.span()
+        if 0 <= reach <= start:
+            return values, True, at
+        ends = [end] if start >= fresh or kind != "card" or SHORTER[kind].fullmatch(text[start:end]) else []
+        if kind in SHORTER:
+            ends += [b.start() for b in BORDER.finditer(text, start, end) if SHORTER[kind].fullmatch(text[start : b.start()])][::-1]
+        new = None
+        for to in ends:
+            if (new := CHANGES[kind](f, text[start:to], back)) is not None:
+                values.append((start, to, kind, new))
+                break
+        if new is not None and to == end and reach < 0:
+            return values, False, to
+        if new is None or to < end:
+            reach = max(reach, end)
+        if new is None and start >= fresh:
+            fresh = end
+        # The word before a secret is no part of its match, so another kind can begin where it does.
+        at = to if new is not None else start + (kind != "secret")
+    return values, reach >= 0, -1
+
+
 def pseudonymise(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[str]]:
-    """The text with every validated value permuted (or, with ``back``, restored), and the kinds of the values in order."""
+    """The text with every validated value permuted (or, with ``back``, restored), and the kinds of the values in order.
+
+    If pseudonyms make a longer match right that was not, they are permuted again until the same values are found in the text, so that they can be undone.
+    Only there does a pseudonym depend on its neighbours: where a failed card, IBAN or the like holds a part of the value, or a value of another kind.
+    """
     if not HINT.search(text):
         return text, []
     found: list[str] = []
-
-    def change(match) -> str:
-        kind, value = match.lastgroup, match.group()
-        new = CHANGES[kind](feistel, value, back)
-        if new is None:
-            return value
-        found.append(kind)
-        return new
-
-    return PATTERN.sub(change, text), found
+    done, at = "", 0
+    while at >= 0:
+        values, failed, go_on = _values(feistel, text, at, back)
+        found += [kind for _, _, kind, _ in values]
+        new = [v for *_, v in values]
+        rest = values[-1][1] if values else at
+        while values:
+            spans, out, last = [], done, at
+            for (start, end, kind, _), v in zip(values, new, strict=True):
+                out += text[last:start]
+                spans.append((len(out), len(out) + len(v), kind))
+                out, last = out + v, end
+            if not failed or [v[:3] for v in _values(feistel, out + text[rest:], len(done), back)[0]] == spans:
+                done = out
+                break
+            new = [CHANGES[kind](feistel, v, back) for (_, _, kind, _), v in zip(values, new, strict=True)]
+        done += text[rest : max(rest, go_on)] if go_on >= 0 else text[rest:]
+        at = go_on
+    return done, found
 
 
 def pseudonymise_documents(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
