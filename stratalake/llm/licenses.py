@@ -3,7 +3,8 @@
 Templates are cut into segments of a few fixed lengths, and documents into overlapping windows just long enough that each holds every segment that
 begins within one stride. MinHash bands of segments and windows retrieve candidate templates; then the share of the template's word
 5-grams that the document holds is computed exactly. Only windows with an anchor word are hashed: the anchors are chosen so that every 5-gram of every template has
-one (but for a few of common words alone), so windows without an anchor cannot make up a match.
+one (but for a few of common words alone), so windows without an anchor cannot make up a match. A notice of under five words is one n-gram of all its words
+and is looked up by its hash.
 """
 
 from __future__ import annotations
@@ -47,12 +48,28 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-
-def template_table(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(license, form, t_words) of every template of at least ``SHINGLE`` words; shorter ones are not looked for."""
+#: Lines that stand for a license: SPDX tags, and the reservation of all rights.
+NOTICES = {
+    "all-rights-reserved": ["All rights reserved."],
+    "apache-2.0": ["SPDX-License-Identifier: Apache-2.0"],
+    "mit": ["SPDX-License-Identifier: MIT"],
+    "gpl-3.0": ["SPDX-License-Identifier: GPL-3.0"],
+    "gpl-2.0": ["SPDX-License-Identifier: GPL-2.0"],
+    "bsd": ["SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause"],
+    "mpl-2.0": ["SPDX-License-Identifier: MPL-2.0"],
+    "cc-by-nc-4.0": ["SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-4.0": ["SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa-4.0": ["SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "unlicense": ["SPDX-License-Identifier: Unlicense"],
+}
+ALL = {name: TEMPLATES.get(name, []) + NOTICES.get(name, []) for name in [*TEMPLATES, *(n for n in NOTICES if n not in TEMPLATES)]}
+
+
+def template_table(spark: SparkSession, templates: dict[str, list[str]] = ALL) -> DataFrame:
+    """(license, form, t_words) of every template with a word."""
     rows = [(name, i, text) for name, forms in templates.items() for i, text in enumerate(forms)]
     table = spark.createDataFrame(rows, "license string, form int, text string")
-    return table.select("license", "form", words(F.col("text")).alias("t_words")).where(F.size("t_words") >= SHINGLE)
+    return table.select("license", "form", words(F.col("text")).alias("t_words")).where(F.size("t_words") > 0)
 
 
 #: Words too frequent to serve as anchors.
@@ -80,14 +97,14 @@ def anchors(templates: list[list[str]], size: int = SHINGLE, least: float = CONT
     return sorted(chosen)
 
 
-def _shingle_hashes(w: Column) -> Column:
-    at = F.when(F.size(w) >= SHINGLE, F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
+def _shingle_hashes(w: Column, size: int = SHINGLE) -> Column:
+    at = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
 
 
-def _shingle_texts(w: Column) -> Column:
-    at = F.when(F.size(w) >= SHINGLE, F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice(w, i, SHINGLE))))
+def _shingle_texts(w: Column, size: int = SHINGLE) -> Column:
+    at = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice(w, i, size))))
 
 
 def _bands(pieces: Column, level: int) -> Column:
@@ -123,6 +140,14 @@ def _windows(w: Column, marks: Column, low: int) -> Column:
     return F.when(F.size(w) >= SHINGLE, found).otherwise(F.array().cast("array<array<bigint>>"))
 
 
+def _grams(w: Column, marks: Column, size: int) -> Column:
+    """The (level, band, hash) structs of the runs of ``size`` words with an anchor in them."""
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.arrays_overlap(F.slice(w, i + 1, size), marks))
+    hashes = F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
+    of = F.transform(hashes, lambda h: F.struct(F.lit(size).alias("level"), F.lit(0).alias("band"), h.alias("hash")))
+    return F.when((F.size(w) >= size) & F.arrays_overlap(w, marks), F.array_distinct(of)).otherwise(F.array().cast("array<struct<level:int,band:int,hash:bigint>>"))
+
+
 def _segments(w: Column, low: int) -> Column:
     n = low - SHINGLE + 1
 
@@ -133,37 +158,45 @@ def _segments(w: Column, low: int) -> Column:
     return let(_shingle_hashes(w), of)
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] = ALL, least: float = CONTAINMENT) -> DataFrame:
     """One row per document and license found in it: doc_id, text_key, license, containment (of its best form), shingles (of that form).
 
-    ``containment`` is the share of the form's distinct word 5-grams that stand in the text. Null texts hold none; null ids are kept; repeated rows give one row; other columns are
+    ``containment`` is the share of the form's distinct word 5-grams that stand in the text; a form of under 5 words is one n-gram of all its words. Null texts hold none; null ids are kept; repeated rows give one row; other columns are
     ignored. The templates are a parameter, so what goes to every executor has its size.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates)
     listed = [r.t_words for r in table.collect()]
-    spans = anchors(listed, least=least)
-    marks = F.array(*map(F.lit, spans)) if spans else F.array().cast("array<string>")
+    marked = lambda spans: F.array(*map(F.lit, spans)) if spans else F.array().cast("array<string>")
+    spans = {size: anchors([t for t in listed if min(len(t), SHINGLE) == size], size, least) for size in sorted({SHINGLE, *(min(len(t), SHINGLE) for t in listed)})}
+    marks = marked(spans[SHINGLE])
+    short = [size for size in spans if size < SHINGLE]
     told = words(F.col("text"))
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text")).where(
-        F.arrays_overlap(told, marks) & (F.size(told) >= SHINGLE)
+        F.arrays_overlap(told, marked(sorted(set().union(*spans.values())))) & (F.size(told) >= min(spans))
     )
     t = F.col("t_words")
-    cut = [
+    cut = [F.when(F.size(t) == size, _grams(t, marked(spans[size]), size)) for size in short]
+    cut += [
         F.when((F.size(t) >= low) & (F.size(t) < high), _bands(_segments(t, low), low))
         for low, high in zip(LEVELS, (*LEVELS[1:], 1 << 30), strict=True)
     ]
     key = ["b.level", "b.band", "b.hash"]
     segments = table.select("license", "form", F.explode(F.coalesce(*cut)).alias("b")).select("license", "form", *key).distinct()
-    windows = F.concat(*(_bands(_windows(F.col("words"), marks, low), low) for low in LEVELS))
+    w = F.col("words")
+    windows = F.concat(*(_bands(_windows(w, marks, low), low) for low in LEVELS), *(_grams(w, marked(spans[size]), size) for size in short))
     hits = near.withColumn("words", told).select("doc_id", "text_key", F.explode(windows).alias("b")).select("doc_id", "text_key", *key).join(F.broadcast(segments), ["level", "band", "hash"])
     candidates = hits.select("doc_id", "text_key", "license", "form")
     candidates = candidates.distinct().join(F.broadcast(table), ["license", "form"])
     # Only documents with an anchor have candidates; their texts, not their words, go through the shuffle.
     own = near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "text")
     checked = candidates.join(own, candidates["doc_id"].eqNullSafe(own["_id"]) & (candidates["text_key"] == own["_key"]))
-    texts = let(words(F.col("text")), _shingle_texts)
-    checked = checked.select("doc_id", "text_key", "license", "form", _shingle_texts(F.col("t_words")).alias("t"), texts.alias("x"))
+
+    def texts(w: Column) -> Column:
+        """The n-grams of ``w`` of the size that the template asks for."""
+        return F.coalesce(*(F.when(F.size("t_words") == size, _shingle_texts(w, size)) for size in short), _shingle_texts(w))
+
+    checked = checked.select("doc_id", "text_key", "license", "form", texts(F.col("t_words")).alias("t"), let(words(F.col("text")), texts).alias("x"))
     share = checked.select("doc_id", "text_key", "license", F.size("t").alias("shingles"), (F.size(F.array_intersect("t", "x")) / F.size("t")).alias("containment"))
     return (
         share.where(F.col("containment") >= least)

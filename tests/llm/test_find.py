@@ -110,6 +110,19 @@ def test_licenses_of_odd_rows(spark, documents):
         licenses.anchors([["to", "be", "or", "is", "it"]])
 
 
+def test_short_notices(spark, documents):
+    rows = [
+        (1, "All rights reserved."), (2, " ".join(prose(30)) + ". All rights reserved.\n" + " ".join(prose(30))), (3, "# SPDX-License-Identifier: MIT"),
+        (4, "SPDX-License-Identifier: Apache-2.0"), (5, "all rights are reserved, all rights"), (6, "reserved all rights"), (7, "SPDX-License-Identifier: CC-BY-NC-4.0"),
+        (8, "SPDX-License-Identifier: Unlicense. All RIGHTS, reserved!"), (9, "the mit license identifier spdx"),
+    ]
+    got = sorted((r.doc_id, r.license, r.containment, r.shingles) for r in licenses.scan(documents(rows, extra=True)).collect())
+    whole = [(1, "all-rights-reserved", 1), (2, "all-rights-reserved", 1), (3, "mit", 1), (4, "apache-2.0", 2), (7, "cc-by-nc-4.0", 4), (8, "all-rights-reserved", 1), (8, "unlicense", 1)]
+    assert got == [(i, name, 1.0, n) for i, name, n in whole]
+    own = licenses.scan(documents([(1, "Proprietary"), (2, "not ours"), (3, "no proprietary code")]), {"p": ["Proprietary."], "none": [""], "two": ["ours not"]})
+    assert sorted((r.doc_id, r.license) for r in own.collect()) == [(1, "p"), (3, "p")]
+
+
 @pytest.mark.parametrize("find", ["decontaminate", "licenses"])
 def test_no_python_in_the_plans(spark, documents, find):
     df = decontaminate.matches(documents([(1, "a")]), items(spark, [(1, "b")])) if find == "decontaminate" else licenses.scan(documents([(1, "a")]))
