@@ -25,8 +25,6 @@ TABLE_BITS = 17
 SAMPLE_PER_LANG = 300
 #: ... and on at most this many words from the middle of each.
 SAMPLE_WORDS = 400
-#: At most this many languages are learned: the most frequent ones of the sample pool.
-MOST_LANGS = 64
 #: Words per block in forward-backward, and words handled at once.
 BLOCK, CHUNK = 32, 1 << 16
 UNKNOWN = "und"
@@ -240,14 +238,14 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """The labelled rows to fit on: per language at most ``SAMPLE_PER_LANG``, chosen by a hash of text and label alone.
 
     Null ids are not held out, as they have no remainder. Rows reach the driver only after each task kept its share, at most
-    ``SAMPLE_PER_LANG`` times ``MOST_LANGS`` in all, and a piece of ``24 * SAMPLE_WORDS`` characters around the middle of each.
+    ``SAMPLE_PER_LANG`` a language, and a piece of ``24 * SAMPLE_WORDS`` characters around the middle of each.
     """
     pool = docs.where(~held_out()).where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"))
     size = 24 * SAMPLE_WORDS
     keyed = pool.withColumn("h", F.xxhash64("text", "lang")).select(
         "lang", "h", F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - size) / 2)).cast("int"), F.lit(size)).alias("text")
     )
-    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = pool.groupBy("lang").count().collect()
     picked: list[tuple[str, str]] = []
     for lang, n in counts:
         # About twice the rows wanted pass the hash, so that few rows leave each task whatever their number.

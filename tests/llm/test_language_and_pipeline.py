@@ -67,6 +67,13 @@ def test_labels_of_held_out_and_unlabelled_rows_are_not_seen(spark, documents):
     assert all(lang != "zz" for _, lang in langid.sample(documents(changed)))
 
 
+def test_every_label_is_learned(spark, documents):
+    rows = [(3 * k + i, f"{chr(0x4E00 + k) * 3} {chr(0x4E00 + k) * 2} text", f"l{k:02d}") for k in range(70) for i in range(3)]
+    rows = [r for r in rows if langid.crc32_mod(r[0]) != 1] + [(1000 + i, f"word {i}", "en") for i in range(20)]
+    labels = sorted({lang for _, _, lang in rows})
+    assert len(labels) > 64 and sorted({lang for _, lang in langid.sample(documents(rows))}) == labels
+
+
 def test_odd_rows(spark, documents, model):
     df = documents(ODD, extra=True)
     got = langid.identify(df, model)
