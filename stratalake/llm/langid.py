@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.llm.common import SpanHash, code_points, kinds, runs
@@ -235,9 +235,9 @@ def held_out(doc_id="doc_id"):
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """The labelled rows to fit on: per language at most ``SAMPLE_PER_LANG``, chosen by a hash of text and label alone.
+    """The labelled rows to fit on: of every language at most ``SAMPLE_PER_LANG`` different texts, chosen by a hash of text and label alone.
 
-    Null ids are not held out, as they have no remainder. Rows reach the driver only after each task kept its share, at most
+    Null ids are not held out, as they have no remainder. Copies of a text count once. Rows reach the driver only after each task kept its share, at most
     ``SAMPLE_PER_LANG`` a language, and a piece of ``24 * SAMPLE_WORDS`` characters around the middle of each.
     """
     pool = docs.where(~held_out()).where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"))
@@ -245,14 +245,13 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     keyed = pool.withColumn("h", F.xxhash64("text", "lang")).select(
         "lang", "h", F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - size) / 2)).cast("int"), F.lit(size)).alias("text")
     )
-    counts = pool.groupBy("lang").count().collect()
-    picked: list[tuple[str, str]] = []
-    for lang, n in counts:
-        # About twice the rows wanted pass the hash, so that few rows leave each task whatever their number.
-        least = int(min(1.0, 2 * SAMPLE_PER_LANG / n) * (1 << 32))
-        top = keyed.where((F.col("lang") == lang) & (F.shiftrightunsigned("h", 32) < least)).orderBy("h", "text").limit(SAMPLE_PER_LANG)
-        picked += [(r.text, lang) for r in top.collect()]
-    return picked
+    counts = keyed.select("lang", "h").distinct().groupBy("lang").count().collect()
+    # About twice the texts wanted pass the hash, so that few rows leave each task whatever their number.
+    least = [(lang, int(min(1.0, 2 * SAMPLE_PER_LANG / n) * (1 << 32))) for lang, n in counts]
+    least = docs.sparkSession.createDataFrame(least, "lang string, least long")
+    passed = keyed.join(F.broadcast(least), "lang").where(F.shiftrightunsigned("h", 32) < F.col("least")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    top = passed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= SAMPLE_PER_LANG)
+    return [(r.text, r.lang) for r in top.select("text", "lang").collect()]
 
 
 def learn(docs: DataFrame) -> Model:

@@ -74,6 +74,15 @@ def test_every_label_is_learned(spark, documents):
     assert len(labels) > 64 and sorted({lang for _, lang in langid.sample(documents(rows))}) == labels
 
 
+def test_copies_count_once_in_the_sample(spark, documents):
+    rows = [(i, f"copy of text {i % k}", f"c{k}") for k in range(1, 9) for i in range(2000)]
+    rows += [(i, f"other text {i}" if i % 10 == 0 else "the same text", "mixed") for i in range(10_000)]
+    picked = langid.sample(documents(rows))
+    assert len(picked) == len(set(picked))
+    sizes = {lang: sum(x == lang for _, x in picked) for lang in {lang for *_, lang in rows}}
+    assert sizes == {**{f"c{k}": k for k in range(1, 9)}, "mixed": langid.SAMPLE_PER_LANG}
+
+
 def test_odd_rows(spark, documents, model):
     df = documents(ODD, extra=True)
     got = langid.identify(df, model)
