@@ -231,6 +231,8 @@ def join_similar(docs: DataFrame, threshold: Fraction = THRESHOLD, words: int =
     linked with nothing and a class of its own. Repeated rows are copies of each other. Null doc_ids count as greater than any other; a class of only
     those has a null class_id. Other columns are ignored. ``text_key`` and ``class_key`` tell rows and classes apart where ids do not.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"TIGHT, SLACK and HEAD hold for thresholds of {THRESHOLD} and more; at {threshold} similar texts would be missed")
     signed = stored(signatures(docs, threshold, words), "signatures")
     sets = signed.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"))
     sets = stored(sets.select("set_key", "rows", "first_id", F.col("at.text_key").alias("text_key")), "sets")

@@ -163,3 +163,9 @@ def test_fingerprints_of_odd_rows(spark, documents):
     assert winnow.fingerprints(documents(ODD, extra=True)).count() == len(ODD)
     alone = winnow.fingerprints(documents([(1, "only")])).first()
     assert (alone.near_edited, alone.near_next) == (winnow.likeness(winnow.fingerprint("only"), winnow.fingerprint("onon")), 1.0)
+
+
+@pytest.mark.parametrize("find", [ngram_join.join_similar, ngram_join.keep_one])
+def test_thresholds_that_the_distances_do_not_hold_for(documents, find):
+    with pytest.raises(ValueError, match="would be missed"):
+        find(documents([(1, "a b c d e f")]), ngram_join.Fraction(1, 2))
