@@ -7,6 +7,8 @@ found. A passage with an inserted or a missing word is found at either side of i
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ WINDOW = 20
 NUMERATOR, DENOMINATOR = 4, 5
 #: Items of fewer words tell nothing and are not looked for.
 LEAST_WORDS = 5
+#: Items of up to so many words have masks of their own, for each choice of words that may be replaced.
+SHORT = 10
 #: Up to so many test hashes (about 20 bytes each) go to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -43,11 +47,17 @@ def _seeds(hashes: Column, masks: dict[str, Column | None]) -> Column:
     return let(hashes, lambda h: F.concat(*(seeds(h, n, mask, condition) for n, (mask, condition) in enumerate(masks.items()))))
 
 
+def _whole(n: int) -> list[str]:
+    """The masks of a whole item of n words but for as many as may be replaced; without the places at its ends, as a text may end there."""
+    out = combinations(range(n), n - -(-n * NUMERATOR // DENOMINATOR))
+    return list(dict.fromkeys("".join("0" if i in o else "1" for i in range(n)).strip("0") for o in out))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item of which it holds a passage: doc_id, text_key, item_id, matched and window (words), doc_at (first word of the best window).
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Of repeated rows one match is returned. Null texts have no words; null ids are kept as ids. Other columns are
-    ignored. Items of fewer than ``LEAST_WORDS`` words match nothing; those shorter than the shortest mask are looked for as a whole. Of equally good windows the
+    ignored. Items of fewer than ``LEAST_WORDS`` words match nothing; those of up to ``SHORT`` words are looked for as a whole, with every choice of replaced words. Of equally good windows the
     first counts.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), words(F.col("text")).alias("words"))
@@ -56,11 +66,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where(F.size("item") >= LEAST_WORDS)
         .distinct()
     )
-    shortest = min(map(len, MASKS))
-    masks = {mask: None for mask in MASKS} | {"1" * n: F.lit(None) for n in range(LEAST_WORDS, shortest)}
-    lengths = {r.n for r in items.where(F.size("item") < shortest).select(F.size("item").alias("n")).distinct().collect()}  # a few lengths at most
-    masks = {m: None for m in masks if m in MASKS or len(m) in lengths}  # no document is searched for lengths that do not occur
-    item_masks = {m: None if m in MASKS else F.size("item") == len(m) for m in masks}
+    short = items.where(F.size("item") <= SHORT).select(F.size("item").alias("n")).distinct().collect()  # a few lengths at most
+    sizes: dict[str, list[int]] = {}  # no document is searched for lengths that do not occur
+    for n in sorted(r.n for r in short):
+        for mask in _whole(n):
+            sizes.setdefault(mask, []).append(n)
+    masks = {m: None for m in [*MASKS, *(m for m in sizes if m not in MASKS)]}
+    item_masks = {m: None if m in MASKS else F.size("item").isin(sizes[m]) for m in masks}
     test = items.select("item_id", "item", F.explode(_seeds(F.transform("item", lambda w: F.xxhash64(w)), item_masks)).alias("s"))
     test = test.select("s.seed", "item_id", F.xxhash64("item").alias("item_key"), F.col("s.at").alias("item_at"))
     if test.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

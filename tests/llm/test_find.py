@@ -51,6 +51,18 @@ def test_passages_with_replaced_words(spark, documents):
     assert len(got) >= 0.95 * len(want)
 
 
+def test_short_items_with_any_words_replaced(spark, documents):
+    tests = {n: [f"w{n}x{i}" for i in range(n)] for n in range(5, 11)}
+    rows = []
+    for n, item in tests.items():
+        for i in range(n):
+            for j in range(n) if n == 10 else [i]:
+                rows.append((1000 * n + len(rows), " ".join(["before", *("other" if k in (i, j) else w for k, w in enumerate(item)), "after"])))
+        rows += [(1000 * n + 500, " ".join(item[1:])), (1000 * n + 501, " ".join(item[:-1]))]
+    found = decontaminate.matches(documents(rows), items(spark, [(n, " ".join(t)) for n, t in tests.items()])).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted((i, i // 1000) for i, _ in rows)
+
+
 def test_odd_rows_and_empty_tables(spark, documents):
     text = " ".join(prose(30))
     odd = documents([*ODD, (20, text), (20, text), (None, text)], extra=True)
