@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,7 +123,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         change = np.zeros(batch.num_rows, dtype=bool)
         for k in keys:
             column = batch.column(k)
-            change[1:] |= np.asarray(pa.compute.not_equal(column[1:], column[:-1]))
+            change[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]))
         cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
         if held and any(held[-1].column(k)[-1] != table.column(k)[0] for k in keys):
             yield pa.concat_tables(held)

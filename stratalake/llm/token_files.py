@@ -151,15 +151,18 @@ class WordEncoder:
 
     Byte-level pre-tokenization never joins a word with a space that follows it, so a text's ids are those of its words, each with the space
     before it. The words of a text that the memo lacks go to the library as one text: the ids that begin with a space tell where each starts.
-    Texts where a space follows or precedes other white space are handed over whole, as are those that do not come back in as many words.
+    Texts where a space follows or precedes other white space are handed over whole, as are those with the string of an added token and those that do
+    not come back in as many words. The string of a special token becomes that token's id, as the library does it; with ``special_as_text`` it is ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = special_as_text
         self.library.no_truncation()
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([BESIDE.pattern, *map(re.escape, filter(None, added))]))
         vocabulary = self.library.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how byte-level tokens write a space
@@ -171,7 +174,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text."""
-        if text.startswith(" ") or BESIDE.search(text):
+        if text.startswith(" ") or self.whole.search(text):
             return self._ask(text)
         first, *words = text.split(" ")
         if len(self.memo) > self.most:
@@ -190,21 +193,24 @@ class WordEncoder:
         return ids
 
 
-_LOADED: dict[str, WordEncoder] = {}
+_LOADED: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder_of(path: str) -> WordEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+def encoder_of(path: str, special_as_text: bool = False) -> WordEncoder:
+    if (path, special_as_text) not in _LOADED:
+        _LOADED[path, special_as_text] = WordEncoder(path, special_as_text=special_as_text)
+    return _LOADED[path, special_as_text]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, planes: int = 4) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, tokenizer: str, end_id: int, folder: str, planes: int = 4, special_as_text: bool = False
+) -> DataFrame:
     """Encode ``docs`` (doc_id, text) with the tokenizers library into files below ``folder``; returns their list, written as a table.
 
     One shuffle deals the texts out by ranges of doc_id; each task sorts its range and writes one file under a name of its own attempt, and the
     list names the files of the attempts that count, so a lost executor leaves at worst a file that nobody reads. A null or empty text is
-    just ``end_id``; null doc_ids come first; rows of one doc_id are ordered by text; other columns are ignored.
+    just ``end_id``; null doc_ids come first; rows of one doc_id are ordered by text; other columns are ignored. The string of a special token in a text
+    becomes that token's id, as the library does it; with ``special_as_text`` it is encoded as ordinary text.
     The list (part, file, n_docs, n_tokens, start) has one row per file.
     """
     spark = docs.sparkSession
@@ -213,7 +219,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     os_fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, fs = encoder_of(tokenizer), np.array([end_id], dtype="<u4"), pafs.FileSystem.from_uri(folder)[0]
+        encoder, end, fs = encoder_of(tokenizer, special_as_text), np.array([end_id], dtype="<u4"), pafs.FileSystem.from_uri(folder)[0]
         part, writer, docs_n, tokens = TaskContext.get().partitionId(), None, 0, 0
         file = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.tids"
         for batch in batches:

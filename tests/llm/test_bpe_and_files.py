@@ -75,9 +75,9 @@ def test_planes_round_trip(planes, tmp_path):
 
 def test_token_table(spark, documents):
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
-    got = sorted(token_files.token_table(documents(ODD, extra=True), JSON).collect(), key=lambda r: r.start)
-    order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = [*ODD, (20, "a <|endoftext|> b"), (21, "<|endoftext|>"), (22, "x<|endoftext|><|endoftext|> y z")]
+    got = sorted(token_files.token_table(documents(rows, extra=True), JSON).collect(), key=lambda r: r.start)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = 0
     for row, (doc_id, text) in zip(got, order, strict=True):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -87,12 +87,13 @@ def test_token_table(spark, documents):
     assert token_files.token_table(documents([]), JSON).count() == 0
 
 
-def test_words_encode_as_the_whole_text():
-    encoder = token_files.WordEncoder(JSON, most=50)
+@pytest.mark.parametrize("as_text", [False, True])
+def test_words_encode_as_the_whole_text(as_text):
+    encoder = token_files.WordEncoder(JSON, most=50, special_as_text=as_text)
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
+    library.encode_special_tokens = as_text
     rng = np.random.default_rng(4)
     signs = list(" \n\tab'1.éĠ\x1c\x85 ᠎​　") + [" the", " it's", "<|endoftext|>", "x" * 60]
-    texts = ["", " ", "a  b", "a \x1c b", "Ġ Ġa"] + ["".join(rng.choice(signs, n)) for n in rng.integers(1, 60, 2000)]
+    texts = ["", " ", "a  b", "a \x1c b", "Ġ Ġa", "a <|endoftext|> b", "<|endoftext|>x <|endoftext|>"] + ["".join(rng.choice(signs, n)) for n in rng.integers(1, 60, 2000)]
     for text in texts:
         assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
