@@ -2,6 +2,9 @@
 
 import importlib
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from oracle import connect, differences
@@ -70,3 +73,11 @@ def test_ranking_limits_groups_before_the_shuffle(spark):
     text = all_queries()["sql_window_rank"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     partial = [l for l in text.splitlines() if "WindowGroupLimit" in l and "Partial" in l]
     assert partial
+
+
+@pytest.mark.parametrize("absent", ["zstandard", "tokenizers", "regex", "stratalake.llm"])
+def test_entry_without_the_training_data_operators(absent):
+    """A library that only those need may be absent."""
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; from stratalake.queries import all_queries; assert set(e.queries()) >= set(all_queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
