@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bpe, chat, decontaminate, langid, licenses, ngram_join, pii, token_files, warc, winnow
+from stratalake.llm import bpe, chat, decontaminate, langid, licenses, ngram_join, pii, token_files, url_filter, warc, winnow
 from stratalake.llm.common import read
 
 #: The key of the pseudonyms. A deployment passes its own secret to ``pii.pseudonymise_documents``.
 PII_KEY = b"stratalake test key"
 END_ID = 2
+#: The rules of URLs, as canonical prefixes of host and path.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +71,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_chat, op4_token_files, op5_pii, op6_ngram_join, op7_license_scan, op8_fingerprints, op9_bpe, op10_language)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' URLs with the rule that fits each and its verdict."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_chat, op4_token_files, op5_pii, op6_ngram_join, op7_license_scan, op8_fingerprints, op9_bpe, op10_language, op11_url_filter)}
 
 SQL = {
     "op1_warc": """
@@ -107,4 +115,23 @@ SQL = {
             CAST(sum(chars + marks) AS BIGINT) AS formatted_chars
         FROM m GROUP BY conv_id
     """,
+    "op11_url_filter": r"""
+        WITH rules AS (
+            SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path
+            FROM (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')) r(rule, verdict)
+        ), cut AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ), u AS (SELECT DISTINCT host, path FROM p),
+        fits AS (
+            SELECT host, path, arg_max(rule, (length(rule), length(rule_host))) AS rule, arg_max(verdict, (length(rule), length(rule_host))) AS verdict
+            FROM u, rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY host, path
+        )
+        SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM p LEFT JOIN fits ON p.host = fits.host AND p.path = fits.path
+    """,
 }
