@@ -121,7 +121,8 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = ALLOW, blocks: in
     possible = might_be_listed(candidates, bloom, blocks)
     fits = (F.col("key_host") == F.col("rule_host")) & (F.col("key_path") == F.col("rule_path"))
     longest = F.struct(F.length("rule"), F.length("rule_host"))
-    best = possible.join(listed, fits).groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), longest).alias("best"))
-    judged = seen.join(best, (seen["host"] == best["host"]) & (seen["path"] == best["path"]), "left")
+    best = possible.join(listed, fits).groupBy(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    best = best.agg(F.max_by(F.struct("rule", "rule_verdict"), longest).alias("best"))
+    judged = seen.join(best, (seen["host"] == best["_host"]) & (seen["path"] == best["_path"]), "left")
     rule, verdict = best["best"]["rule"], F.coalesce(best["best"]["rule_verdict"], F.lit(otherwise))
     return judged.select(*(seen[f"`{c}`"] for c in seen.columns), rule.alias("rule"), verdict.alias("verdict"))
