@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bpe, chat, decontaminate, langid, licenses, ngram_join, pii, token_files, url_filter, warc, winnow
+from stratalake.llm import bpe, chat, decontaminate, divergence, langid, licenses, ngram_join, pii, token_files, url_filter, warc, winnow
 from stratalake.llm.common import read
 
 #: The key of the pseudonyms. A deployment passes its own secret to ``pii.pseudonymise_documents``.
@@ -77,7 +77,12 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_chat, op4_token_files, op5_pii, op6_ngram_join, op7_license_scan, op8_fingerprints, op9_bpe, op10_language, op11_url_filter)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart in their words, and by which terms each differs from its language."""
+    return divergence.divergences(read(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_chat, op4_token_files, op5_pii, op6_ngram_join, op7_license_scan, op8_fingerprints, op9_bpe, op10_language, op11_url_filter, op12_divergence)}
 
 SQL = {
     "op1_warc": """
@@ -134,4 +139,37 @@ SQL = {
         SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
         FROM p LEFT JOIN fits ON p.host = fits.host AND p.path = fits.path
     """,
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), w AS (
+            SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), kept AS (
+            SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+        ), groups AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        n AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+            FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), p AS (
+            SELECT *, 1 + CAST(CAST(1000000000 * (n + 5) AS HUGEINT) // (sum(n) OVER s + 5 * count(*) OVER s) AS BIGINT) AS p
+            FROM n WINDOW s AS (PARTITION BY lang, source)
+        ), whole AS (
+            SELECT lang, term, 1 + CAST(CAST(1000000000 * (sum(n) + 5) AS HUGEINT) // (sum(sum(n)) OVER l + 5 * count(*) OVER l) AS BIGINT) AS q
+            FROM n GROUP BY lang, term WINDOW l AS (PARTITION BY lang)
+        ), sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM p JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+        )
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM found QUALIFY part = 'pair' OR rank <= 50
+    """,
 }

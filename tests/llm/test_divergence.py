@@ -1,0 +1,89 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from stratalake.llm import divergence
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def expected(rows, least, top):
+    """All of it by the definition, in Python integers."""
+    df, counts, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for lang, source, text in rows:
+        lang, source, text = lang or "", source or "", text or ""
+        terms = TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        df[lang].update(set(terms))
+        counts[lang, source].update(terms)
+        groups[lang].add(source)
+    out = set()
+    for lang, sources in groups.items():
+        kept = [t for t, n in df[lang].items() if n >= least]
+        v = len(kept)
+
+        def share(c, kept=kept, v=v):
+            n = sum(c[t] for t in kept)
+            return {t: 1 + 10**9 * (c[t] + 5) // (n + 5 * v) for t in kept}
+
+        whole = share(sum((counts[lang, s] for s in sources), Counter()))
+        p = {s: share(counts[lang, s]) for s in sources}
+        for s in sources:
+            pairs = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode()) for o in sources if o != s]
+            terms = [(whole[t] - p[s][t], t.encode()) for t in kept if counts[lang, s][t] and p[s][t] > whole[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out |= {(lang, s, part, item.decode(), -value, rank) for rank, (value, item) in enumerate(found, 1)}
+    return out
+
+
+def rows_of(seed, n=150):
+    rng = random.Random(seed)
+    words = ["the", "The", "café", "CAFÉ", "été", "x1y", "naïve-word", "漢字", " ", "a", "ab", "abc", "😀", "É", "zz", "Zz q"]
+    gaps = [" ", "\n", ", ", "123", "\x00", "_", "@"]
+    rows = []
+    for _ in range(n):
+        favourites = rng.sample(words, 5)
+        text = "".join(rng.choice(favourites) + rng.choice(gaps) for _ in range(rng.randint(0, 40)))
+        rows.append((rng.choice(["en", "en", "fr", None]), rng.choice(["s1", "s1", "s1", "s10", "s2", "é", None]), rng.choice([text, text, text, None, ""])))
+    return rows + [("en", "silent", None), ("xx", "one", "alone"), ("yy", "p", "q"), ("yy", "r", ""), ("yy", "", "1 2 3")] + rows[:20]
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_counts": 7, "terms_per_part": 2, "cells": 9}, {"top": 3, "cells": 1}])
+def test_against_the_definition(spark, limits):
+    rows = rows_of(1)
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(5)
+    clashing = docs.selectExpr("*", "1 as term", "2 as part", "3 as df", "4 as sources", "5 as item", "6 as deal", "7 as n_terms")
+    got = [tuple(r) for r in divergence.divergences(clashing, least_docs=12, **limits).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == expected(rows, 12, limits.get("top", 50))
+
+
+def test_ties_at_the_last_rank(spark):
+    """More equal terms than ranks: the bytes of the terms decide."""
+    rows = [("en", "a", " ".join(f"w{chr(97 + i)}" for i in range(20)))] * 4 + [("en", "b", "other")] * 4
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    got = {tuple(r) for r in divergence.divergences(docs, least_docs=3, top=5, terms_per_part=6).collect()}
+    assert got == expected(rows, 3, 5)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "lang string, source string, text string")
+    assert divergence.divergences(docs).count() == 0
+
+
+def test_long_texts_are_cut_between_terms(monkeypatch):
+    text = "".join(random.Random(2).choices(["Ab", "é", " ", "1", "漢", "zz "], k=5000)).encode()
+    whole = Counter(t.encode() for t in TERM.findall(text.decode().replace("A", "a")))
+    for piece in (1, 7, 1000):
+        monkeypatch.setattr(divergence, "PIECE", piece)
+        assert divergence.term_counts(text) == whole
+
+
+def test_shares_are_exact():
+    rng = random.Random(5)
+    for _ in range(500):
+        total = rng.randint(1, rng.choice([10, 10**6, 10**15]))
+        count = rng.randint(0, total)
+        assert divergence.shares(np.array([count]), np.int64(total))[0] == 1 + 10**9 * count // total
