@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bpe, chat, decontaminate, divergence, langid, licenses, ngram_join, pii, token_files, url_filter, warc, winnow
+from stratalake.llm import bpe, chat, decontaminate, divergence, langid, licenses, ngram_join, pii, prefix_trie, token_files, url_filter, warc, winnow
 from stratalake.llm.common import read
 
 #: The key of the pseudonyms. A deployment passes its own secret to ``pii.pseudonymise_documents``.
@@ -82,7 +82,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(read(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_chat, op4_token_files, op5_pii, op6_ngram_join, op7_license_scan, op8_fingerprints, op9_bpe, op10_language, op11_url_filter, op12_divergence)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations, a row per prefix."""
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(prefix_trie.turn_table(read(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_chat, op4_token_files, op5_pii, op6_ngram_join, op7_license_scan, op8_fingerprints, op9_bpe, op10_language, op11_url_filter, op12_divergence, op13_prefix_trie)}
 
 SQL = {
     "op1_warc": """
@@ -172,4 +177,37 @@ SQL = {
         SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
         FROM found QUALIFY part = 'pair' OR rank <= 50
     """,
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT conv_id, list(t ORDER BY place) AS turns,
+                CAST(xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT)),
+                    lambda crc, byte: list_reduce(CAST(range(8) AS UBIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, byte)),
+                    CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) % 4 AS BIGINT) AS h
+            FROM t GROUP BY conv_id
+        ), r AS (
+            SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns
+            FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+        ), p AS (
+            SELECT conv_id, depth, turns[1:depth] AS prefix, depth = len(turns) AS ends
+            FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r)
+        ), n AS (
+            SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+                coalesce(len(regexp_extract_all(prefix[depth].text, '[^\x20\x09-\x0D]+')), 0) AS words
+            FROM p GROUP BY depth, prefix
+        ), f AS (
+            SELECT n.*, (SELECT count(*) FROM n c WHERE c.depth = n.depth + 1 AND c.prefix[1:n.depth] = n.prefix) AS n_children FROM n
+        ), s AS (
+            SELECT u.conv_id, u.depth, CAST(sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+                CAST(sum((v.n_convs - 1) * v.words) AS BIGINT) AS saved_tokens
+            FROM f u JOIN f v ON v.depth >= u.depth AND v.prefix[1:u.depth] = u.prefix GROUP BY u.conv_id, u.depth
+        )
+        SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+        FROM f JOIN s ON s.conv_id = f.conv_id AND s.depth = f.depth
+        LEFT JOIN n up ON up.depth = f.depth - 1 AND f.prefix[1:up.depth] = up.prefix
+    """,
 }
