@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalake.functions.schema import is_numeric
+
 FUNCTIONS = ("COUNT", "SUM", "AVG", "MIN", "MAX", "COUNT_DISTINCT", "RATIO", "COUNT_IF", "RATE")
 
 ROWS = "_rows"
@@ -63,6 +65,7 @@ class Aggregate:
 class Part:
     kind: str  # sum, count, min or max
     value: Column
+    reads: str = ""  # the text of the value; empty when it reads no column
 
     def whole(self) -> Column:
         return getattr(F, self.kind)(self.value)
@@ -76,6 +79,14 @@ class Part:
             return F.sum(F.when(filled, one).otherwise(F.col(partial)))
         return getattr(F, self.kind)(F.when(filled, self.value).otherwise(F.col(partial)))
 
+    def multiplied(self, value: Column, weight: Column | None) -> Column:
+        """Over joined partial rows that stand for ``weight`` rows each (None: one). ``value`` is a partial count for
+        counts, else the part's value."""
+        if self.kind in ("min", "max"):
+            return getattr(F, self.kind)(value)
+        total = F.sum(value if weight is None else value * weight)
+        return F.coalesce(total, F.lit(0)) if self.kind == "count" else total
+
 
 def is_name(text: str) -> bool:
     return bool(_NAME.match(text))
@@ -91,22 +102,22 @@ def text_column(text: str) -> Column:
 
 
 def _parts(agg: Aggregate, dtype: T.DataType | None) -> tuple[list[Part], Callable[[list[Column]], Column]]:
-    x = F.lit(1) if agg.col == "*" else text_column(agg.col)
+    x, reads = (F.lit(1), "") if agg.col == "*" else (text_column(agg.col), agg.col)
     if agg.func == "COUNT":
-        return [Part("count", x)], lambda c: c[0]
+        return [Part("count", x, reads)], lambda c: c[0]
     if agg.func in ("SUM", "MIN", "MAX"):
-        return [Part(agg.func.lower(), x)], lambda c: c[0]
+        return [Part(agg.func.lower(), x, reads)], lambda c: c[0]
     if agg.func == "AVG":
         total = x if isinstance(dtype, T.DecimalType) else x.cast("double")
-        return [Part("sum", total), Part("count", x)], lambda c: F.try_divide(c[0], c[1])
+        return [Part("sum", total, reads), Part("count", x, reads)], lambda c: F.try_divide(c[0], c[1])
     if agg.func == "RATIO":
-        return [Part("sum", x), Part("sum", text_column(agg.den))], lambda c: F.try_divide(c[0], c[1])
+        return [Part("sum", x, reads), Part("sum", text_column(agg.den), agg.den)], lambda c: F.try_divide(c[0], c[1])
     hit = F.when(x, 1).otherwise(0)
     if agg.func == "COUNT_IF":
-        return [Part("sum", hit)], lambda c: c[0]
+        return [Part("sum", hit, reads)], lambda c: c[0]
     if agg.func == "RATE":
-        of = F.lit(1) if agg.den in (None, "*") else text_column(agg.den)
-        return [Part("sum", hit), Part("count", of)], lambda c: F.try_divide(c[0], c[1]) * 100
+        of, den = (F.lit(1), "") if agg.den in (None, "*") else (text_column(agg.den), agg.den)
+        return [Part("sum", hit, reads), Part("count", of, den)], lambda c: F.try_divide(c[0], c[1]) * 100
     raise ValueError(f"no parts for {agg.func}")
 
 
@@ -149,6 +160,22 @@ def merged(df: DataFrame, aggs: list[Aggregate]) -> list[Column]:
     return out
 
 
+def parts_of(df: DataFrame, agg: Aggregate) -> tuple[list[Part], Callable[[list[Column]], Column]]:
+    """The parts of an aggregate over ``df``, and what makes its result of theirs."""
+    parts, combine = _parts(agg, _dtype(df, agg))
+    return parts, lambda columns: _finish(agg, combine(columns))
+
+
+def can_multiply(df: DataFrame, aggs: list[Aggregate]) -> bool:
+    """Can every sum be taken as a value times a number of rows without loss? Not for texts taken as a whole, times and
+    decimals of more than six places, whose product Spark rounds."""
+    if any(a.is_opaque for a in aggs):
+        return False
+    sums = [p.value for a in aggs if a.func != "COUNT_DISTINCT" for p in parts_of(df, a)[0] if p.kind == "sum"]
+    types = [f.dataType for f in df.select(*[v.alias(f"v{i}") for i, v in enumerate(sums)]).schema.fields]
+    return all(t.scale <= 6 if isinstance(t, T.DecimalType) else is_numeric(t) or isinstance(t, (T.StringType, T.NullType)) for t in types)
+
+
 def _dtype(df: DataFrame, agg: Aggregate) -> T.DataType | None:
     if agg.func != "AVG":
         return None

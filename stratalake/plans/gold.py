@@ -5,9 +5,10 @@ from __future__ import annotations
 import logging
 import re
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +19,12 @@ from stratalake.operators import joins as J
 from stratalake.operators.aggregates import (
     ROWS,
     Aggregate,
+    Part,
+    can_multiply,
     is_name,
     merged,
     partials,
+    parts_of,
     quoted,
     whole,
 )
@@ -29,7 +33,7 @@ from stratalake.sources.lake import Lake
 
 log = logging.getLogger(__name__)
 
-STRATEGIES = ("auto", "plain", "two_step", "spread")
+STRATEGIES = ("auto", "plain", "two_step", "eager", "spread")
 
 
 @dataclass(frozen=True)
@@ -60,9 +64,14 @@ def build_gold(
     * ``two_step``: aggregate the table the measures come from per join key, join those few
       rows, merge. A crowded key shrinks to one row per task before anything is shuffled.
       Needs every aggregate to read one table only.
+    * ``eager``: aggregate every table per join key and count its rows; a joined row then stands for the product of
+      these counts. For plans whose aggregates read several tables: each is scanned once, only partial results are
+      moved, and keys that come often on both sides make no product of rows. What an expression over two tables reads
+      stays in the grouping.
     * ``spread``: join with crowded keys cut in parts (see ``spread_left_join``).
     * ``auto``: ``plain`` if all dimensions are under the broadcast limit, else ``two_step`` if
-      the plan allows it, else ``spread`` for the dimensions over the limit.
+      the plan allows it, else ``eager`` for the tables over the limit, else (texts spliced into an aggregate, sums that
+      a product would round) ``spread`` for the dimensions over the limit.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -86,10 +95,15 @@ def build_gold(
             # Combining first would save no rows, and the group-by shuffles anew after the join,
             # so adaptive execution can split crowded fact keys.
             return _finished(plan, grouped)
-        strategy = "spread" if measured is None else "two_step"
+        strategy = "two_step" if measured is not None else "eager" if _multiplies(plan, sides) else "spread"
+        combined = {i for i, s in enumerate(sides) if s in large or i == 0 and not J.is_broadcastable(s.df)}
     else:
-        large = sides[1:]
-    if strategy == "two_step":
+        large, combined = sides[1:], set(range(len(sides)))
+    if strategy == "eager":
+        if not _multiplies(plan, sides):
+            raise PlanError("eager needs aggregates that can be multiplied by a number of rows")
+        grouped = _eager(plan, sides, combined, grouped.schema)
+    elif strategy == "two_step":
         if measured is None:
             raise PlanError("two_step needs all aggregates to read one table")
         grouped = _two_step(plan, sides, measured, grouped.schema)
@@ -279,14 +293,19 @@ def _filtered(df: DataFrame, filters: list[str]) -> DataFrame:
     return df
 
 
-def _grouped(plan: GoldPlan, sides: list[Side], left_join) -> DataFrame:
+def _joined(plan: GoldPlan, sides: list[Side], left_join) -> DataFrame:
+    """All sides with the pre-columns."""
     df = _fold(sides, left_join)
     for p in plan.pre_columns:
         df = _analysed(
             f"pre column {p['column']!r}",
             lambda df=df, p=p: df.withColumn(p["column"], F.expr(p["expression"])),
         )
-    df = _filtered(df, plan.filters)
+    return df
+
+
+def _grouped(plan: GoldPlan, sides: list[Side], left_join) -> DataFrame:
+    df = _filtered(_joined(plan, sides, left_join), plan.filters)
     return _analysed(
         "aggregates",
         lambda: df.groupBy(*map(quoted, plan.group_by)).agg(*[whole(a) for a in plan.aggregations]),
@@ -393,3 +412,84 @@ def _two_step(plan: GoldPlan, sides: list[Side], m: int, schema: T.StructType) -
     joined = _filtered(joined, late)
     grouped = joined.groupBy(*map(quoted, plan.group_by)).agg(*merged(df, plan.aggregations))
     return grouped.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+# -- eager aggregation -----------------------------------------------------------
+
+
+def _multiplies(plan: GoldPlan, sides: list[Side]) -> bool:
+    return can_multiply(_joined(plan, sides, J.left_join), plan.aggregations)
+
+
+def _eager(plan: GoldPlan, sides: list[Side], combined: set[int], schema: T.StructType) -> DataFrame:
+    """Join the ``combined`` tables as partial aggregates per join key, with the number of rows of each."""
+    known = _plan_columns(plan, sides)
+    whole_row = _joined(plan, sides, J.left_join)  # analysed only
+    dfs, own = [], {}  # own: pre-columns that one combined table gives, and its number
+    for i, side in enumerate(sides):
+        df, names = side.df, set()
+        if i in combined:
+            rest = replace(plan, pre_columns=[p for p in plan.pre_columns if p["column"] not in own])
+            df, names = _own_pre_columns(rest, df, known)
+        own |= dict.fromkeys(names, i)
+        dfs.append(df)
+
+    def home(part: Part) -> int | None:
+        """The table whose partial aggregate holds the part. None: it is taken over joined rows."""
+        fits = (i for i in sorted(combined) if part.reads and _mentioned(known, part.reads) and _reads_only(dfs[i], part.reads, known))
+        return next(fits, None)
+
+    parts = {a.alias: parts_of(whole_row, a) for a in plan.aggregations if a.func != "COUNT_DISTINCT"}
+    placed = {(alias, j): (part, home(part)) for alias, (ps, _) in parts.items() for j, part in enumerate(ps)}
+    names = {place: f"_p{n}" for n, place in enumerate(placed)}
+
+    early = []
+    if 0 in combined and all(s.type == "left" for s in sides[1:]):
+        early = [f for f in plan.filters if _reads_only(dfs[0], f, known)]
+        dfs[0] = _filtered(dfs[0], early)
+    late = [f for f in plan.filters if f not in early]
+
+    texts = plan.group_by + late + [a.col for a in plan.aggregations if a.func == "COUNT_DISTINCT"]
+    texts += [part.reads for part, at in placed.values() if at is None] + [s.key for s in sides[1:]]
+    for p in reversed(plan.pre_columns):
+        if p["column"] not in own and _mentioned([p["column"]], *texts):
+            texts.append(p["expression"])
+
+    rows, kept, joining = {i: f"{ROWS}{i}" for i in sorted(combined)}, {}, []
+    for i, side in enumerate(sides):
+        used = _mentioned(dfs[i].columns, *texts)
+        kept[i] = [c for c in dfs[i].columns if c.lower() in used]
+        df = dfs[i].select(*map(quoted, kept[i]))
+        if i in combined:
+            here = [part.whole().alias(names[place]) for place, (part, at) in placed.items() if at == i]
+            df = dfs[i].groupBy(*map(quoted, kept[i])).agg(F.count(F.lit(1)).alias(rows[i]), *here)
+        joining.append(replace(side, df=df))
+    joined = _fold(joining, J.left_join)
+
+    # Rows an outer join filled with NULLs take the value the expressions have on NULL inputs.
+    gone = {f.name: f.dataType for df in dfs for f in df.schema.fields if f.name not in joined.columns}
+    joined = joined.withColumns({c: F.lit(None).cast(t) for c, t in gone.items()})
+    for p in plan.pre_columns:
+        name, value = p["column"], F.expr(p["expression"])
+        if name in own and name in kept[own[name]]:
+            value = F.when(F.col(rows[own[name]]).isNull(), value).otherwise(F.col(quoted(name)))
+        joined = joined.withColumn(name, value)
+    joined = _filtered(joined, late)
+
+    def weight(at: int | None) -> Column | None:
+        counts = [F.coalesce(F.col(c), F.lit(1)) for i, c in rows.items() if i != at]
+        return reduce(Column.__mul__, counts) if counts else None
+
+    def over_joined(place: tuple[str, int]) -> Column:
+        part, at = placed[place]
+        value = F.when(part.value.isNotNull(), 1).otherwise(0) if part.kind == "count" else part.value
+        if at is not None:
+            value = F.when(F.col(rows[at]).isNull(), value).otherwise(F.col(names[place]))
+        return part.multiplied(value, weight(at))
+
+    results = [
+        whole(a) if a.func == "COUNT_DISTINCT" else parts[a.alias][1]([over_joined((a.alias, j)) for j in range(len(parts[a.alias][0]))])
+        for a in plan.aggregations
+    ]
+    grouped = joined.groupBy(*map(quoted, plan.group_by)).agg(*results)
+    return grouped.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
