@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ GAP = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if GAP.match(bytes([b])) else b for b in range(256))
 #: Texts are cut into words by pieces of about so many bytes; a task holds so many counts before it spills them.
 PIECE = 1 << 20
-MOST_COUNTS = 300_000
+MOST_COUNTS = 400_000
 #: Terms that are dealt out together, and the cells (terms times sources) that a task looks at together.
 TERMS_PER_PART = 1 << 14
 CELLS = 1 << 21
@@ -32,6 +34,7 @@ LEAST_DOCS, ADDED, ONE = 30, 5, 1_000_000_000
 #: Stands for the documents themselves in the stripes; no term is empty.
 DOCUMENTS = b""
 
+_PARTIAL = "lang string, term binary, df long, source string, count long"
 _STRIPES = "lang string, term binary, df long, sources array<string>, counts array<long>"
 _FOUND = "lang string, source string, part string, item string, value long"
 
@@ -48,92 +51,131 @@ def term_counts(text: bytes) -> Counter[bytes]:
     return counts
 
 
-def _stripe_rows(stripes: list[tuple[str, bytes, int, dict[str, int]]]) -> pa.RecordBatch:
-    columns = [
-        pa.array([s[0] for s in stripes], pa.string()),
-        pa.array([s[1] for s in stripes], pa.binary()),
-        pa.array([s[2] for s in stripes], pa.int64()),
-        pa.array([list(s[3]) for s in stripes], pa.list_(pa.string())),
-        pa.array([list(s[3].values()) for s in stripes], pa.list_(pa.int64())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "df", "sources", "counts"])
+class Stripes:
+    """The stripes of one language that a task holds. Most terms come in one document only; those are kept as (source, count)."""
 
+    def __init__(self):
+        self.once: dict[bytes, tuple[str, int]] = {}
+        self.more: dict[bytes, list] = {}  # number of documents, {source: count}
 
-def _in_batches(stripes: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for s in stripes:
-        held.append(s)
-        size += 1 + len(s[3])
-        if size >= 50_000:
-            yield _stripe_rows(held)
-            held, size = [], 0
-    if held:
-        yield _stripe_rows(held)
+    def add(self, source: str, counts: Counter[bytes]) -> int:
+        """Fold one document in; gives how many counts came to the held ones."""
+        once, more, new = self.once, self.more, 0
+        for term, n in counts.items():
+            stripe = more.get(term)
+            if stripe is not None:
+                stripe[0] += 1
+                of = stripe[1]
+                if source in of:
+                    of[source] += n
+                else:
+                    of[source] = n
+                    new += 1
+                continue
+            first = once.pop(term, None)
+            new += 1
+            if first is None:
+                once[term] = (source, n)
+            elif first[0] == source:
+                more[term] = [2, {source: first[1] + n}]
+            else:
+                more[term] = [2, {first[0]: first[1], source: n}]
+        return new
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """Partial stripes as rows, one for each source; the first one has the number of documents."""
+
+        def batch(terms: list, dfs: list, sources: list, counts: list) -> pa.RecordBatch:
+            columns = [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.array(terms, pa.binary()), pa.array(dfs, pa.int64()), pa.array(sources, pa.string()), pa.array(counts, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "df", "source", "count"])
+
+        for part in batched(self.once.items(), 20_000):
+            yield batch([t for t, _ in part], [1] * len(part), [s for _, (s, _) in part], [n for _, (_, n) in part])
+        flat = ((term, df if i == 0 else 0, source, n) for term, (df, of) in self.more.items() for i, (source, n) in enumerate(of.items()))
+        for part in batched(flat, 20_000):
+            yield batch(*map(list, zip(*part, strict=True)))
 
 
 def fold(docs: DataFrame, most_counts: int = MOST_COUNTS) -> DataFrame:
-    """Partial stripes (lang, term, df, sources, counts) of documents (lang, source, text); the empty term counts the documents themselves."""
+    """Partial stripes (lang, term, df, source, count) of documents (lang, source, text); the empty term counts the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[str, dict[bytes, list]] = {}
+        held: dict[str, Stripes] = {}
         size = 0
-
-        def spilled() -> Iterator[pa.RecordBatch]:
-            yield from _in_batches((lang, term, df, counts) for lang, terms in stripes.items() for term, (df, counts) in terms.items())
-            stripes.clear()
-
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
             for lang, source, text in zip(langs, sources, batch.column("text").cast(pa.binary()), strict=True):
-                terms = stripes.setdefault(lang, {})
                 counts = term_counts(text.as_py())
                 counts[DOCUMENTS] = 1
-                for term, n in counts.items():
-                    stripe = terms.get(term)
-                    if stripe is None:
-                        terms[term] = [1, {source: n}]
-                        size += 2
-                        continue
-                    stripe[0] += 1
-                    of = stripe[1]
-                    if source in of:
-                        of[source] += n
-                    else:
-                        of[source] = n
-                        size += 1
-                if size >= most_counts:
-                    yield from spilled()
-                    size = 0
-        yield from spilled()
+                if lang not in held:
+                    held[lang] = Stripes()
+                size += held[lang].add(source, counts)
+                if size >= most_counts:  # spill
+                    for name, stripes in held.items():
+                        yield from stripes.rows(name)
+                    held, size = {}, 0
+        for name, stripes in held.items():
+            yield from stripes.rows(name)
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*text).mapInArrow(run, _STRIPES)
+    return docs.select(*text).mapInArrow(run, _PARTIAL)
 
 
-def merge(stripes: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def merge(partial: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One stripe for each language and term in at least ``least_docs`` documents, and one of the documents of each language.
 
-    A task reads partial stripes sorted by their key and holds one merged stripe, of as many entries as the language has sources.
+    A task reads partial stripes with equal keys side by side. It adds up the numbers of documents of a batch at once and looks only at the sources of
+    the terms that stay, one stripe at a time, of as many entries as the language has sources.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged() -> Iterator[tuple]:
+        def merged() -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
             key, df, counts = None, 0, {}
+
+            def whole() -> bool:
+                return key is not None and (df >= least_docs or key[1] == DOCUMENTS)
+
             for batch in batches:
-                for lang, term, n, sources, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (lang, term) != key:
-                        if key is not None and (df >= least_docs or key[1] == DOCUMENTS):
+                if not batch.num_rows:
+                    continue
+                lang, term, dfs, source, count = batch.columns
+                starts = np.flatnonzero(np.concatenate(([True], _differ(lang) | _differ(term))))
+                ends = np.append(starts[1:], batch.num_rows)
+                docs = np.add.reduceat(dfs.to_numpy(), starts)
+                looked_at = docs >= least_docs
+                looked_at |= np.asarray(pc.equal(term, DOCUMENTS))[starts]
+                looked_at[[0, -1]] = True  # these may go on in another batch
+                for k in np.flatnonzero(looked_at).tolist():
+                    a, n = int(starts[k]), int(ends[k] - starts[k])
+                    found = (lang[a].as_py(), term[a].as_py())
+                    if found != key:
+                        if whole():
                             yield *key, df, counts
-                        key, df, counts = (lang, term), 0, {}
-                    df += n
-                    for s, k in zip(sources, more, strict=True):
-                        counts[s] = counts.get(s, 0) + k
-            if key is not None and (df >= least_docs or key[1] == DOCUMENTS):
+                        key, df, counts = found, 0, {}
+                    df += int(docs[k])
+                    for s, c in zip(source.slice(a, n).to_pylist(), count.slice(a, n).to_pylist(), strict=True):
+                        counts[s] = counts.get(s, 0) + c
+            if whole():
                 yield *key, df, counts
 
-        yield from _in_batches(merged())
+        for part in batched(merged(), 1000):
+            columns = [
+                pa.array([s[0] for s in part], pa.string()),
+                pa.array([s[1] for s in part], pa.binary()),
+                pa.array([s[2] for s in part], pa.int64()),
+                pa.array([list(s[3]) for s in part], pa.list_(pa.string())),
+                pa.array([list(s[3].values()) for s in part], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "df", "sources", "counts"])
+
+    # A number sorts faster than the terms; what matters is that equal keys meet.
+    keyed = partial.withColumn("key", F.xxhash64("lang", "term")).repartition("key").sortWithinPartitions("key", "lang", "term")
+    return keyed.drop("key").mapInArrow(run, _STRIPES)
+
 
-    return stripes.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, _STRIPES)
+def _differ(column: pa.Array) -> np.ndarray:
+    """Which values differ from the one before, from the second on."""
+    return np.asarray(pc.not_equal(column[1:], column[:-1]))
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
