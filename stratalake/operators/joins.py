@@ -7,15 +7,24 @@ to Catalyst: a dimension is broadcast only while its size is under the session's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A crowded key is cut so that no part holds more than this share of the rows of a join, nor
-# less than this many rows. A share of 1/10000 of 100 TB is 10 GB.
+# A key is crowded when it holds this share of a dimension's rows and so many rows; it is cut in parts of about
+# so many bytes, if that is less, and never of fewer rows.
 SHARE = 0.0001
 MIN_ROWS = 100_000
+PART_BYTES = 256 << 20
+# Sketches that the tasks' sketches are merged into before the last merge, and the most counters Spark's sketch takes.
+SKETCHES = 64
+MOST_COUNTERS = 1_000_000
 DEAL = "_deal"
 
+_COUNTABLE = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
 
 def prepare_dimension(fact_columns: list[str], dim: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """The dimension with its key under the fact's name and without columns the fact has."""
@@ -44,34 +53,36 @@ def full_join(fact: DataFrame, dim: DataFrame, key: str, left=left_join) -> Data
     return left(fact, dim, key).unionByName(unmatched, allowMissingColumns=True)
 
 
-def hot_keys(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    share: float | None = None,
-    min_rows: int | None = None,
-) -> DataFrame:
-    """Keys that crowd a join: (key, _hot_left, _parts).
-
-    A key is crowded when it holds at least ``share`` of the non-null rows of both sides together
-    (and ``min_rows``), so there are at most 1/share. ``_hot_left`` tells whether the left side holds
-    more of them, ``_parts`` into how many parts that side is to be cut.
+def heavy_keys(df: DataFrame, key: str, share: float) -> tuple[list[Row], int]:
+    """(item, count) of the keys that hold ``share`` of the non-null rows, and the number of these rows. Runs one job over the key column.
 
-    Rows are counted per key in their own task first, so a crowded key reaches the shuffle as one
-    row per task.
+    Every task counts with a bounded number of counters (a frequent-items sketch); its sketches are merged in a tree. What is moved follows the number of
+    tasks and 1/share, not the number of keys. A key over the share is never missed, since the sketch errs by less than half of it; every key given does
+    occur, and its count is at most that much too high. There are at most 2/share of them.
     """
+    counters = min(MOST_COUNTERS, max(16, math.ceil(6 / share)))
+    name = f"`{key}`"
+    tasks = df.where(F.col(name).isNotNull()).groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_sketch"))
+    merged = tasks.agg(F.expr(f"approx_top_k_accumulate({name}, {counters})").alias("_state"), F.count(F.lit(1)).alias("_rows"))
+    whole = merged.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_combine(_state, {counters})").alias("_state"), F.sum("_rows").alias("_rows"))
+    found = whole.select(F.expr(f"approx_top_k_estimate(_state, {min(counters, math.ceil(2 / share))})").alias("items"), "_rows").first()
+    if found is None:  # no key at all
+        return [], 0
+    return [i for i in found["items"] if i["count"] >= found["_rows"] * share], found["_rows"]
+
+
+def crowded_keys(dim: DataFrame, key: str, share: float | None = None, min_rows: int | None = None) -> list[tuple]:
+    """(key, parts) of the dimension's keys that crowd a join, and into how many parts each is to be cut; see ``heavy_keys``."""
     share, min_rows = share or SHARE, min_rows or MIN_ROWS
-    keys = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
-    )
-    counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    total = counts.agg(F.sum(F.col("l") + F.col("r"))).scalar()
-    enough = F.greatest(total * share, F.lit(float(min_rows)))
-    return counts.where(F.col("l") + F.col("r") >= enough).select(
-        key,
-        (F.col("l") >= F.col("r")).alias("_hot_left"),
-        F.ceil(F.greatest("l", "r") / enough).cast("int").alias("_parts"),
-    )
+    if not isinstance(dim.schema[key].dataType, _COUNTABLE):
+        return []
+    items, rows = heavy_keys(dim, key, share)
+    enough = max(rows * share, min_rows)
+    items = [i for i in items if i["count"] >= enough]
+    if not items:
+        return []
+    in_part = min(enough, max(min_rows, PART_BYTES * rows / max(1, estimated_bytes(dim))))
+    return [(i["item"], math.ceil(i["count"] / in_part)) for i in items]
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -85,44 +96,39 @@ def spread_left_join(
     key: str,
     share: float | None = None,
     min_rows: int | None = None,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join that cuts crowded keys into parts, the more the larger the key.
+    """Left join that cuts the right side's crowded keys into parts, the more the larger the key.
 
-    The side with more rows of a crowded key deals them out over the parts, the other side
-    repeats its rows in each. Other keys are joined as usual. The join runs on (key, part), so a
-    later group-by on the key shuffles again, after a partial aggregate, instead of
-    inheriting the crowded partition.
+    Spark splits a crowded left side of a left join by itself, but not the right one. The right side deals its rows of a crowded key out over the parts, the
+    left side repeats its rows in each. Other keys are joined as usual. The join runs on (key, part), so a later group-by on the key shuffles again,
+    after a partial aggregate, instead of inheriting the crowded partition. The crowded keys are found first, by one job over the right side's key
+    column; without any this is a plain left join.
 
-    There are at most 1/share crowded keys; that bound is why their list may be broadcast.
-    ``counted`` stands in for the left side when its keys are counted: the table the key column
-    comes from, so that earlier joins need not run twice.
+    There are at most 2/share crowded keys; that bound is why the driver may hold their list and broadcast it.
 
     A row's part comes from its place in the scan (``dealt``), so that exact copies part too. A
     retried task must deal the same way: when a side is itself the result of a shuffle, add that
     column before the shuffle.
     """
-    hot = hot_keys(left if counted is None else counted, right, key, share, min_rows)
+    found = crowded_keys(right, key, share, min_rows)
+    if not found:
+        return left_join(left, right.drop(DEAL), key)
+    spark = left.sparkSession
+    hot = spark.createDataFrame(found, T.StructType([T.StructField(key, right.schema[key].dataType), T.StructField("_parts", T.IntegerType())]))
     place, parts = F.col(DEAL), F.col("_parts")
+    # Null keys match nothing; they are dealt out so that they do not crowd one task.
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    usual = F.when(F.col(f"`{key}`").isNull(), F.pmod(place, F.lit(tasks))).otherwise(F.lit(0)).cast("int")
+
+    def parted(df: DataFrame, crowded) -> DataFrame:
+        df = dealt(df).join(F.broadcast(hot), key, "left")
+        return df.withColumn("_part", F.explode(F.when(parts.isNull(), F.array(usual)).otherwise(crowded)))
 
-    def parted(df: DataFrame, deals) -> DataFrame:
-        # Null keys match nothing; they are dealt out so that they do not crowd one task.
-        usual = F.when(F.col(key).isNull(), F.pmod(place, F.lit(10_000))).otherwise(F.lit(0))
-        part = (
-            F.when(parts.isNull(), F.array(usual.cast("int")))
-            .when(deals, F.array(F.pmod(place, parts).cast("int")))
-            .otherwise(F.sequence(F.lit(0), parts - 1))
-        )
-        df = dealt(df).join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(part))
-        return df.withColumn("_repeated", parts.isNotNull() & ~deals).drop("_hot_left", "_parts")
-
-    lefts = parted(left, F.col("_hot_left"))
-    rights = parted(right, ~F.col("_hot_left")).drop(DEAL, "_repeated")
+    lefts = parted(left, F.sequence(F.lit(0), parts - 1)).withColumn("_repeated", parts.isNotNull()).drop("_parts")
+    rights = parted(right, F.array(F.pmod(place, parts).cast("int"))).drop(DEAL, "_parts")
     joined = lefts.join(rights.withColumn("_matched", F.lit(True)), [key, "_part"], "left")
-    # A repeated left row has a match in some part (the right side holds more rows of its key
-    # than the left), so its copies in parts without one are no result rows.
-    stray = F.coalesce("_repeated", F.lit(False)) & F.col("_matched").isNull()
-    joined = joined.where(~stray).drop("_part", "_repeated", "_matched")
+    # A repeated left row has a match in some part (its key does occur on the right), so its copies in parts without one are no result rows.
+    joined = joined.where(~(F.col("_repeated") & F.col("_matched").isNull())).drop("_part", "_repeated", "_matched")
     return joined if DEAL in left.columns else joined.drop(DEAL)
 
 

@@ -53,7 +53,7 @@ def build_gold(
     as_of: str | None = None,
     strategy: str = "auto",
 ) -> DataFrame:
-    """The Gold table a plan describes. Everything is checked here, before any job starts.
+    """The Gold table a plan describes. Everything is checked here, before any job starts (``spread`` starts one after that).
 
     ``strict=False`` leaves out aggregates and group-by columns that do not exist instead of
     raising. ``as_of`` (``YYYY-MM-DD``) stands in for ``current_date()`` in the plan's expressions.
@@ -68,7 +68,8 @@ def build_gold(
       these counts. For plans whose aggregates read several tables: each is scanned once, only partial results are
       moved, and keys that come often on both sides make no product of rows. What an expression over two tables reads
       stays in the grouping.
-    * ``spread``: join with crowded keys cut in parts (see ``spread_left_join``).
+    * ``spread``: join with crowded keys of a dimension cut in parts (see ``spread_left_join``); looking for them is a job that
+      runs here.
     * ``auto``: ``plain`` if all dimensions are under the broadcast limit, else ``two_step`` if
       the plan allows it, else ``eager`` for the tables over the limit, else (texts spliced into an aggregate, sums that
       a product would round) ``spread`` for the dimensions over the limit.
@@ -108,7 +109,7 @@ def build_gold(
             raise PlanError("two_step needs all aggregates to read one table")
         grouped = _two_step(plan, sides, measured, grouped.schema)
     else:
-        spread = _spreading(sides, {s.key for s in large})
+        spread = _spreading({s.key for s in large})
         grouped = _grouped(plan, [replace(sides[0], df=J.dealt(sides[0].df)), *sides[1:]], spread)
     return _finished(plan, grouped)
 
@@ -270,19 +271,11 @@ def _fold(sides: list[Side], left_join) -> DataFrame:
     return df
 
 
-def _spreading(sides: list[Side], keys: set[str]):
-    """A left join that spreads crowded keys for the given join keys.
-
-    Left keys are counted on the table the key column comes from, which costs a scan of one
-    column instead of the joins so far. A key that only the joined rows crowd is left to
-    adaptive execution, which splits the left side of a left join.
-    """
+def _spreading(keys: set[str]):
+    """A left join that spreads crowded keys of the right side for the given join keys."""
 
     def join(left: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-        if key not in keys:
-            return J.left_join(left, dim, key)
-        home = next(s.df for s in sides if key in s.df.columns)
-        return J.spread_left_join(left, dim, key, counted=home)
+        return (J.spread_left_join if key in keys else J.left_join)(left, dim, key)
 
     return join
 

@@ -450,7 +450,7 @@ def gold_joined_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_gold(source, plan, strict=False)
 
 
-@R.query("""
+_LINES_SQL = """
     SELECT status, flag_and_line, line_count, revenue, average_discount, charge_per_unit, first_at, late_count,
            revenue > 500000000 AS is_large FROM (
         SELECT o_orderstatus AS status, l_returnflag || l_linestatus AS flag_and_line, count(*) AS line_count,
@@ -460,29 +460,77 @@ def gold_joined_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                CAST(sum(CASE WHEN l_shipdate > o_orderdate THEN 1 ELSE 0 END) AS BIGINT) AS late_count
         FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
         WHERE l_quantity > 5 AND o_orderpriority <> '5-LOW' GROUP BY 1, 2)
-""")
+"""
+
+_LINES = {
+    "source_tables": ["lineitem", "orders"],
+    "joins": [join("lineitem", "orders", "lineitem.l_orderkey = orders.o_orderkey")],
+    "pre_columns": [{"column": "flag_and_line", "expression": "concat(l_returnflag, l_linestatus)"}],
+    "filters": ["l_quantity > 5", "orders.o_orderpriority <> '5-LOW'"],
+    "group_by": ["o_orderstatus", "flag_and_line"],
+    "aggregations": [
+        agg("COUNT", "*", "line_count"),
+        agg("SUM", "l_extendedprice * (1 - l_discount)", "revenue"),
+        agg("AVG", "l_discount", "average_discount"),
+        agg("RATIO", "l_extendedprice", "charge_per_unit", den="l_quantity"),
+        agg("MIN", "o_orderdate", "first_at"),
+        agg("COUNT_IF", "l_shipdate > o_orderdate", "late_count"),
+    ],
+    "column_aliases": [{"from": "o_orderstatus", "to": "status"}],
+    "derived_columns": [
+        {"column": "is_large", "expression": "revenue > 500000000", "type": "boolean"}
+    ],
+    "destination": "line_status",
+}
+
+
+@R.query(_LINES_SQL)
 def gold_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_gold(tables(spark, sf_dir, "lineitem", "orders"), _LINES)
+
+
+@R.query(_LINES_SQL)
+def gold_plan_eager(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and orders are combined per order before they meet, though the aggregates read both."""
+    return build_gold(tables(spark, sf_dir, "lineitem", "orders"), _LINES, strategy="eager")
+
+
+_MANY_SQL = """
+    SELECT c_mktsegment, label, count(*) AS row_count, count(o_orderkey) AS order_rows, count(event_id) AS event_rows,
+           sum(o_totalprice) AS total_price, avg(value) AS average_value, max(o_orderdate) AS last_order_at, min(ts) AS first_event_at,
+           sum(value) / nullif(sum(o_totalprice), 0) AS value_per_price,
+           CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS finished, sum(c_acctbal) AS balance
+    FROM (SELECT *, CASE WHEN event_type IS NULL THEN 'none' ELSE event_type END AS label
+          FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN events ON c_custkey = user_id)
+    WHERE coalesce(o_orderpriority, 'x') <> '5-LOW' GROUP BY 1, 2
+"""
+
+
+@R.query(_MANY_SQL)
+def gold_many_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of a customer beside every event of theirs, without making these rows: counts multiply."""
     plan = {
-        "source_tables": ["lineitem", "orders"],
-        "joins": [join("lineitem", "orders", "lineitem.l_orderkey = orders.o_orderkey")],
-        "pre_columns": [{"column": "flag_and_line", "expression": "concat(l_returnflag, l_linestatus)"}],
-        "filters": ["l_quantity > 5", "orders.o_orderpriority <> '5-LOW'"],
-        "group_by": ["o_orderstatus", "flag_and_line"],
+        "source_tables": ["customer", "orders", "events"],
+        "joins": [CUSTOMER_ORDERS, join("customer", "events", "customer.c_custkey = events.user_id")],
+        "pre_columns": [{"column": "label", "expression": "CASE WHEN event_type IS NULL THEN 'none' ELSE event_type END"}],
+        "filters": ["coalesce(o_orderpriority, 'x') <> '5-LOW'"],
+        "group_by": ["c_mktsegment", "label"],
         "aggregations": [
-            agg("COUNT", "*", "line_count"),
-            agg("SUM", "l_extendedprice * (1 - l_discount)", "revenue"),
-            agg("AVG", "l_discount", "average_discount"),
-            agg("RATIO", "l_extendedprice", "charge_per_unit", den="l_quantity"),
-            agg("MIN", "o_orderdate", "first_at"),
-            agg("COUNT_IF", "l_shipdate > o_orderdate", "late_count"),
+            agg("COUNT", "*", "row_count"),
+            agg("COUNT", "o_orderkey", "order_rows"),
+            agg("COUNT", "event_id", "event_rows"),
+            agg("SUM", "o_totalprice", "total_price"),
+            agg("AVG", "value", "average_value"),
+            agg("MAX", "o_orderdate", "last_order_at"),
+            agg("MIN", "ts", "first_event_at"),
+            agg("RATIO", "value", "value_per_price", den="o_totalprice"),
+            agg("COUNT_IF", "o_orderstatus = 'F'", "finished"),
+            agg("SUM", "c_acctbal", "balance"),
         ],
-        "column_aliases": [{"from": "o_orderstatus", "to": "status"}],
-        "derived_columns": [
-            {"column": "is_large", "expression": "revenue > 500000000", "type": "boolean"}
-        ],
-        "destination": "line_status",
+        "destination": "orders_and_events",
     }
-    return build_gold(tables(spark, sf_dir, "lineitem", "orders"), plan)
+    return build_gold(tables(spark, sf_dir, "customer", "orders", "events"), plan, strategy="eager")
+
 
 
 @R.query("""

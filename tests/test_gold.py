@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from fixtures import (
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from stratalake import PlanError, build_gold, to_silver
 from stratalake.operators import joins as J
 from stratalake.plans.spec import GoldPlan, plans_of
+from stratalake.queries.gold import _LINES
 
-STRATEGIES = ["plain", "two_step", "spread", "auto"]
+STRATEGIES = ["plain", "two_step", "eager", "spread", "auto"]
 
 
 def _agg(func, col, alias, **more):
@@ -116,40 +118,31 @@ def test_leave_by_department(spark, tmp_path, strategy):
 
 
 @pytest.mark.parametrize("strategy", STRATEGIES)
-def test_sla_audit(spark, tmp_path, strategy):
+def test_team_workload(spark, tmp_path, strategy):
+    """Points and speed per team: pre-columns of either side, a full join, a rate and a distinct count."""
     _, tickets, _ = silver_of(spark, tmp_path, "ticket_events.json", TICKETS_JSON)
     plan = {
         "source_tables": ["tickets", "agents"],
         "joins": [{"fact": "tickets", "dim": "agents", "on": "agent_id", "type": "full"}],
         "pre_columns": [
-            {
-                "column": "agent_full_name",
-                "expression": "CASE WHEN agent_id = 99 THEN 'Robot' "
-                "ELSE concat_ws(' ', agents.first_name, last_name) END",
-            },
-            {"column": "support_tier", "expression": "CASE WHEN agent_id = 99 THEN 'machine' ELSE tier_level END"},
-            {
-                "column": "breach",
-                "expression": "CASE WHEN (priority = 'Critical' AND response_time_minutes > 15) OR (priority = 'High' "
-                "AND response_time_minutes > 30) OR (priority = 'Low' AND response_time_minutes > 120) THEN 1 ELSE 0 END",
-            },
+            {"column": "team", "expression": "coalesce(agents.tier_level, 'none')"},
+            {"column": "points", "expression": "element_at(map('Low', 1, 'High', 5, 'Critical', 8), priority)"},
         ],
-        "group_by": ["agent_id", "agent_full_name", "support_tier"],
+        "group_by": ["team"],
         "aggregations": [
-            _agg("COUNT", "ticket_id", "tickets"),
-            _agg("AVG", "response_time_minutes", "average_min", round=2),
-            _agg("SUM", "breach", "breaches"),
-            _agg("RATE", "resolved = 'true'", "resolved_percent", den="ticket_id", round=2),
+            _agg("COUNT", "ticket_id", "n"),
+            _agg("SUM", "points", "sum_points"),
+            _agg("RATE", "response_time_minutes <= 20", "quick", den="ticket_id"),
+            _agg("MAX", "response_time_minutes", "slowest"),
+            _agg("COUNT DISTINCT", "agent_id", "people"),
         ],
-        "destination": "gold_agent_performance_sla_audit",
+        "destination": "team_workload",
     }
-    source = {"tickets": tickets, "agents": agents(spark)}
-    rows = _rows(build_gold(source, plan, strategy=strategy), "agent_id")
+    rows = _rows(build_gold({"tickets": tickets, "agents": agents(spark)}, plan, strategy=strategy), "team")
     assert {k: tuple(r)[1:] for k, r in rows.items()} == {
-        21: ("Ada Lane", "T1", 1, 9.0, 0, 100.0),
-        22: ("Ben Moss", "T2", 2, 32.0, 1, 50.0),
-        23: ("Cat Nash", "T1", 0, None, 0, None),
-        99: ("Robot", "machine", 1, 121.0, 1, 0.0),
+        "T1": (1, 8, 100.0, 9, 2),  # 23 has no ticket and counts as one of the people
+        "T2": (2, 13, 50.0, 50, 1),
+        "none": (1, 1, 0.0, 121, 1),
     }
 
 
@@ -270,6 +263,44 @@ def test_auto_leaves_broadcast_joins_alone_and_combines_large_ones(spark, crowde
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_eager_plan_reads_each_table_once_and_moves_partials_only(spark):
+    """Broadcasting is off, and the aggregates read both tables."""
+    source = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        auto = build_gold(source, _LINES)
+        lines = auto._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sum("FileScan" in line for line in lines) == 2
+        below = [lines[i + 1].lstrip(" :+-") for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+        assert len(below) >= 3 and all(re.match(r"(Project|\*?\(?\d*\)? ?(Hash|Sort|ObjectHash)Aggregate|Filter)", b) for b in below)
+        assert "_rows0" in auto._jdf.queryExecution().analyzed().toString() and "AS _part#" not in auto._jdf.queryExecution().analyzed().toString()
+        plain = build_gold(source, _LINES, strategy="plain")
+        short = [[tuple(float(f"{v:.10g}") if isinstance(v, float) else v for v in r) for r in df.collect()] for df in (auto, plain)]
+        assert sorted(short[0], key=str) == sorted(short[1], key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_eager_makes_no_product_of_rows(spark):
+    """Two dimensions with 3,000 rows each of one key: nine million joined rows, counted from three."""
+    fact = spark.createDataFrame([(1, "a"), (2, "b")], "k int, g string")
+    dims = {n: spark.range(3000).select(F.lit(1).alias("k"), F.col("id").alias(n)) for n in ("p", "q")}
+    plan = {
+        "source_tables": ["fact", "p", "q"],
+        "joins": [{"fact": "fact", "dim": d, "on": "k", "type": "left"} for d in ("p", "q")],
+        "group_by": ["g"],
+        "aggregations": [_agg("COUNT", "*", "n"), _agg("SUM", "p", "sp"), _agg("MAX", "q", "hi"), _agg("COUNT", "q", "nq")],
+    }
+    out = build_gold({"fact": fact, **dims}, plan, strategy="eager")
+    assert sorted(map(tuple, out.collect())) == [("a", 9_000_000, 3000 * sum(range(3000)), 2999, 9_000_000), ("b", 1, None, None, 0)]
+
+
+def test_eager_refuses_what_it_cannot_multiply(spark, crowded):
+    plan = {"source_tables": ["facts", "dims"], "joins": [{"dim": "dims", "on": "k", "type": "left"}], "group_by": ["g"]}
+    with pytest.raises(PlanError, match="multiplied"):
+        build_gold(crowded, {**plan, "aggregations": [_agg("SUM", "cast(x as decimal(20, 8))", "s")]}, strategy="eager")
+
+
 @pytest.mark.parametrize("share, min_rows", [(0.001, 1), (0.02, 30), (0.3, 1), (1.0, 10**9)])
 def test_spread_join_is_a_left_join(spark, crowded, share, min_rows):
     facts, dims = crowded["facts"], crowded["dims"]
@@ -289,19 +320,67 @@ def test_crowded_on_both_sides(spark):
         assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
-def test_crowded_key_is_cut_by_its_size(spark, crowded):
-    """A third of the rows in one key: its parts hold no more than the share."""
-    facts, dims = crowded["facts"], crowded["dims"]
-    rows = {r.k: r for r in J.hot_keys(facts, dims, "k", 0.05, 1).collect()}
-    total = facts.where("k is not null").count() + dims.where("k is not null").count()
-    assert list(rows) == [7] and rows[7]._hot_left
-    parts = rows[7]._parts
-    assert parts == math.ceil(facts.where("k = 7").count() / (total * 0.05))
-    place = F.pmod(F.col("_deal"), F.lit(parts))
+def test_crowded_key_is_cut_by_its_size(spark, crowded, monkeypatch):
+    """A third of the rows in one key: its parts hold no more than the share, or than the bytes of a part."""
+    facts = crowded["facts"]
+    total, of_key = facts.where("k is not null").count(), facts.where("k = 7").count()
+    (found,) = J.crowded_keys(facts, "k", 0.05, 1)
+    assert found == (7, math.ceil(of_key / (total * 0.05)))
+    place = F.pmod(F.col("_deal"), F.lit(found[1]))
     sizes = [r["count"] for r in J.dealt(facts).where("k = 7").groupBy(place).count().collect()]
-    assert len(sizes) == parts and max(sizes) <= total * 0.05 * 1.1
-    assert J.hot_keys(facts, dims, "k", 0.01).count() <= 100
-    assert J.hot_keys(facts, dims, "k", 0.05, 10**6).count() == 0
+    assert len(sizes) == found[1] and max(sizes) <= total * 0.05 * 1.1
+    monkeypatch.setattr(J, "PART_BYTES", J.estimated_bytes(facts) // 100)
+    assert J.crowded_keys(facts, "k", 0.05, 1)[0][1] == pytest.approx(of_key / (total / 100), abs=1.01)
+    assert J.crowded_keys(facts, "k", 0.05, 10**6) == []
+    assert J.crowded_keys(facts.where("k is null"), "k") == []
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date", "decimal(12,2)", "timestamp_ntz"])
+def test_heavy_keys_are_those_of_an_exact_count(spark, kind):
+    """A million rows, most of different keys: every key over the share is found with a count that is little too high."""
+    shifted = "timestamp_seconds(k)" if kind == "timestamp_ntz" else "date_from_unix_date(int(k))" if kind == "date" else "k"
+    keys = spark.range(0, 300_000, 1, 4).selectExpr("CASE WHEN id % 10 < 3 THEN 1 WHEN id % 100 = 55 THEN 2 WHEN id % 1000 = 777 THEN 3 ELSE id + 10 END AS k")
+    keys = keys.selectExpr(f"cast({shifted} as {kind}) AS k")
+    exact = {r.k: r["count"] for r in keys.groupBy("k").count().where("count > 1").collect()}
+    assert len(exact) == 3
+    items, rows = J.heavy_keys(keys, "k", 0.005)
+    assert rows == 300_000
+    found = {i["item"]: i["count"] for i in items}
+    assert {k for k, n in exact.items() if n >= rows * 0.005} <= set(found) <= set(exact)
+    assert all(exact[k] <= n <= exact[k] + rows * 0.0025 for k, n in found.items())
+
+
+def test_search_for_crowded_keys_moves_sketches_only(spark, tmp_path):
+    """No exchange by the key, whatever the number of keys; without a crowded key the join is a plain one."""
+    spark.range(0, 50_000, 1, 4).selectExpr("id AS k", "id AS w").write.parquet(str(tmp_path / "dim"))
+    dim = spark.read.parquet(str(tmp_path / "dim"))
+    written = []
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    before = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).size()
+    assert J.crowded_keys(dim, "k", 0.01, 1) == []
+    stages = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = [stages.apply(i).shuffleWriteRecords() for i in range(stages.size() - before)]
+    assert sum(written) <= 2 * J.SKETCHES
+    joined = J.spread_left_join(dim, dim.withColumnRenamed("w", "v"), "k", 0.01, 1)
+    text = joined._jdf.queryExecution().analyzed().toString()
+    assert "_parts" not in text and text.count("Join") == 1
+
+
+def test_a_key_with_a_third_of_the_dimension_is_split(spark):
+    dim = spark.range(0, 30_000, 1, 4).selectExpr("CASE WHEN id % 10 < 3 THEN 7 ELSE id END AS k", "id AS w")
+    fact = spark.range(0, 40, 1, 2).selectExpr("id AS k", "id AS f")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        joined = J.spread_left_join(fact, dim, "k", 0.01, 20)
+        sizes = [len(p) for p in joined.select("w").rdd.glom().collect()]
+        assert joined.exceptAll(fact.join(dim, "k", "left")).count() == 0 and sum(sizes) == fact.join(dim, "k", "left").count()
+        assert max(sizes) < 0.25 * sum(sizes)
+    finally:
+        for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(c)
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
 
 
 def test_full_join(spark, crowded):
