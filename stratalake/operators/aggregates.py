@@ -1,8 +1,8 @@
 """Plan aggregates as Spark expressions, whole or in two steps.
 
 Each aggregate is built from parts (sums, counts, minima, maxima). The parts can be taken in
-one aggregate over joined rows, or first over the rows of one table per join key and then
-merged after the join. Both ways give the same answer; the second joins far fewer rows.
+one aggregate over joined rows, or first over the rows of single tables per join key and then
+put together after the join. Both ways give the same answer; the second joins far fewer rows.
 """
 
 from __future__ import annotations
@@ -70,15 +70,6 @@ class Part:
     def whole(self) -> Column:
         return getattr(F, self.kind)(self.value)
 
-    def merged(self, partial: str) -> Column:
-        """From partial results; a row an outer join filled with NULLs (it has no ``_rows``)
-        counts with the value the expression has on those NULLs."""
-        filled = F.col(ROWS).isNull()
-        if self.kind == "count":
-            one = F.when(self.value.isNotNull(), 1).otherwise(0)
-            return F.sum(F.when(filled, one).otherwise(F.col(partial)))
-        return getattr(F, self.kind)(F.when(filled, self.value).otherwise(F.col(partial)))
-
     def multiplied(self, value: Column, weight: Column | None) -> Column:
         """Over joined partial rows that stand for ``weight`` rows each (None: one). ``value`` is a partial count for
         counts, else the part's value."""
@@ -137,29 +128,6 @@ def whole(agg: Aggregate) -> Column:
     return _finish(agg, combine([p.whole() for p in parts]))
 
 
-def partials(df: DataFrame, aggs: list[Aggregate]) -> list[Column]:
-    """First step: partial results over the rows of one table, plus their number."""
-    out = [F.count(F.lit(1)).alias(ROWS)]
-    for i, agg in enumerate(aggs):
-        if agg.func == "COUNT_DISTINCT":
-            continue  # its column stays in the grouping
-        parts, _ = _parts(agg, _dtype(df, agg))
-        out += [p.whole().alias(f"_p{i}_{j}") for j, p in enumerate(parts)]
-    return out
-
-
-def merged(df: DataFrame, aggs: list[Aggregate]) -> list[Column]:
-    """Second step, over the joined partial rows; ``df`` is the table of the first step."""
-    out = []
-    for i, agg in enumerate(aggs):
-        if agg.func == "COUNT_DISTINCT":
-            out.append(whole(agg))
-            continue
-        parts, combine = _parts(agg, _dtype(df, agg))
-        out.append(_finish(agg, combine([p.merged(f"_p{i}_{j}") for j, p in enumerate(parts)])))
-    return out
-
-
 def parts_of(df: DataFrame, agg: Aggregate) -> tuple[list[Part], Callable[[list[Column]], Column]]:
     """The parts of an aggregate over ``df``, and what makes its result of theirs."""
     parts, combine = _parts(agg, _dtype(df, agg))

@@ -22,10 +22,9 @@ from stratalake.operators.aggregates import (
     Part,
     can_multiply,
     is_name,
-    merged,
-    partials,
     parts_of,
     quoted,
+    text_column,
     whole,
 )
 from stratalake.plans.spec import GoldPlan, PlanError
@@ -53,7 +52,8 @@ def build_gold(
     as_of: str | None = None,
     strategy: str = "auto",
 ) -> DataFrame:
-    """The Gold table a plan describes. Everything is checked here, before any job starts (``spread`` starts one after that).
+    """The Gold table a plan describes. Everything is checked here, before any job starts (looking for crowded keys, which some
+    strategies need, starts one after that).
 
     ``strict=False`` leaves out aggregates and group-by columns that do not exist instead of
     raising. ``as_of`` (``YYYY-MM-DD``) stands in for ``current_date()`` in the plan's expressions.
@@ -64,6 +64,7 @@ def build_gold(
     * ``two_step``: aggregate the table the measures come from per join key, join those few
       rows, merge. A crowded key shrinks to one row per task before anything is shuffled.
       Needs every aggregate to read one table only.
+      Distinct values are carried as sets; which join keys crowd their table is asked by a job that runs here.
     * ``eager``: aggregate every table per join key and count its rows; a joined row then stands for the product of
       these counts. For plans whose aggregates read several tables: each is scanned once, only partial results are
       moved, and keys that come often on both sides make no product of rows. What an expression over two tables reads
@@ -92,10 +93,6 @@ def build_gold(
         return _finished(plan, grouped)
     measured = _measured_side(plan, sides)
     if strategy == "auto":
-        if measured == 0 and _grouping_stays_fine(plan, large):
-            # Combining first would save no rows, and the group-by shuffles anew after the join,
-            # so adaptive execution can split crowded fact keys.
-            return _finished(plan, grouped)
         strategy = "two_step" if measured is not None else "eager" if _multiplies(plan, sides) else "spread"
         combined = {i for i, s in enumerate(sides) if s in large or i == 0 and not J.is_broadcastable(s.df)}
     else:
@@ -107,7 +104,7 @@ def build_gold(
     elif strategy == "two_step":
         if measured is None:
             raise PlanError("two_step needs all aggregates to read one table")
-        grouped = _two_step(plan, sides, measured, grouped.schema)
+        grouped = _eager(plan, sides, {measured}, grouped.schema)
     else:
         spread = _spreading({s.key for s in large})
         grouped = _grouped(plan, [replace(sides[0], df=J.dealt(sides[0].df)), *sides[1:]], spread)
@@ -323,7 +320,7 @@ def _finished(plan: GoldPlan, df: DataFrame) -> DataFrame:
     return df
 
 
-# -- two steps ------------------------------------------------------------------
+# -- which table an expression reads ------------------------------------------------------------------
 
 
 def _reads_only(df: DataFrame, text: str, known: set[str]) -> bool:
@@ -362,51 +359,6 @@ def _measured_side(plan: GoldPlan, sides: list[Side]) -> int | None:
     return max(fits, key=lambda i: J.estimated_bytes(sides[i].df), default=None)
 
 
-def _grouping_stays_fine(plan: GoldPlan, large: list[Side]) -> bool:
-    """Counting distinct values keeps them in the first grouping, which then combines little."""
-    distinct = any(a.func == "COUNT_DISTINCT" for a in plan.aggregations)
-    return distinct and not _mentioned([s.key for s in large], *plan.group_by)
-
-
-def _two_step(plan: GoldPlan, sides: list[Side], m: int, schema: T.StructType) -> DataFrame:
-    side = sides[m]
-    known = _plan_columns(plan, sides)
-    df, own = _own_pre_columns(plan, side.df, known)
-
-    # Conditions on the fact alone may run before its rows are combined, as long as no full
-    # join adds rows they would have to test.
-    early = []
-    if m == 0 and all(s.type == "left" for s in sides[1:]):
-        early = [f for f in plan.filters if _reads_only(df, f, known)]
-        df = _filtered(df, early)
-    late = [f for f in plan.filters if f not in early]
-
-    # What later steps read of this table stays in the grouping.
-    texts = plan.group_by + late
-    for p in reversed(plan.pre_columns):
-        if p["column"] not in own and _mentioned([p["column"]], *texts):
-            texts.append(p["expression"])
-    texts += [a.col for a in plan.aggregations if a.func == "COUNT_DISTINCT"]
-    texts += [s.key for s in (sides[1:] if m == 0 else sides[m:])]
-    used = _mentioned(df.columns, *texts)
-    keep = [c for c in df.columns if c.lower() in used]
-    partial = df.groupBy(*map(quoted, keep)).agg(*partials(df, plan.aggregations))
-
-    joined = _fold([*sides[:m], replace(side, df=partial), *sides[m + 1 :]], J.left_join)
-
-    # Rows an outer join filled with NULLs take the value the expressions have on NULL inputs.
-    gone = [f for f in side.df.schema.fields if f.name not in joined.columns]
-    joined = joined.withColumns({f.name: F.lit(None).cast(f.dataType) for f in gone})
-    for p in plan.pre_columns:
-        name, value = p["column"], F.expr(p["expression"])
-        if name in own and name in keep:
-            value = F.when(F.col(ROWS).isNull(), value).otherwise(F.col(quoted(name)))
-        joined = joined.withColumn(name, value)
-    joined = _filtered(joined, late)
-    grouped = joined.groupBy(*map(quoted, plan.group_by)).agg(*merged(df, plan.aggregations))
-    return grouped.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
 # -- eager aggregation -----------------------------------------------------------
 
 
@@ -415,7 +367,11 @@ def _multiplies(plan: GoldPlan, sides: list[Side]) -> bool:
 
 
 def _eager(plan: GoldPlan, sides: list[Side], combined: set[int], schema: T.StructType) -> DataFrame:
-    """Join the ``combined`` tables as partial aggregates per join key, with the number of rows of each."""
+    """Join the ``combined`` tables as partial aggregates per join key, with the number of rows of each.
+
+    Distinct values travel as sets, one for each partial row. After the join they are taken apart again, the other parts staying with the first value, and
+    Spark counts them by group and value, so that a group of half the rows is spread over tasks by its values.
+    """
     known = _plan_columns(plan, sides)
     whole_row = _joined(plan, sides, J.left_join)  # analysed only
     dfs, own = [], {}  # own: pre-columns that one combined table gives, and its number
@@ -427,14 +383,17 @@ def _eager(plan: GoldPlan, sides: list[Side], combined: set[int], schema: T.Stru
         own |= dict.fromkeys(names, i)
         dfs.append(df)
 
-    def home(part: Part) -> int | None:
-        """The table whose partial aggregate holds the part. None: it is taken over joined rows."""
-        fits = (i for i in sorted(combined) if part.reads and _mentioned(known, part.reads) and _reads_only(dfs[i], part.reads, known))
+    def home(text: str) -> int | None:
+        """The table whose partial aggregate holds what the text reads. None: it is taken over joined rows."""
+        fits = (i for i in sorted(combined) if text and _mentioned(known, text) and _reads_only(dfs[i], text, known))
         return next(fits, None)
 
     parts = {a.alias: parts_of(whole_row, a) for a in plan.aggregations if a.func != "COUNT_DISTINCT"}
-    placed = {(alias, j): (part, home(part)) for alias, (ps, _) in parts.items() for j, part in enumerate(ps)}
-    names = {place: f"_p{n}" for n, place in enumerate(placed)}
+    placed = {(alias, j): (part, home(part.reads)) for alias, (ps, _) in parts.items() for j, part in enumerate(ps)}
+    number = {a.alias: n for n, a in enumerate(plan.aggregations)}
+    names = {(alias, j): f"_p{number[alias]}_{j}" for alias, j in placed}
+    distinct = {a.alias: a.col for a in plan.aggregations if a.func == "COUNT_DISTINCT"}
+    sets = {alias: (f"_set{number[alias]}", at) for alias, text in distinct.items() if (at := home(text)) is not None}
 
     early = []
     if 0 in combined and all(s.type == "left" for s in sides[1:]):
@@ -442,7 +401,7 @@ def _eager(plan: GoldPlan, sides: list[Side], combined: set[int], schema: T.Stru
         dfs[0] = _filtered(dfs[0], early)
     late = [f for f in plan.filters if f not in early]
 
-    texts = plan.group_by + late + [a.col for a in plan.aggregations if a.func == "COUNT_DISTINCT"]
+    texts = plan.group_by + late + [text for alias, text in distinct.items() if alias not in sets]
     texts += [part.reads for part, at in placed.values() if at is None] + [s.key for s in sides[1:]]
     for p in reversed(plan.pre_columns):
         if p["column"] not in own and _mentioned([p["column"]], *texts):
@@ -455,7 +414,11 @@ def _eager(plan: GoldPlan, sides: list[Side], combined: set[int], schema: T.Stru
         df = dfs[i].select(*map(quoted, kept[i]))
         if i in combined:
             here = [part.whole().alias(names[place]) for place, (part, at) in placed.items() if at == i]
-            df = dfs[i].groupBy(*map(quoted, kept[i])).agg(F.count(F.lit(1)).alias(rows[i]), *here)
+            values = {name: text_column(distinct[alias]) for alias, (name, at) in sets.items() if at == i}
+            here += [F.collect_set(v).alias(name) for name, v in values.items()]
+            keys = [side.key] if i else [s.key for s in sides[1:] if s.key in dfs[i].columns][:1]
+            df = _slotted(dfs[i], keys, list(values.values())) if values else dfs[i]
+            df = df.groupBy(*map(quoted, kept[i]), *([_SLOT] if values else [])).agg(F.count(F.lit(1)).alias(rows[i]), *here).drop(_SLOT)
         joining.append(replace(side, df=df))
     joined = _fold(joining, J.left_join)
 
@@ -469,6 +432,13 @@ def _eager(plan: GoldPlan, sides: list[Side], combined: set[int], schema: T.Stru
         joined = joined.withColumn(name, value)
     joined = _filtered(joined, late)
 
+    first = F.lit(True)
+    if sets:
+        filled = {name: F.when(F.col(rows[at]).isNull(), F.array(text_column(distinct[alias]))).otherwise(F.col(name)) for alias, (name, at) in sets.items()}
+        values = F.posexplode_outer(F.arrays_zip(*filled)).alias("_place", "_value")
+        joined = joined.withColumns(filled).select("*", values).drop(*filled)
+        first = F.coalesce(F.col("_place"), F.lit(0)) == 0
+
     def weight(at: int | None) -> Column | None:
         counts = [F.coalesce(F.col(c), F.lit(1)) for i, c in rows.items() if i != at]
         return reduce(Column.__mul__, counts) if counts else None
@@ -478,11 +448,35 @@ def _eager(plan: GoldPlan, sides: list[Side], combined: set[int], schema: T.Stru
         value = F.when(part.value.isNotNull(), 1).otherwise(0) if part.kind == "count" else part.value
         if at is not None:
             value = F.when(F.col(rows[at]).isNull(), value).otherwise(F.col(names[place]))
-        return part.multiplied(value, weight(at))
+        return part.multiplied(F.when(first, value) if sets else value, weight(at))
+
+    def distinct_values(a: Aggregate) -> Column:
+        if a.alias not in sets:
+            return whole(a)
+        count = F.count_distinct(F.col("_value")[sets[a.alias][0]])
+        return (F.round(count, a.round) if a.round is not None else count).alias(a.alias)
 
     results = [
-        whole(a) if a.func == "COUNT_DISTINCT" else parts[a.alias][1]([over_joined((a.alias, j)) for j in range(len(parts[a.alias][0]))])
+        distinct_values(a) if a.func == "COUNT_DISTINCT" else parts[a.alias][1]([over_joined((a.alias, j)) for j in range(len(parts[a.alias][0]))])
         for a in plan.aggregations
     ]
     grouped = joined.groupBy(*map(quoted, plan.group_by)).agg(*results)
     return grouped.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+_SLOT = "_slot"
+
+
+def _slotted(df: DataFrame, keys: list[str], values: list[Column]) -> DataFrame:
+    """With a slot that cuts the sets of crowded join keys, by their values, so that none has more than a part's rows (see ``crowded_keys``)."""
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slot = F.lit(0)
+    for key in keys:
+        found = J.crowded_keys(df, key)
+        place = F.xxhash64(*values)
+        if found:
+            types = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("_parts", T.IntegerType())])
+            df = df.join(F.broadcast(df.sparkSession.createDataFrame(found, types)), key, "left")
+            slot = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(place, F.col("_parts")))
+        slot = F.when(F.col(quoted(key)).isNull(), F.pmod(place, F.lit(tasks))).otherwise(slot)
+    return df.withColumn(_SLOT, slot.cast("int"))

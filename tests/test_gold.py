@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stratalake import PlanError, build_gold, to_silver
 from stratalake.operators import joins as J
+from stratalake.plans import gold
 from stratalake.plans.spec import GoldPlan, plans_of
 from stratalake.queries.gold import _LINES
 
@@ -295,6 +296,31 @@ def test_eager_makes_no_product_of_rows(spark):
     assert sorted(map(tuple, out.collect())) == [("a", 9_000_000, 3000 * sum(range(3000)), 2999, 9_000_000), ("b", 1, None, None, 0)]
 
 
+def test_distinct_values_of_a_crowded_group_are_cut(spark):
+    """Half of all rows share a join key, and so a group: its set travels in parts, none of them large, and the count is exact."""
+    n = 20_000
+    fact = spark.range(0, n, 1, 4).selectExpr("CASE WHEN id % 2 = 0 THEN 1 WHEN id % 10 = 1 THEN NULL ELSE id END AS k", "id % 7000 AS v", "id % 3 AS w")
+    dim = spark.range(0, n, 1, 2).selectExpr("id AS k", "id % 2 AS g")
+    plan = {
+        "source_tables": ["fact", "dim"],
+        "joins": [{"fact": "fact", "dim": "dim", "on": "k", "type": "left"}],
+        "group_by": ["g"],
+        "aggregations": [_agg("COUNT DISTINCT", "v", "dv"), _agg("COUNT DISTINCT", "w", "dw"), _agg("SUM", "v", "sv"), _agg("COUNT", "*", "n")],
+    }
+    source = {"fact": fact, "dim": dim}
+    want = sorted(map(tuple, build_gold(source, plan, strategy="plain").collect()), key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for strategy in ("two_step", "eager"):
+            assert sorted(map(tuple, build_gold(source, plan, strategy=strategy).collect()), key=str) == want
+        ((_, parts),) = J.crowded_keys(fact, "k")
+        assert parts >= 50
+        slots = gold._slotted(fact, ["k"], [F.col("v"), F.col("w")]).groupBy("k", "_slot").agg(F.size(F.collect_set("v")).alias("n"))
+        assert slots.agg(F.max("n")).first()[0] < n // 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_eager_refuses_what_it_cannot_multiply(spark, crowded):
     plan = {"source_tables": ["facts", "dims"], "joins": [{"dim": "dims", "on": "k", "type": "left"}], "group_by": ["g"]}
     with pytest.raises(PlanError, match="multiplied"):
