@@ -112,6 +112,8 @@ def canonical_columns(
 
 # Whole numbers in widening order; each step keeps every value.
 _WHOLE_ORDER = ["tinyint", "smallint", "int", "bigint"]
+# Digits that hold any value of a whole number.
+_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
 
 
 def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
@@ -121,6 +123,12 @@ def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
     x, y = a.simpleString(), b.simpleString()
     if x in _WHOLE_ORDER and y in _WHOLE_ORDER:
         return a if _WHOLE_ORDER.index(x) > _WHOLE_ORDER.index(y) else b
+    if "date" in (x, y) and {x, y} & {"timestamp", "timestamp_ntz"}:  # a day is its midnight
+        return b if x == "date" else a
+    for whole, decimal in ((x, b), (y, a)):
+        if whole in _DIGITS and isinstance(decimal, T.DecimalType):
+            digits = max(_DIGITS[whole], decimal.precision - decimal.scale)
+            return T.DecimalType(digits + decimal.scale, decimal.scale) if digits + decimal.scale <= 38 else None
     if {x, y} == {"float", "double"} or (y == "double" and x in _WHOLE_ORDER[:3]) or (x == "double" and y in _WHOLE_ORDER[:3]):
         return T.DoubleType()
     if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
@@ -132,3 +140,16 @@ def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
     if isinstance(b, T.NullType):
         return a
     return None
+
+
+def merge_schemas(a: T.StructType, b: T.StructType) -> T.StructType:
+    """The columns of ``a``, then those that only ``b`` has, each in the type that holds the values of both; raises if there is none."""
+    others = {f.name.lower(): f for f in b.fields}
+    fields = []
+    for f in a.fields:
+        other = others.pop(f.name.lower(), None)
+        both = wider_type(f.dataType, other.dataType) if other else f.dataType
+        if both is None:
+            raise ValueError(f"types differ: {f.name}: {other.dataType.simpleString()} -> {f.dataType.simpleString()}")
+        fields.append(T.StructField(f.name, both))
+    return T.StructType([*fields, *others.values()])

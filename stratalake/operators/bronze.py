@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from stratalake.functions.names import AUDIT_COLUMNS
 from stratalake.functions.schema import wider_type
-from stratalake.sources.lake import STREAM, Lake, Load, watermark_text, watermark_value
+from stratalake.sources.lake import STREAM, Lake, Load, again_if_late, watermark_text, watermark_value
 
 
 class SchemaConflict(ValueError):
@@ -116,12 +116,30 @@ def load_bronze(
 
     ``full`` replaces the table. ``incremental`` keeps the stored rows, reads only rows above
     the stored watermark when ``watermark_col`` is given, and lets the schema grow.
-    With ``lookback`` the rows read twice are told apart by ``key``.
+    With ``lookback`` the rows read twice are told apart by ``key``. A load that comes late, after another writer's, is put on top of
+    it, or made anew if it reads from a watermark on.
     """
     if mode not in ("full", "incremental"):
         raise ValueError(f"mode must be 'full' or 'incremental', not {mode!r}")
     if lookback is not None and not key:
         raise ValueError("lookback needs a key to tell re-read rows apart")
+    return again_if_late(
+        lambda: _load_once(lake, table, df, source_name, mode, source_type, watermark_col, lookback, key, partition_by)
+    )
+
+
+def _load_once(
+    lake: Lake,
+    table: str,
+    df: DataFrame,
+    source_name: str,
+    mode: str,
+    source_type: str,
+    watermark_col: str | None,
+    lookback: str | None,
+    key: Sequence[str] | str | None,
+    partition_by: Sequence[str],
+) -> Load:
     previous = lake.latest("bronze", table)
     schema = None
     if mode == "incremental" and previous is not None:

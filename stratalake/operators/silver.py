@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratalake.functions.names import silver_name, to_snake_case
 from stratalake.functions.schema import canonical_columns, infer_key
 from stratalake.operators.bronze import align
-from stratalake.sources.lake import Lake, Load
+from stratalake.sources.lake import Lake, Load, again_if_late
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
@@ -55,8 +55,14 @@ def build_silver(
 
     The default rewrites the whole table. ``incremental`` reads only the Bronze loads that
     came after the last Silver run (partition pruning on the load id) and adds them; a
-    replaced Bronze table is taken over in full again.
+    replaced Bronze table is taken over in full again. A run that comes late, after another one's, looks again what is new.
     """
+    return again_if_late(lambda: _build_once(lake, bronze_table, pk, widen, keep_boolean, nested, incremental, partition_by))
+
+
+def _build_once(
+    lake: Lake, bronze_table: str, pk: str | None, widen: bool, keep_boolean: bool, nested: str, incremental: bool, partition_by: Sequence[str]
+) -> Load:
     table = silver_name(bronze_table)
     source = lake.latest("bronze", bronze_table)
     done = lake.latest("silver", table)

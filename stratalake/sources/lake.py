@@ -1,30 +1,49 @@
 """Layer tables on shared storage, and the record of what was loaded into them.
 
-The tables of every layer are Parquet directories partitioned by ``_load_id``. A load
-writes only its own partition and is committed by one small row in the load log, so
- - a load that failed half way is overwritten by its rerun (no duplicates),
- - readers see committed loads only, and pick them by partition pruning,
- - the schema of a table is known from the log, without merging file footers.
+A table is a set of segments, folders of Parquet files that are never changed once written. Its state is a manifest, a small JSON file that names the
+segments, the schema, the latest load and statistics of every segment. A load writes a segment under a name of its own and is committed by
+creating the manifest of the next version if there is none yet, so
+ - a load that failed half way leaves a folder that nobody reads,
+ - of two writers at the same time one loses and is put on top of the other's state, or repeats,
+ - readers see committed loads only, and go on reading what they opened: replaced segments are deleted by age,
+ - schema, row counts and statistics of a table are known from one small file.
+Many small segments are merged into larger ones after a commit; every row keeps the number of its load.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
-from collections.abc import Sequence
-from dataclasses import dataclass
+import logging
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalake.functions.names import LOAD_ID, check_table_name
-from stratalake.sources.storage import child_dirs, children, delete_dir, path_exists
+from stratalake.functions.schema import merge_schemas
+from stratalake.sources.statistics import collected, merge_statistics, metrics
+from stratalake.sources.storage import child_dirs, children, create_new, delete_dir, dir_times, path_exists, read_text, size_of
+
+log = logging.getLogger(__name__)
 
 LAYERS = ("bronze", "silver", "gold")
 
 #: Source type of a table that a file stream fills.
 STREAM = "stream"
 
+SEGMENT = "_segment"
+
+#: So many of a table's latest segments are merged at the least, and none of so many bytes or more.
+MERGE_AT_LEAST = 8
+MERGE_BELOW_BYTES = 64 << 30
+#: Folders that no manifest names, of loads that failed or still run, are deleted after this time at the earliest.
+ORPHAN_AGE = dt.timedelta(days=1)
+
 _LOAD_SCHEMA = T.StructType(
     [
         T.StructField("load_id", T.LongType()),
@@ -44,9 +63,36 @@ _LOAD_SCHEMA = T.StructType(
 _LOG_SCHEMA = T.StructType(_LOAD_SCHEMA.fields + [T.StructField("last_ingested", T.TimestampType())])
 
 
+class ConcurrentLoad(RuntimeError):
+    """Another load of the table was committed meanwhile, and what this one read or skipped depends on it."""
+
+
+def again_if_late(load: Callable[[], Load], attempts: int = 5) -> Load:
+    """Run a load, anew while other writers commit first."""
+    for _ in range(attempts - 1):
+        try:
+            return load()
+        except ConcurrentLoad as e:
+            log.info("%s; again", e)
+    return load()
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A folder with the rows of the loads ``first`` to ``last``; ``types`` has those of columns that the table has widened since."""
+
+    name: str
+    first: int
+    last: int
+    rows: int
+    bytes: int
+    columns: dict = field(default_factory=dict)
+    types: dict = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Load:
-    """One committed load of a table. Loads ``first_load_id..load_id`` make up the table."""
+    """One committed load of a table, and the table as of then: its segments hold the loads ``first_load_id..load_id``."""
 
     load_id: int
     first_load_id: int
@@ -61,14 +107,34 @@ class Load:
     #: The load of the layer before that this one covers, and the number of a stream's batch.
     source_load_id: int | None = None
     batch: int | None = None
+    last_ingested: dt.datetime | None = field(default=None, compare=False)
+    version: int = field(default=0, compare=False)
+    segments: tuple[Segment, ...] = field(default=(), compare=False)
+    #: Segments that the table no longer has, and since when.
+    dropped: tuple[tuple[str, dt.datetime], ...] = field(default=(), compare=False)
+
+    @property
+    def table_rows(self) -> int:
+        return sum(s.rows for s in self.segments)
+
+    def statistics(self) -> dict[str, dict]:
+        """Column -> non-null values, least, greatest and a sketch of the distinct ones, over all segments."""
+        types = {f.name: f.dataType for f in self.schema.fields}
+        return merge_statistics([s.columns for s in self.segments], types)
 
 
 class Lake:
-    """Tables of all layers below one root folder."""
+    """Tables of all layers below one root folder.
+
+    Replaced segments stay for ``keep``, for readers that opened the table before. ``statistics`` are taken of every column while a load is
+    written; without, catalogs know row counts only.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keep: dt.timedelta = dt.timedelta(days=7), statistics: bool = True):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keep = keep
+        self.statistics = statistics
 
     # -- names ---------------------------------------------------------------
 
@@ -96,41 +162,32 @@ class Lake:
         schema = T.StructType(_LOG_SCHEMA.fields + [T.StructField("table_name", T.StringType())])
         if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
+        stored = T.StructType([*schema.fields, T.StructField("kind", T.StringType())])
+        return self.spark.read.schema(stored).json(path).where("kind = 'load'").select(*schema.names)
 
     def load_state(self, layer: str = "bronze") -> DataFrame:
-        """The latest load per table."""
-        log = self.load_log(layer)
-        fields = F.struct(*_LOG_SCHEMA.names)
-        latest = F.max_by(fields, F.struct("load_id", "last_ingested")).alias("l")
-        return log.groupBy("table_name").agg(latest).select("table_name", "l.*")
+        """The latest load per table; opens one small file for each."""
+        rows = []
+        for table, load in self.latest_loads(layer).items():
+            values = json.loads(_manifest(load, "load"))
+            rows.append((*(values[f.name] for f in _LOAD_SCHEMA.fields), load.last_ingested, table))
+        return self.spark.createDataFrame(rows, T.StructType(_LOG_SCHEMA.fields + [T.StructField("table_name", T.StringType())]))
 
     def latest(self, layer: str, table: str) -> Load | None:
-        """The latest committed load of a table; reads one small file however many loads there were."""
+        """The latest committed load of a table; opens one small file however many loads there were."""
         path = self._log_path(layer, table)
-        ids = [int(n.split("=")[1]) for n in child_dirs(self.spark, path) if n.startswith("load=")]
-        for load_id in sorted(ids, reverse=True):
-            log = self.spark.read.schema(_LOG_SCHEMA).parquet(f"{path}/load={load_id}")
-            row = log.orderBy(F.desc("last_ingested")).first()
-            if row is not None:  # else a commit that did not finish
-                return _load_of(row)
-        return None
+        versions = [n for n in children(self.spark, path) if n.endswith(".json") and n[0] != "."]
+        return _load_of(read_text(self.spark, f"{path}/{max(versions)}")) if versions else None
 
     def latest_loads(self, layer: str) -> dict[str, Load]:
-        """The same for all tables of a layer, in one job."""
-        return {row["table_name"]: _load_of(row) for row in self.load_state(layer).collect()}
-
-    def _commit(self, layer: str, table: str, load: Load) -> None:
-        values = {
-            **load.__dict__,
-            "schema": load.schema.json(),
-            "partition_by": json.dumps(load.partition_by),
-        }
-        row = self.spark.range(0, 1, 1, 1).select(
-            *[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in _LOAD_SCHEMA.fields],
-            F.current_timestamp().alias("last_ingested"),
-        )
-        row.write.mode("append").parquet(f"{self._log_path(layer, table)}/load={load.load_id}")
+        """The same for all tables of a layer that have one."""
+        names = [n.partition("=")[2] for n in child_dirs(self.spark, self._log_path(layer))]
+        with ThreadPoolExecutor(16) as pool:
+            return {n: load for n, load in zip(names, pool.map(lambda n: self.latest(layer, n), names), strict=True) if load}
+
+    def _commit(self, layer: str, table: str, load: Load, kind: str = "load") -> bool:
+        """Make the load's manifest the table's state; False if its version is there already."""
+        return create_new(self.spark, f"{self._log_path(layer, table)}/{load.version:012d}.json", _manifest(load, kind))
 
     # -- read ----------------------------------------------------------------
 
@@ -143,17 +200,33 @@ class Lake:
         load: Load | None = None,
     ) -> DataFrame:
         """A layer table as of its latest committed load (or the given one); with ``after_load``
-        only rows of later loads."""
+        only rows of later loads, for which no other segment is opened."""
         path = self.path(layer, table)
         load = load or self.latest(layer, table)
         if load is None:  # files put there by hand
             merge = "true" if layer == "bronze" else "false"
             return self.spark.read.option("mergeSchema", merge).parquet(path)
-        schema = T.StructType(load.schema.fields + [T.StructField(LOAD_ID, T.LongType())])
-        df = self.spark.read.schema(schema).parquet(path)
-        oldest = load.first_load_id if after_load is None else max(load.first_load_id, after_load + 1)
-        df = df.where(F.col(LOAD_ID).between(oldest, load.load_id))
-        return df if with_load_id else df.drop(LOAD_ID)
+        wanted = [s for s in load.segments if after_load is None or s.last > after_load]
+        schema = T.StructType([*load.schema.fields, T.StructField(LOAD_ID, T.LongType()), T.StructField(SEGMENT, T.StringType())])
+        alike: dict[str, list[Segment]] = {}
+        for s in wanted:
+            alike.setdefault(json.dumps(s.types, sort_keys=True), []).append(s)
+        df = None
+        for segments in alike.values():
+            written = T.StructType([T.StructField(f.name, T._parse_datatype_string(segments[0].types[f.name])) if f.name in segments[0].types else f for f in schema.fields])
+            part = self.spark.read.schema(written).option("basePath", path).parquet(*[f"{path}/{SEGMENT}={s.name}" for s in segments])
+            part = part.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]) if written != schema else part
+            df = part if df is None else df.unionByName(part)
+        if df is None:
+            df = self.spark.createDataFrame([], schema)
+        if after_load is not None and any(s.first <= after_load for s in wanted):
+            # Only merged segments, which store the number, have older rows.
+            df = df.where(F.col(LOAD_ID).isNull() | (F.col(LOAD_ID) > after_load))
+        if with_load_id:
+            own = [F.lit(x) for s in wanted if s.first == s.last for x in (s.name, s.last)]
+            known = F.element_at(F.create_map(*own), F.col(SEGMENT)) if own else F.lit(None)
+            return df.withColumn(LOAD_ID, F.coalesce(F.col(LOAD_ID), known.cast("long"))).drop(SEGMENT)
+        return df.drop(LOAD_ID, SEGMENT)
 
     def read_all(self, layer: str) -> dict[str, DataFrame]:
         """Every table of a layer."""
@@ -180,13 +253,14 @@ class Lake:
     ) -> Load:
         """Store one load and commit it.
 
-        Row count and highest watermark are observed while the rows are written: the
+        Row count, highest watermark and statistics are observed while the rows are written: the
         source is read once. ``observe`` sits right under the write, in the last stage,
-        where a retried task is counted once. ``mode='full'`` replaces the table. Every load has a
-        folder of its own, so readers of the committed ones see nothing of it before its commit.
+        where a retried task is counted once. ``mode='full'`` replaces the table.
+
+        When another writer commits first, a load without a watermark, batch or source load is put on top of that state; one that
+        has them must be made anew and raises ``ConcurrentLoad``.
         """
         previous = previous or self.latest(layer, table)
-        load_id = previous.load_id + 1 if previous else 1
         keep = mode == "incremental" and previous is not None
         path = self.path(layer, table)
         if previous is None:
@@ -196,28 +270,19 @@ class Lake:
                 raise ValueError(f"{table} is partitioned by {list(previous.partition_by)}")
             partition_by = previous.partition_by
 
-        seen = Observation(f"{layer}.{table}.{load_id}")
-        metrics = [F.count(F.lit(1)).alias("rows")]
-        if watermark_col:
-            metrics.append(watermark_text(df, watermark_col).alias("high"))
-        if partition_by:
-            # Cuts a crowded partition value over several tasks and merges small ones.
-            df = df.hint("rebalance", *partition_by)
-        writer = df.observe(seen, *metrics).write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{path}/{LOAD_ID}={load_id}")
-        high = seen.get.get("high")
+        high = [watermark_text(df, watermark_col).alias("high")] if watermark_col else []
+        written, seen = self._write_segment(path, df, partition_by, high)
+        high = seen.get("high")
         if keep and watermark_col and high is None:
             high = previous.last_watermark_value  # an empty increment never moves it back
 
         load = Load(
-            load_id=load_id,
-            first_load_id=previous.first_load_id if keep else load_id,
+            load_id=0,
+            first_load_id=0,
             source_type=source_type,
             source_name=source_name,
             mode=mode,
-            rows=seen.get["rows"],
+            rows=written.rows,
             watermark_col=watermark_col,
             last_watermark_value=high,
             schema=schema or df.schema,
@@ -225,25 +290,124 @@ class Lake:
             source_load_id=source_load_id,
             batch=batch,
         )
-        self._commit(layer, table, load)
-        if not keep:
-            self._drop_loads_before(path, load.first_load_id)
+        state = previous
+        while True:
+            load = self._on_top(load, written, state, mode)
+            load, expired = self._without_expired(load)
+            if self._commit(layer, table, load):
+                break
+            state = self.latest(layer, table)
+            if mode == "incremental" and (watermark_col or batch is not None or source_load_id is not None):
+                raise ConcurrentLoad(f"{layer} table {table} has a new load {state.load_id}")
+        self._delete(path, load, expired)
+        if mode == "incremental":
+            self.compact(layer, table, load)
         return load
 
+    def _write_segment(self, path: str, df: DataFrame, partition_by: Sequence[str], more: Sequence = ()) -> tuple[Segment, dict]:
+        name = f"s{uuid.uuid4().hex}"
+        seen = Observation(name)
+        taken = metrics(df.schema) if self.statistics else []
+        if partition_by:
+            # Cuts a crowded partition value over several tasks and merges small ones.
+            df = df.hint("rebalance", *partition_by)
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), *more, *taken).write
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(f"{path}/{SEGMENT}={name}")
+        found = seen.get
+        size = size_of(self.spark, f"{path}/{SEGMENT}={name}")
+        return Segment(name, 0, 0, found["rows"], size, collected(df.schema, found) if self.statistics else {}), found
+
+    def _on_top(self, load: Load, written: Segment, state: Load | None, mode: str) -> Load:
+        """The load as the one after ``state``."""
+        load_id = state.load_id + 1 if state else 1
+        written = replace(written, first=load_id, last=load_id)
+        if state is None or mode != "incremental":
+            gone = [(s.name, _now()) for s in state.segments] if state else []
+            kept, first, schema = (), load_id, load.schema
+            dropped = (*(state.dropped if state else ()), *gone)
+        else:
+            if load.partition_by != state.partition_by:
+                raise ValueError(f"the table is partitioned by {list(state.partition_by)}")
+            schema = merge_schemas(load.schema, state.schema)
+            kept, first, dropped = _as_written(state, schema), state.first_load_id, state.dropped
+            written = replace(written, types=_changed(load.schema, schema))
+        return replace(
+            load,
+            load_id=load_id,
+            first_load_id=first,
+            schema=schema,
+            last_ingested=_now(),
+            version=state.version + 1 if state else 1,
+            segments=(*kept, written),
+            dropped=dropped,
+        )
+
+    # -- segments ------------------------------------------------------------
+
+    def compact(self, layer: str, table: str, load: Load | None = None, at_least: int = MERGE_AT_LEAST) -> Load | None:
+        """Merge a table's latest small segments into one, if there are enough of them; gives the new state.
+
+        Going back from the latest segment, each one is taken in that is at most twice as large as all later ones together: n loads of one size leave
+        at most about ``at_least`` + log2(n) segments, and a row is rewritten that often at most. The rows keep the numbers of their loads. A commit in between
+        wins over the merge.
+        """
+        load = load or self.latest(layer, table)
+        if load is None:
+            return None
+        taken, size = 0, 0
+        for n, segment in enumerate(reversed(load.segments), 1):
+            if segment.bytes >= MERGE_BELOW_BYTES:
+                break
+            if n == 1 or segment.bytes <= 2 * size:
+                taken = n
+            size += segment.bytes
+        if taken < max(2, at_least):
+            return None
+        old = load.segments[-taken:]
+        path = self.path(layer, table)
+        try:
+            rows = self.read(layer, table, with_load_id=True, load=replace(load, segments=old))
+            writer = rows.hint("rebalance", *load.partition_by).write.partitionBy(*load.partition_by) if load.partition_by else rows.write
+            name = f"s{uuid.uuid4().hex}"
+            writer.parquet(f"{path}/{SEGMENT}={name}")
+        except Exception:  # the load itself is committed; the next one tries again
+            log.exception("%s %s could not be compacted", layer, table)
+            return None
+        columns = merge_statistics([s.columns for s in old], {f.name: f.dataType for f in load.schema.fields})
+        merged = Segment(name, old[0].first, old[-1].last, sum(s.rows for s in old), size_of(self.spark, f"{path}/{SEGMENT}={name}"), columns)
+        gone = tuple((s.name, _now()) for s in old)
+        state = replace(load, version=load.version + 1, segments=(*load.segments[:-taken], merged), dropped=(*load.dropped, *gone))
+        state, expired = self._without_expired(state)
+        if not self._commit(layer, table, state, "compaction"):
+            delete_dir(self.spark, f"{path}/{SEGMENT}={name}")
+            return None
+        self._delete(path, state, expired)
+        return state
+
+    def _without_expired(self, load: Load) -> tuple[Load, list[str]]:
+        """The load without the dropped segments that were kept long enough, and their names."""
+        limit = _now() - self.keep
+        expired = [name for name, since in load.dropped if since <= limit]
+        return replace(load, dropped=tuple(d for d in load.dropped if d[1] > limit)), expired
+
+    def _delete(self, path: str, load: Load, expired: list[str]) -> None:
+        """Delete expired segments, and old folders that no manifest names."""
+        named = {s.name for s in load.segments} | {name for name, _ in load.dropped}
+        limit = (_now() - max(self.keep, ORPHAN_AGE)).timestamp()
+        old = [n.partition("=")[2] for n, t in dir_times(self.spark, path).items() if n.startswith(SEGMENT + "=") and t < limit]
+        for name in {*expired, *old} - named:
+            delete_dir(self.spark, f"{path}/{SEGMENT}={name}")
+
     def _clear_unlogged(self, path: str, mode: str) -> None:
         """Files from before the load log: a full load replaces them, others must not mix in."""
-        if all(n.startswith((LOAD_ID + "=", "_SUCCESS", ".")) for n in children(self.spark, path)):
+        if all(n.startswith((SEGMENT + "=", "_SUCCESS", ".")) for n in children(self.spark, path)):
             return
         if mode != "full":
             raise ValueError(f"{path} holds files without a load log; load it in full mode first")
         delete_dir(self.spark, path)
 
-    def _drop_loads_before(self, path: str, first: int) -> None:
-        for name in child_dirs(self.spark, path):
-            key, _, value = name.partition("=")
-            if key == LOAD_ID and value.isdigit() and int(value) < first:
-                delete_dir(self.spark, f"{path}/{name}")
-
     def overwrite(
         self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()
     ) -> int:
@@ -255,11 +419,48 @@ class Lake:
         return self.write_load(layer, table, df, "full", partition_by=partition_by).rows
 
 
-def _load_of(row: Row) -> Load:
-    values = {f: row[f] for f in _LOAD_SCHEMA.names}
-    values["schema"] = T.StructType.fromJson(json.loads(row["schema"]))
-    values["partition_by"] = tuple(json.loads(row["partition_by"]))
-    return Load(**values)
+def _changed(before: T.StructType, after: T.StructType) -> dict[str, str]:
+    """The former types, by the column's name now, where they differ."""
+    old = {f.name.lower(): f.dataType for f in before.fields}
+    return {f.name: old[f.name.lower()].simpleString() for f in after.fields if old.get(f.name.lower(), f.dataType) != f.dataType}
+
+
+def _as_written(state: Load, schema: T.StructType) -> tuple[Segment, ...]:
+    """The segments of a table that takes ``schema``, with the types that they were written with."""
+    changed = _changed(state.schema, schema)
+    return tuple(replace(s, types={**changed, **s.types}) for s in state.segments) if changed else state.segments
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.UTC)
+
+
+def _manifest(load: Load, kind: str) -> str:
+    values = {
+        **{f.name: getattr(load, f.name) for f in _LOAD_SCHEMA.fields},
+        "schema": load.schema.json(),
+        "partition_by": json.dumps(load.partition_by),
+        "last_ingested": load.last_ingested.isoformat() if load.last_ingested else None,
+        "version": load.version,
+        "segments": [asdict(s) for s in load.segments],
+        "dropped": [(name, since.isoformat()) for name, since in load.dropped],
+        "kind": kind,
+    }
+    return json.dumps(values)
+
+
+def _load_of(text: str) -> Load:
+    stored = json.loads(text)
+    values = {f: stored[f] for f in _LOAD_SCHEMA.names}
+    values["schema"] = T.StructType.fromJson(json.loads(values["schema"]))
+    values["partition_by"] = tuple(json.loads(values["partition_by"]))
+    return Load(
+        **values,
+        last_ingested=dt.datetime.fromisoformat(stored["last_ingested"]),
+        version=stored["version"],
+        segments=tuple(Segment(**s) for s in stored["segments"]),
+        dropped=tuple((name, dt.datetime.fromisoformat(since)) for name, since in stored["dropped"]),
+    )
 
 
 def watermark_text(df: DataFrame, column: str):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -46,6 +48,74 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, read by the driver."""
+    fs, hadoop_path = _fs(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file there with its whole text, or give False because there is one already.
+
+    Of two writers one succeeds: a hard link (local) or a rename (HDFS) of a finished file does not replace another, and an object store
+    is asked to create only.
+    """
+    fs, target = _fs(spark, path)
+    fs.mkdirs(target.getParent())
+    data = bytearray(text.encode())
+    if fs.getScheme() == "file":
+        name = target.toUri().getPath()
+        draft = f"{os.path.dirname(name)}/.{uuid.uuid4().hex}"
+        with open(draft, "wb") as out:
+            out.write(data)
+        try:
+            os.link(draft, name)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    if fs.getScheme() in ("hdfs", "viewfs"):
+        draft = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+        _write(fs.create(draft, False), data)
+        done = not fs.exists(target) and fs.rename(draft, target)
+        if not done:
+            fs.delete(draft, False)
+        return done
+    try:
+        _write(fs.create(target, False), data)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception) or fs.exists(target):
+            return False
+        raise
+    return True
+
+
+def _write(stream, data: bytearray) -> None:
+    try:
+        stream.write(data)
+    finally:
+        stream.close()
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    fs, hadoop_path = _fs(spark, path)
+    return fs.getContentSummary(hadoop_path).getLength()
+
+
+def dir_times(spark: SparkSession, path: str) -> dict[str, float]:
+    """Names of the directories right below ``path`` and when each was changed, in seconds."""
+    fs, hadoop_path = _fs(spark, path)
+    if not fs.exists(hadoop_path):
+        return {}
+    return {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(hadoop_path) if s.isDirectory()}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory every executor can reach.
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from stratalake.functions.names import check_table_name
 from stratalake.operators.bronze import align, fit, with_audit
 from stratalake.sources.files import FORMATS, read_source
-from stratalake.sources.lake import STREAM, Lake
+from stratalake.sources.lake import STREAM, Lake, Load, again_if_late
 from stratalake.sources.storage import is_dir
 
 
@@ -92,9 +92,13 @@ def ingest_new_files(
 
     def store(batch: DataFrame, number: int) -> None:
         files = [row.path for row in batch.collect()]  # names, of at most max_files_per_trigger files
+        if files and (load := again_if_late(lambda: store_files(files, number))):
+            added.append(load.rows)
+
+    def store_files(files: list[str], number: int) -> Load | None:
         previous = lake.latest("bronze", table)
-        if not files or (previous is not None and previous.batch is not None and previous.batch >= number):
-            return
+        if previous is not None and previous.batch is not None and previous.batch >= number:
+            return None
         stored = previous.schema if previous else None
         # Stored strings take any text; other stored types must not turn what they cannot hold into NULL.
         strings = [f for f in stored.fields if isinstance(f.dataType, T.StringType)] if stored else []
@@ -106,15 +110,14 @@ def ingest_new_files(
             parts.append(part)
             merged = merged or part.schema
         if not parts:
-            return
+            return None
         parts = [align(part, merged)[0] for part in parts]
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part)
-        load = lake.write_load(
+        return lake.write_load(
             "bronze", table, whole, "incremental", schema=merged, source_type=STREAM, source_name=path, previous=previous, batch=number
         )
-        added.append(load.rows)
 
     query = (
         new_files(spark, path, max_files_per_trigger)

@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from stratalake.sources.lake import Lake
+
 from stratalake import load_bronze
 from stratalake.operators.bronze import SchemaConflict, data_columns, newer_than
 from stratalake.operators.catalog import load_overview
@@ -47,11 +49,12 @@ def test_watermark_is_found_when_earlier_loads_kept_none(spark, lake):
     assert len(_keys(lake)) == len(set(_keys(lake)))
 
 
-def test_full_replaces_and_is_idempotent(spark, lake):
+def test_full_replaces_and_is_idempotent(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path), keep=dt.timedelta(0))
     for n in (10, 4, 4):
         _load(lake, spark.range(n).toDF("k"), "full")
     assert _keys(lake) == [0, 1, 2, 3]
-    # nothing of the earlier loads is left for readers of the bare files either
+    # where nothing is kept, nothing of the earlier loads is left for readers of the bare files either
     assert spark.read.parquet(lake.path("bronze", "t_bronze")).count() == 4
 
 
