@@ -14,6 +14,7 @@ from stratalake.operators.catalog import (
     preview,
     row_counts,
     run_sql,
+    table_statistics,
 )
 from stratalake.operators.quality import key_audit, key_coverage, orphans
 from stratalake.operators.silver import build_silver
@@ -141,6 +142,33 @@ def catalog_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.select("layer", "table_name", F.col("rows").alias("n"))
 
 
+_STATISTICS = {"orders": ("o_orderkey", "o_orderstatus", "o_orderdate"), "customer": ("c_custkey", "c_name")}
+
+
+@R.query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n, count({c}) AS non_null, "
+        f"CAST(min({c}) AS VARCHAR) AS low, CAST(max({c}) AS VARCHAR) AS high, true AS distinct_is_near FROM {t}"
+        for t, columns in _STATISTICS.items()
+        for c in columns
+    )
+)
+def catalog_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifests tell of columns after two loads each; the estimate of distinct values beside their number."""
+    lake = new_lake(spark, "statistics")
+    exact = None
+    for t, columns in _STATISTICS.items():
+        rows = table(spark, sf_dir, t).select(*columns)
+        for half in (0, 1):
+            lake.write_load("bronze", t, rows.where(F.col(columns[0]) % 2 == half), "incremental")
+        counts = rows.agg(*[F.count_distinct(c).alias(c) for c in columns])
+        counts = counts.unpivot([], list(columns), "column_name", "n_distinct").withColumn("table_name", F.lit(t))
+        exact = counts if exact is None else exact.unionByName(counts)
+    near = F.abs(F.col("distinct_estimate") - F.col("n_distinct")) <= 0.15 * F.col("n_distinct") + 1
+    told = table_statistics(lake, ("bronze",)).join(exact, ["table_name", "column_name"])
+    return told.select("table_name", "column_name", F.col("rows").alias("n"), "non_null", F.col("min").alias("low"), F.col("max").alias("high"), near.alias("distinct_is_near"))
+
+
 @R.query(
     " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, CAST(1 AS BIGINT) AS files, true AS has_size, true AS is_dated, "

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.functions.names import BAD_RECORD
+from stratalake.functions.names import BAD_RECORD, LOAD_ID
 from stratalake.operators.bronze import data_columns, load_bronze, newer_than, with_audit
 from stratalake.operators.catalog import load_overview, row_counts
 from stratalake.operators.quality import split_bad_records
 from stratalake.operators.silver import build_silver
 from stratalake.queries.base import Registry, new_lake, table
 from stratalake.runs import SourceSpec, run_layers
-from stratalake.sources.files import files_exist, read_source
+from stratalake.sources.files import files_exist, format_of, read_source
+from stratalake.sources.lake import Lake
 from stratalake.sources.storage import path_exists, scratch_dir
 from stratalake.streaming.files import ingest_new_files
 
@@ -79,6 +83,16 @@ def bronze_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_source(spark, path)
 
 
+@R.query("SELECT s_acctbal, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_suppkey FROM supplier")
+def bronze_json_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as compressed JSON lines, whose format is told by the suffix below that of the codec."""
+    path = scratch_dir(spark, "json-gz") + "/supplier.json"
+    table(spark, sf_dir, "supplier").write.json(path, compression="gzip")
+    lake = new_lake(spark, "bronze-gz")
+    ingest_new_files(lake, path, "supplier_bronze", fmt=format_of("supplier.json.gz"))
+    return data_columns(lake.read("bronze", "supplier_bronze"))
+
+
 @R.query("""
     SELECT 'good' AS kind, c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment
     UNION ALL
@@ -147,6 +161,51 @@ def bronze_append_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data_columns(lake.read("bronze", "orders_bronze"))
 
 
+@R.query(f"""
+    SELECT o_orderkey, CASE WHEN o_orderdate < '{_SPLIT}' THEN floor(o_totalprice) ELSE o_totalprice END AS price,
+           CASE WHEN o_orderdate < '{_SPLIT}' THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) ELSE o_orderdate END AS seen_at,
+           CAST(CASE WHEN o_orderdate < '{_SPLIT}' THEN o_custkey ELSE o_custkey + 0.25 END AS DOUBLE) AS owner, 'decimal(21,2)' AS owner_type
+    FROM orders
+""")
+def bronze_widen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types grow between two loads: int to double, date to timestamp, bigint to decimal."""
+    lake = new_lake(spark, "widen")
+    orders = table(spark, sf_dir, "orders")
+    late = F.col("o_orderdate") >= F.lit(_SPLIT).cast("timestamp_ntz")
+    first = orders.where(~late).selectExpr("o_orderkey", "cast(floor(o_totalprice) as int) price", "cast(o_orderdate as date) seen_at", "o_custkey owner")
+    second = orders.where(late).selectExpr("o_orderkey", "o_totalprice price", "o_orderdate seen_at", "cast(o_custkey + 0.25 as decimal(12, 2)) owner")
+    for part in (first, second):
+        load_bronze(lake, "orders_bronze", part, "orders", "incremental")
+    grown = data_columns(lake.read("bronze", "orders_bronze"))
+    return grown.withColumns({"owner": F.col("owner").cast("double"), "owner_type": F.typeof("owner")})
+
+
+@R.query("SELECT event_id, ts, user_id, event_type, value, props, CAST(1 + event_id % 12 AS BIGINT) AS load_id FROM events")
+def bronze_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in twelve small loads, merged on the way; every row keeps the number of its load."""
+    lake = new_lake(spark, "compaction")
+    events = table(spark, sf_dir, "events")
+    for i in range(12):
+        load_bronze(lake, "events_bronze", events.where(F.col("event_id") % 12 == i), "events", "incremental")
+    if len(lake.latest("bronze", "events_bronze").segments) >= 12:
+        raise RuntimeError("the loads were not merged")
+    return data_columns(lake.read("bronze", "events_bronze", with_load_id=True)).withColumnRenamed(LOAD_ID, "load_id")
+
+
+@R.query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def bronze_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs load halves of the orders into one table at the same time; both stay."""
+    root = scratch_dir(spark, "writers")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+
+    def run(half: int) -> None:
+        load_bronze(Lake(spark, root), "orders_bronze", orders.where(F.col("o_orderkey") % 2 == half), f"half {half}", "incremental")
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run), (0, 1)))
+    return data_columns(Lake(spark, root).read("bronze", "orders_bronze"))
+
+
 @R.query("""
     SELECT load_id, mode, n, CAST(high AS VARCHAR) AS high FROM (
         SELECT CAST(1 AS BIGINT) AS load_id, 'incremental' AS mode, count(*) AS n, max(event_id) AS high

@@ -33,7 +33,7 @@ class SourceSpec:
 
     An incremental load takes the rows above the stored ``watermark_col``. Without one, a file
     source takes the files it has not seen before; a JDBC source is appended whole.
-    ``options`` are reader options of ``read_source`` (of a file stream: ``comment``).
+    ``options`` are reader options of ``read_source``, of a JDBC table ``bounds``, ``predicates`` and ``fetch_size`` of ``read_jdbc``.
     """
 
     source: str | JdbcTable
@@ -74,6 +74,7 @@ class SourceSpec:
             partition_column=self.partition_column,
             num_partitions=self.num_partitions,
             lower=self._stored_watermark(lake),
+            **(self.options or {}),
         )
 
     def _stored_watermark(self, lake: Lake) -> str | None:
@@ -167,10 +168,10 @@ def _bronze(lake: Lake, spec: SourceSpec) -> int:
         fmt, options = (spec.fmt or format_of(spec.source)).lower(), dict(spec.options or {})
         if fmt not in FORMATS:  # as ``read_source`` does
             log.warning("format %r is not known, reading %s as CSV", fmt, spec.source)
-            fmt, options = "csv", {"comment": None}
+            fmt, options = "csv", {**options, "comment": None}
         if not path_exists(lake.spark, spec.source):
             raise MissingSource(f"no such source: {spec.source}")
-        return ingest_new_files(lake, spec.source, spec.bronze_table, spec.schema, fmt, comment=options.get("comment", "/"))
+        return ingest_new_files(lake, spec.source, spec.bronze_table, spec.schema, fmt, **options)
     return load_bronze(
         lake,
         spec.bronze_table,

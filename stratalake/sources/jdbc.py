@@ -6,6 +6,7 @@ import getpass
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,8 @@ def read_jdbc(
     lo = hi = None
     if partition_column is not None:
         lo, hi = bounds if bounds is not None else column_bounds(spark, source, partition_column)
+    if lower is not None and hi is not None and _above(lower, hi):
+        lo = None  # nothing is new: Spark refuses such bounds, and a filter from there on finds nothing
     if lo is None or hi is None:  # no split asked for, an empty table, or only NULLs
         return _scan(spark, source, source.table, fetchsize=fetch_size)
     return _scan(
@@ -106,6 +109,14 @@ def read_jdbc(
     )
 
 
+def _above(a, b) -> bool:
+    """Is a bound greater than another? Numbers by value, dates and times by their text."""
+    try:
+        return Decimal(str(a)) > Decimal(str(b))
+    except InvalidOperation:
+        return str(a) > str(b)
+
+
 def tables_exist(spark: SparkSession, source: JdbcTable, wanted: Sequence[str]) -> DataFrame:
     """(source, exists) per wanted ``schema.table`` (schema defaults to ``public``)."""
     names = [n.strip().split(".", 1) if "." in n else ["public", n.strip()] for n in wanted]

@@ -10,7 +10,7 @@ import base64
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,8 @@ def metrics(schema: T.StructType) -> list[Column]:
             value = F.unix_micros(column)  # the same in any session time zone
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             value = F.when(~F.isnan(column), column)
-        hashed = column if isinstance(f.dataType, (T.IntegerType, T.LongType, T.StringType)) else value.cast("string")
+        whole = column if isinstance(f.dataType, T.StringType) else value
+        hashed = F.when(whole.isNotNull(), F.xxhash64(whole))  # the sketch would pass over empty strings
         out += [
             F.count(column).alias(f"n{i}"),
             F.min(value).cast("string").alias(f"lo{i}"),
@@ -64,7 +65,7 @@ def _comparable(text: str, dtype: T.DataType):
 
 
 def merge_statistics(parts: list[dict[str, dict]], types: dict[str, T.DataType]) -> dict[str, dict]:
-    """Of several segments together. Sketches are put side by side; ``distinct_estimates`` unites them."""
+    """Of several segments together. Sketches are put side by side; a catalog unites them."""
     out: dict[str, dict] = {}
     for name, dtype in types.items():
         if not _has_statistics(dtype):
@@ -84,16 +85,6 @@ def merge_statistics(parts: list[dict[str, dict]], types: dict[str, T.DataType])
     return out
 
 
-def united(spark: SparkSession, columns: dict[str, dict]) -> dict[str, dict]:
-    """The same with one sketch for each column."""
-    rows = [(c, base64.b64decode(s)) for c, v in columns.items() if v["sketch"] and " " in v["sketch"] for s in v["sketch"].split()]
-    if not rows:
-        return columns
-    sketches = spark.createDataFrame(rows, "c string, h binary").groupBy("c").agg(F.hll_union_agg("h").alias("h")).collect()
-    one = {r.c: base64.b64encode(r.h).decode() for r in sketches}
-    return {c: {**v, "sketch": one.get(c, v["sketch"])} for c, v in columns.items()}
-
-
 def bound(text: str | None, dtype: T.DataType) -> str | None:
     """A least or greatest value for people: timestamps as such, in UTC."""
     if text is not None and isinstance(dtype, T.TimestampType):

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -58,6 +59,21 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def first_lines(spark: SparkSession, path: str) -> Iterator[str]:
+    """The lines of a text file one by one, undoing a compression that its suffix names; reads no further than asked."""
+    fs, hadoop_path = _fs(spark, path)
+    jvm = spark._jvm
+    stream = fs.open(hadoop_path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(hadoop_path)
+        plain = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8"))
+        while (line := reader.readLine()) is not None:
+            yield line
+    finally:
+        stream.close()
+
+
 def create_new(spark: SparkSession, path: str, text: str) -> bool:
     """Put a small file there with its whole text, or give False because there is one already.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from stratalake.functions.names import check_table_name
 from stratalake.operators.bronze import align, fit, with_audit
 from stratalake.sources.files import FORMATS, read_source
 from stratalake.sources.lake import STREAM, Lake, Load, again_if_late
-from stratalake.sources.storage import is_dir
+from stratalake.sources.storage import first_lines, is_dir
 
 
 def new_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -35,30 +35,37 @@ def _literal(path: str) -> str:
 
 
 def by_header(spark: SparkSession, paths: Sequence[str], comment: str | None) -> list[list[str]]:
-    """CSV files grouped by their header line, the first that is neither blank nor a comment."""
-    lines = spark.read.text([_literal(p) for p in paths]).where(F.trim("value") != "")
-    if comment:
-        lines = lines.where(~F.col("value").startswith(comment))
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    first = lines.select("value", place.alias("place"), F.col("_metadata.file_path").alias("file"))
-    headers = first.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
-    return [[unquote(f) for f in row.files] for row in groups.collect()]
+    """CSV files grouped by their header line, the first that is neither blank nor a comment.
+
+    Of each file only the first block is read, whatever its size.
+    """
+
+    def header(path: str) -> str:
+        return next((line for line in first_lines(spark, path) if line.strip(" ") and not (comment and line.startswith(comment))), "")
+
+    with ThreadPoolExecutor(32) as pool:
+        headers = list(pool.map(header, paths))
+    groups: dict[str, list[str]] = {}
+    for path, text in sorted(zip(paths, headers, strict=True)):
+        if text:
+            groups.setdefault(text, []).append(path)
+    return [groups[text] for text in sorted(groups)]
 
 
 def _read_files(
-    spark: SparkSession, paths: Sequence[str], fmt: str, known: T.StructType, base: str | None, comment: str | None
+    spark: SparkSession, paths: Sequence[str], fmt: str, known: T.StructType, base: str | None, options: dict
 ) -> Iterator[DataFrame]:
     """The files as one table per header (CSV) or one in all; known columns get their known types. With audit columns."""
-    for group in by_header(spark, paths, comment) if fmt in ("csv", "tsv") else [list(paths)]:
+    options = {**options, "merge_schema": True, "base": base}
+    for group in by_header(spark, paths, options.get("comment")) if fmt in ("csv", "tsv") else [list(paths)]:
         files = [_literal(p) for p in group]
         types = {f.name.lower(): f.dataType for f in known.fields}
-        found = read_source(spark, files, fmt, comment=comment, merge_schema=True, base=base, infer=False).schema
+        found = read_source(spark, files, fmt, infer=False, **options).schema
         if any(f.name.lower() not in types for f in found.fields) and fmt in ("csv", "tsv"):
-            found = read_source(spark, files, fmt, comment=comment, base=base).schema
+            found = read_source(spark, files, fmt, **options).schema
         if fmt != "parquet":  # a Parquet file's own types are widened by ``align``
             found = T.StructType([T.StructField(f.name, types.get(f.name.lower(), f.dataType)) for f in found.fields])
-        df = read_source(spark, files, fmt, found, comment=comment, merge_schema=True, base=base)
+        df = read_source(spark, files, fmt, found, **options)
         yield with_audit(df, "", "incremental").withColumn("_source_name", F.col("_metadata.file_path"))
 
 
@@ -69,7 +76,7 @@ def ingest_new_files(
     schema: T.StructType | str | None = None,
     fmt: str = "parquet",
     max_files_per_trigger: int | None = 10_000,
-    comment: str | None = "/",
+    **options,
 ) -> int:
     """Append the files of a folder that were not ingested before, then stop; gives the new rows.
 
@@ -77,9 +84,14 @@ def ingest_new_files(
     batch is read by the files' own headers, fitted to the stored schema (missing columns become NULL, new ones are added,
     types widen or are refused) and committed as one load that keeps the batch's number: a batch that is
     repeated after a failure either was committed and is passed over, or overwrites what the failure left.
-    ``schema`` gives types of columns; others are inferred, per batch, and fitted to the stored ones. CSV files are read once more for
-    their headers. ``max_files_per_trigger`` bounds the files, and so the list of names, of a batch.
+    ``schema`` gives types of columns; others are inferred, per batch, and fitted to the stored ones. Of CSV files the first block is read for
+    the header. ``max_files_per_trigger`` bounds the files, and so the list of names, of a batch. ``options`` are those of
+    ``read_source``: ``comment``, ``multi_line``, ``allow_comments``, ``sampling_ratio`` and ``merge_schema`` (which always holds here).
     """
+    unknown = set(options) - {"comment", "multi_line", "allow_comments", "sampling_ratio", "merge_schema"}
+    if unknown:
+        raise ValueError(f"no such options of file increments: {sorted(unknown)}")
+    options = {"comment": "/", **options}
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {sorted(FORMATS)}, not {fmt!r}")
     spark = lake.spark
@@ -104,7 +116,7 @@ def ingest_new_files(
         strings = [f for f in stored.fields if isinstance(f.dataType, T.StringType)] if stored else []
         known = {f.name.lower(): f for f in [*strings, *given.fields]}
         parts, merged = [], stored
-        for part in _read_files(spark, files, fmt, T.StructType(list(known.values())), base, comment):
+        for part in _read_files(spark, files, fmt, T.StructType(list(known.values())), base, options):
             if merged is not None:
                 part, merged = fit(part, merged)
             parts.append(part)

@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from stratalake import SourceSpec
 from stratalake.sources import jdbc
 from stratalake.sources.jdbc import JdbcTable, match_tables, read_jdbc
 
@@ -91,6 +92,24 @@ def test_given_bounds_and_empty_table(session):
     assert "partitionColumn" not in empty.read.calls[-1]
 
 
+@pytest.mark.parametrize("lower, hi, kind", [("1001", "1000", "int"), ("10.5", "9.5", "double"), ("2024-05-02", "'2024-05-01'", "date")])
+def test_a_watermark_above_the_source_asks_for_no_split(session, lower, hi, kind):
+    """Spark refuses bounds the wrong way round; the filter from the watermark on finds nothing."""
+    s = session(hi if kind == "date" else "1", hi, kind)
+    read_jdbc(s, SOURCE, partition_column="c", lower=lower)
+    assert "partitionColumn" not in s.read.calls[-1] and "lowerBound" not in s.read.calls[-1]
+
+
+def test_options_reach_the_scan_from_a_source_spec(session, spark):
+    s = session()
+    spec = SourceSpec(SOURCE, options={"predicates": ["c < 5", "c >= 5"], "fetch_size": 7})
+    spec.read(SimpleNamespace(spark=s))
+    (call,) = s.read.calls
+    assert call["predicates"] == ["c < 5", "c >= 5"] and call["properties"]["fetchsize"] == "7"
+    with pytest.raises(TypeError):
+        SourceSpec(SOURCE, options={"multi_line": True}).read(SimpleNamespace(spark=s))
+
+
 def test_predicates(session):
     s = session()
     read_jdbc(s, SOURCE, predicates=["mod(id, 2) = 0", "mod(id, 2) = 1"])
