@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,12 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     Parts are cut at quantiles of doc_id; the copies are one row per part. Rows of one doc_id (a null one comes last) are ordered by text.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = sorted({float(q) for q in slim.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)})
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    part = F.size(F.filter(bounds, lambda cut: cut >= F.col("doc_id")))
-    dealt = slim.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(part))
+    cuts = sorted({-float(q) for q in slim.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)})
+    # Searches the cuts, however many there are: the number of cuts at or above an id, greater ids first.
+    places = Bucketizer(splits=[-math.inf, *(cuts or [1e300]), math.inf], inputCol="place", outputCol="bucket")
+    dealt = places.transform(slim.withColumn("place", -F.coalesce("doc_id", F.lit(0)).cast("double")))
+    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.col("bucket").cast("int"))
+    dealt = dealt.select("doc_id", "text", part.alias("part"))
     ends = {r.part: r.top for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # one row per part
     filled = sorted(ends)
     before = {p: filled[i - 1] for i, p in enumerate(filled)}  # the first part follows the last
@@ -118,5 +122,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     dealt = in_order(docs, parts)
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), "text")
+    ordered = dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), "text")
     return ordered.mapInArrow(run, SCHEMA)
