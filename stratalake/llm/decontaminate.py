@@ -20,12 +20,10 @@ MASKS = ("1101011", "110010011")
 WINDOW = 20
 #: ... of which this share is equal, place by place.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Items of fewer words tell nothing and are not looked for.
-LEAST_WORDS = 5
 #: Items of up to so many words have masks of their own, for each choice of words that may be replaced.
 SHORT = 10
-#: Up to so many test hashes (about 20 bytes each) go to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many test hashes (four numbers each, about 100 bytes with what a hash table adds) go to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -57,13 +55,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item of which it holds a passage: doc_id, text_key, item_id, matched and window (words), doc_at (first word of the best window).
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text). Of repeated rows one match is returned. Null texts have no words; null ids are kept as ids. Other columns are
-    ignored. Items of fewer than ``LEAST_WORDS`` words match nothing; those of up to ``SHORT`` words are looked for as a whole, with every choice of replaced words. Of equally good windows the
+    ignored. Items without a word match nothing; those of up to ``SHORT`` words are looked for as a whole, with every choice of replaced words, which is none
+    below five words: such an item must stand there word for word. Of equally good windows the
     first counts.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), words(F.col("text")).alias("words"))
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item"))
-        .where(F.size("item") >= LEAST_WORDS)
+        .where(F.size("item") > 0)
         .distinct()
     )
     short = items.where(F.size("item") <= SHORT).select(F.size("item").alias("n")).distinct().collect()  # a few lengths at most
