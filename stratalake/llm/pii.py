@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 ROUNDS = 10
+#: Longer values are permuted in pieces of so many characters.
+PIECE = 512
 LETTERS, CAPITALS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Dates are permuted within these years.
 FIRST, LAST = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
@@ -96,8 +98,22 @@ def _alphabet(c: str) -> str:
     return DIGITS if c in DIGITS else LETTERS if c in LETTERS else CAPITALS if c in CAPITALS else c
 
 
+def _in_pieces(text: str, back: bool, change) -> str:
+    """A long value piece by piece, so that the work grows with its length; the tweak of a piece holds a digest of what stands before it in clear."""
+    out, before = [], b""
+    for at in range(0, len(text), PIECE):
+        piece = text[at : at + PIECE]
+        out.append(change(piece, f":{at}:{before.hex()}" if at else ""))
+        before = hashlib.blake2b(before + (out[-1] if back else piece).encode(), digest_size=16).digest()
+    return "".join(out)
+
+
 def _classes(feistel: Feistel, text: str, tweak: str, back: bool) -> str:
     """Letters to letters and digits to digits, each in its place; anything else stays."""
+    return _in_pieces(text, back, lambda piece, more: _piece_classes(feistel, piece, tweak + more, back))
+
+
+def _piece_classes(feistel: Feistel, text: str, tweak: str, back: bool) -> str:
     number, n = 0, 1
     sets = [_alphabet(c) for c in text]
     for c, letters in zip(text, sets, strict=True):
@@ -245,8 +261,7 @@ def _secret(f: Feistel, text: str, back: bool) -> str | None:
     if not any(c in DIGITS for c in text):
         return None
     if regex.fullmatch("[0-9a-f]+", text):
-        n = len(text)
-        return f"{f.permute(int(text, 16), 16**n, f'hex:{n}', back):0{n}x}"
+        return _in_pieces(text, back, lambda t, more: f"{f.permute(int(t, 16), 16 ** len(t), f'hex:{len(t)}{more}', back):0{len(t)}x}")
     return _classes(f, text, "secret", back)
 
 
