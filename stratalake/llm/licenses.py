@@ -158,14 +158,20 @@ def _segments(w: Column, low: int) -> Column:
     return let(_shingle_hashes(w), of)
 
 
+#: So much text of templates is sent to every executor; with the hashes of its segments it takes some fifty times as many bytes.
+BROADCAST_CHARS = 1 << 20
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = ALL, least: float = CONTAINMENT) -> DataFrame:
     """One row per document and license found in it: doc_id, text_key, license, containment (of its best form), shingles (of that form).
 
     ``containment`` is the share of the form's distinct word 5-grams that stand in the text; a form of under 5 words is one n-gram of all its words. Null texts hold none; null ids are kept; repeated rows give one row; other columns are
-    ignored. The templates are a parameter, so what goes to every executor has its size.
+    ignored. Templates of up to ``BROADCAST_CHARS`` characters in all, and their segments, go to every executor; more are joined by a shuffle.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates)
+    small = sum(len(form) for forms in templates.values() for form in forms) <= BROADCAST_CHARS
+    sent = F.broadcast if small else (lambda df: df)
     listed = [r.t_words for r in table.collect()]
     marked = lambda spans: F.array(*map(F.lit, spans)) if spans else F.array().cast("array<string>")
     spans = {size: anchors([t for t in listed if min(len(t), SHINGLE) == size], size, least) for size in sorted({SHINGLE, *(min(len(t), SHINGLE) for t in listed)})}
@@ -185,9 +191,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = ALL, least: float =
     segments = table.select("license", "form", F.explode(F.coalesce(*cut)).alias("b")).select("license", "form", *key).distinct()
     w = F.col("words")
     windows = F.concat(*(_bands(_windows(w, marks, low), low) for low in LEVELS), *(_grams(w, marked(spans[size]), size) for size in short))
-    hits = near.withColumn("words", told).select("doc_id", "text_key", F.explode(windows).alias("b")).select("doc_id", "text_key", *key).join(F.broadcast(segments), ["level", "band", "hash"])
+    hits = near.withColumn("words", told).select("doc_id", "text_key", F.explode(windows).alias("b")).select("doc_id", "text_key", *key).join(sent(segments), ["level", "band", "hash"])
     candidates = hits.select("doc_id", "text_key", "license", "form")
-    candidates = candidates.distinct().join(F.broadcast(table), ["license", "form"])
+    candidates = candidates.distinct().join(sent(table), ["license", "form"])
     # Only documents with an anchor have candidates; their texts, not their words, go through the shuffle.
     own = near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "text")
     checked = candidates.join(own, candidates["doc_id"].eqNullSafe(own["_id"]) & (candidates["text_key"] == own["_key"]))
