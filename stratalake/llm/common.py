@@ -136,12 +136,16 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.concat_tables(held)
 
 
+#: Tasks that share the edges of one node.
+SPREAD = 16
+
+
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); the root is the least node of the component.
 
     Alternates two steps until nothing changes: every node hands its least neighbour to the greater ones, then to
-    the smaller ones. Minima are combined before the shuffle, and each round is a written table of at most as
-    many rows as there were edges, so that a node of very many edges costs no task more than its share.
+    the smaller ones. Minima are combined before the shuffle; the edges of a node meet its least neighbour in ``SPREAD`` tasks, so a node that holds a
+    third of all edges puts that part of them on one task. Each round is a written table of at most as many rows as there were edges.
     An empty table gives an empty result; edges from a node to itself keep the node.
     """
     now = stored(edges.select("a", "b").distinct(), name)
@@ -149,7 +153,9 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = both.join(least, "a").where("b >= a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        # The edges of a node are dealt over SPREAD tasks for the join.
+        copies = least.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        large = both.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")).join(copies, ["a", "deal"]).where("b >= a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         now = stored(small.unionByName(low.select("a", F.col("least").alias("b"))).distinct(), name)
