@@ -8,7 +8,6 @@ document's score for a language is the mean of its words' probabilities.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -285,8 +284,3 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     from pyspark.sql.types import StructType
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(SCHEMA).fields]))
-
-
-def crc32_mod(doc_id: int) -> int:
-    """The remainder that ``held_out`` looks at, in plain Python."""
-    return zlib.crc32(str(doc_id).encode()) % 3

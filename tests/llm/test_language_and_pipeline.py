@@ -1,5 +1,6 @@
 import importlib
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -12,6 +13,11 @@ SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
 
 
+def crc32_mod(doc_id):
+    """The remainder that ``held_out`` looks at."""
+    return zlib.crc32(str(doc_id).encode()) % 3
+
+
 def test_forward_backward_against_all_label_sequences(monkeypatch):
     monkeypatch.setattr(langid, "BLOCK", 2)
     rng = np.random.default_rng(0)
@@ -40,7 +46,7 @@ def test_held_out_accuracy(spark, model):
     docs = read(spark, MEDIUM, "documents")
     told = langid.identify(docs.select("doc_id", "text"), model).withColumn("held_out", langid.held_out()).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(told) > 250 and sum(r.lang == r.lang_pred for r in told) >= 0.98 * len(told)
-    assert all(r.held_out == (langid.crc32_mod(r.doc_id) == 1) for r in told)
+    assert all(r.held_out == (crc32_mod(r.doc_id) == 1) for r in told)
 
 
 def test_switching_text_is_labelled_by_parts(spark, model):
@@ -61,7 +67,7 @@ def test_batches_chunks_and_blocks_change_nothing(model, monkeypatch):
 
 def test_labels_of_held_out_and_unlabelled_rows_are_not_seen(spark, documents):
     rows = [(i, f"{'aber und der ' if i % 2 else 'the and of '} number {i}", "de" if i % 2 else "en") for i in range(60)]
-    changed = [(i, t, "zz" if langid.crc32_mod(i) == 1 else lang) for i, t, lang in rows] + [(100, "some text", None), (101, None, "fr")]
+    changed = [(i, t, "zz" if crc32_mod(i) == 1 else lang) for i, t, lang in rows] + [(100, "some text", None), (101, None, "fr")]
     a, b = langid.learn(documents(rows)), langid.learn(documents(changed))
     assert (a.langs, a.langs) == (b.langs, ["de", "en"])
     assert all(lang != "zz" for _, lang in langid.sample(documents(changed)))
@@ -69,7 +75,7 @@ def test_labels_of_held_out_and_unlabelled_rows_are_not_seen(spark, documents):
 
 def test_every_label_is_learned(spark, documents):
     rows = [(3 * k + i, f"{chr(0x4E00 + k) * 3} {chr(0x4E00 + k) * 2} text", f"l{k:02d}") for k in range(70) for i in range(3)]
-    rows = [r for r in rows if langid.crc32_mod(r[0]) != 1] + [(1000 + i, f"word {i}", "en") for i in range(20)]
+    rows = [r for r in rows if crc32_mod(r[0]) != 1] + [(1000 + i, f"word {i}", "en") for i in range(20)]
     labels = sorted({lang for _, _, lang in rows})
     assert len(labels) > 64 and sorted({lang for _, lang in langid.sample(documents(rows))}) == labels
 
