@@ -21,10 +21,13 @@ HEADLINE = [
     "bronze_overwrite",
     "bronze_append_evolve",
     "bronze_incremental",
+    "bronze_compaction",
+    "bronze_two_writers",
     "stream_files",
     "silver_step",
     "silver_pk_filter",
     "silver_incremental",
+    "silver_upsert",
     "gold_revenue",
     "gold_left_expr",
     "gold_two_step",
@@ -32,6 +35,10 @@ HEADLINE = [
     "gold_full_using",
     "gold_star",
     "gold_plan",
+    "gold_plan_eager",
+    "gold_many_to_many",
+    "gold_distinct_sets",
+    "gold_incremental",
     "gold_ratio",
     "gold_count_distinct",
     "gold_case_rate",
@@ -40,6 +47,7 @@ HEADLINE = [
     "key_audit",
     "key_coverage",
     "catalog_tables",
+    "catalog_statistics",
     "sql_join_semi_anti",
     "sql_window_rank",
     "sql_cube",

@@ -2,7 +2,9 @@
 
 from stratalake.operators.bronze import load_bronze, with_audit
 from stratalake.operators.silver import build_silver, to_silver
+from stratalake.operators.upsert import latest_rows, upsert
 from stratalake.plans.gold import build_gold, run_gold, write_gold
+from stratalake.plans.incremental import refresh_gold
 from stratalake.plans.resolve import gold_from_columns, plan_from_columns, shared_keys
 from stratalake.plans.spec import GoldPlan, PlanError, plans_of
 from stratalake.plans.summary import auto_summary, run_summary, summary_plan
@@ -23,11 +25,13 @@ __all__ = [
     "build_silver",
     "gold_from_columns",
     "ingest_new_files",
+    "latest_rows",
     "load_bronze",
     "plan_from_columns",
     "plans_of",
     "read_jdbc",
     "read_source",
+    "refresh_gold",
     "run_gold",
     "run_layers",
     "run_summary",
@@ -35,6 +39,7 @@ __all__ = [
     "summary_plan",
     "tables_exist",
     "to_silver",
+    "upsert",
     "with_audit",
     "write_gold",
 ]

@@ -23,6 +23,10 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, _WHOLE + _FRACTION)
 
 
+def is_whole(dtype: T.DataType) -> bool:
+    return isinstance(dtype, _WHOLE)
+
+
 def is_temporal(dtype: T.DataType) -> bool:
     return isinstance(dtype, _TEMPORAL)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratalake.functions.names import silver_name, to_snake_case
 from stratalake.functions.schema import canonical_columns, infer_key
 from stratalake.operators.bronze import align
+from stratalake.operators.upsert import upsert
 from stratalake.sources.lake import Lake, Load, again_if_late
 
 
@@ -50,18 +51,21 @@ def build_silver(
     nested: str = "string",
     incremental: bool = False,
     partition_by: Sequence[str] = (),
+    latest_by: str | None = None,
 ) -> Load:
     """Bronze table -> Silver table of the same base name.
 
     The default rewrites the whole table. ``incremental`` reads only the Bronze loads that
     came after the last Silver run (partition pruning on the load id) and adds them; a
     replaced Bronze table is taken over in full again. A run that comes late, after another one's, looks again what is new.
+    With ``latest_by`` the table keeps one row per key, the one with the greatest value there (see ``upsert``).
     """
-    return again_if_late(lambda: _build_once(lake, bronze_table, pk, widen, keep_boolean, nested, incremental, partition_by))
+    return again_if_late(lambda: _build_once(lake, bronze_table, pk, widen, keep_boolean, nested, incremental, partition_by, latest_by))
 
 
 def _build_once(
-    lake: Lake, bronze_table: str, pk: str | None, widen: bool, keep_boolean: bool, nested: str, incremental: bool, partition_by: Sequence[str]
+    lake: Lake, bronze_table: str, pk: str | None, widen: bool, keep_boolean: bool, nested: str, incremental: bool, partition_by: Sequence[str],
+    latest_by: str | None,
 ) -> Load:
     table = silver_name(bronze_table)
     source = lake.latest("bronze", bronze_table)
@@ -72,6 +76,9 @@ def _build_once(
         return done
     bronze = lake.read("bronze", bronze_table, covered if add else None, load=source)
     silver = to_silver(bronze, pk, widen, keep_boolean, nested)
+    if latest_by is not None:
+        key, covers = pk or infer_key(bronze.schema), source.load_id if source else None
+        return upsert(lake, "silver", table, silver, key, latest_by, replace_all=not add, source_type="layer", source_name=bronze_table, source_load_id=covers)
     schema = None
     if add:
         silver, schema = align(silver, done.schema)

@@ -77,20 +77,14 @@ def build_gold(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    plan = GoldPlan.from_dict(plan)
-    plan.check(tables)
-    sides = _sides(tables, plan)
-    plan = _plain_texts(plan, sides, as_of)
-    plan = _known_columns(plan, sides, strict)
-    sides = [replace(s, df=_needed_columns(plan, sides, s)) for s in sides]
-
-    grouped = _grouped(plan, sides, J.left_join)
+    plan, sides = prepared(tables, plan, strict, as_of)
+    grouped = grouped_rows(plan, sides, J.left_join)
     if not plan.joins or strategy == "plain":
-        return _finished(plan, grouped)
+        return finished(plan, grouped)
 
     large = [s for s in sides[1:] if not J.is_broadcastable(s.df)]
     if strategy == "auto" and not large:
-        return _finished(plan, grouped)
+        return finished(plan, grouped)
     measured = _measured_side(plan, sides)
     if strategy == "auto":
         strategy = "two_step" if measured is not None else "eager" if _multiplies(plan, sides) else "spread"
@@ -107,8 +101,8 @@ def build_gold(
         grouped = _eager(plan, sides, {measured}, grouped.schema)
     else:
         spread = _spreading({s.key for s in large})
-        grouped = _grouped(plan, [replace(sides[0], df=J.dealt(sides[0].df)), *sides[1:]], spread)
-    return _finished(plan, grouped)
+        grouped = grouped_rows(plan, [replace(sides[0], df=J.dealt(sides[0].df)), *sides[1:]], spread)
+    return finished(plan, grouped)
 
 
 def write_gold(lake: Lake, df: DataFrame, destination: str) -> int:
@@ -127,6 +121,16 @@ def run_gold(lake: Lake, plan: dict | GoldPlan, **options) -> int:
 # -- preparing ------------------------------------------------------------------
 
 
+def prepared(tables: dict[str, DataFrame], plan: dict | GoldPlan, strict: bool, as_of: str | None) -> tuple[GoldPlan, list[Side]]:
+    """The checked plan and its tables, ready to join."""
+    plan = GoldPlan.from_dict(plan)
+    plan.check(tables)
+    sides = _sides(tables, plan)
+    plan = _plain_texts(plan, sides, as_of)
+    plan = _known_columns(plan, sides, strict)
+    return plan, [replace(s, df=_needed_columns(plan, sides, s)) for s in sides]
+
+
 def _sides(tables: dict[str, DataFrame], plan: GoldPlan) -> list[Side]:
     fact = tables[plan.fact].drop(BAD_RECORD)
     sides = [Side(plan.fact, fact)]
@@ -294,15 +298,20 @@ def _joined(plan: GoldPlan, sides: list[Side], left_join) -> DataFrame:
     return df
 
 
-def _grouped(plan: GoldPlan, sides: list[Side], left_join) -> DataFrame:
-    df = _filtered(_joined(plan, sides, left_join), plan.filters)
+def filtered_rows(plan: GoldPlan, sides: list[Side], left_join) -> DataFrame:
+    """The joined rows that are aggregated."""
+    return _filtered(_joined(plan, sides, left_join), plan.filters)
+
+
+def grouped_rows(plan: GoldPlan, sides: list[Side], left_join) -> DataFrame:
+    df = filtered_rows(plan, sides, left_join)
     return _analysed(
         "aggregates",
         lambda: df.groupBy(*map(quoted, plan.group_by)).agg(*[whole(a) for a in plan.aggregations]),
     )
 
 
-def _finished(plan: GoldPlan, df: DataFrame) -> DataFrame:
+def finished(plan: GoldPlan, df: DataFrame) -> DataFrame:
     renames = {
         a["from"]: a["to"]
         for a in plan.column_aliases

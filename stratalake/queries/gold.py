@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.operators.bronze import load_bronze
 from stratalake.operators.joins import full_join, spread_left_join
+from stratalake.operators.silver import build_silver
 from stratalake.plans.gold import build_gold
+from stratalake.plans.incremental import refresh_gold
 from stratalake.plans.resolve import gold_from_columns
 from stratalake.plans.spec import PlanError
 from stratalake.plans.summary import auto_summary
-from stratalake.queries.base import Registry, table, tables
+from stratalake.queries.base import Registry, new_lake, table, tables
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -569,3 +572,40 @@ def gold_from_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         on="c_custkey = o_custkey",
         conditions={"is_large": "total_o_totalprice > 500000000"},
     )
+
+
+@R.query("""
+    SELECT event_type, is_big, count(*) AS n, count(value) AS n_values, sum(value) AS total_value, avg(value) AS average_value, min(ts) AS first_at,
+           max(value) AS top, count(DISTINCT user_id) AS users, count(c_name) AS n_named
+    FROM (SELECT *, CASE WHEN value > 50 THEN 'yes' ELSE 'no' END AS is_big FROM events LEFT JOIN customer ON user_id = c_custkey)
+    WHERE event_type <> 'error' GROUP BY 1, 2
+""")
+def gold_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in three loads, each followed by a Gold run that reads only the new one."""
+    lake = new_lake(spark, "incremental-gold")
+    events = table(spark, sf_dir, "events")
+    plan = {
+        "source_tables": ["events_silver", "users_silver"],
+        "joins": [join("events_silver", "users_silver", "user_id")],
+        "pre_columns": [{"column": "is_big", "expression": "CASE WHEN value > 50 THEN 'yes' ELSE 'no' END"}],
+        "filters": ["event_type <> 'error'"],
+        "group_by": ["event_type", "is_big"],
+        "aggregations": [
+            agg("COUNT", "*", "n"),
+            agg("COUNT", "value", "n_values"),
+            agg("SUM", "value", "total_value"),
+            agg("AVG", "value", "average_value"),
+            agg("MIN", "ts", "first_at"),
+            agg("MAX", "value", "top"),
+            agg("COUNT DISTINCT", "user_id", "users"),
+            agg("COUNT", "c_name", "n_named"),
+        ],
+        "destination": "event_types",
+    }
+    load_bronze(lake, "users_bronze", table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "user_id"), "customer")
+    build_silver(lake, "users_bronze", pk="user_id", widen=True)
+    for i in range(3):
+        load_bronze(lake, "events_bronze", events.where(F.col("event_id") % 3 == i), "events", "incremental")
+        build_silver(lake, "events_bronze", pk="event_id", widen=True, incremental=True)
+        refresh_gold(lake, plan)
+    return lake.read("gold", "event_types")

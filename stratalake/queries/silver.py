@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.operators.bronze import load_bronze
+from stratalake.operators.bronze import data_columns, load_bronze
 from stratalake.operators.silver import build_silver, snake_case_columns, to_silver
 from stratalake.queries.base import Registry, new_lake, table
 
@@ -58,10 +58,16 @@ def silver_pk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_silver(table(spark, sf_dir, "events").withColumn("event_id", key))
 
 
-@R.query("SELECT CAST(conv_id AS INTEGER) AS conv_id, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY conv_id")
+@R.query("""
+    SELECT CAST(conv_id AS INTEGER) AS conv_id, true AS is_a_row, count(*) AS n
+    FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY conv_id
+""")
 def silver_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver = to_silver(table(spark, sf_dir, "conversations"), dedupe=True)
-    return silver.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    """One row per conversation; whichever it is, all its columns come from one turn."""
+    turns = to_silver(table(spark, sf_dir, "conversations"))
+    one = to_silver(table(spark, sf_dir, "conversations"), dedupe=True)
+    found = one.join(turns.distinct().withColumn("is_a_row", F.lit(True)), ["conv_id", "turn", "role", "text"], "left")
+    return found.groupBy("conv_id").agg(F.coalesce(F.bool_and("is_a_row"), F.lit(False)).alias("is_a_row"), F.count(F.lit(1)).alias("n"))
 
 
 @R.query("""
@@ -74,14 +80,15 @@ def silver_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""
-    SELECT CAST(vec_id AS INTEGER) AS vec_id, label,
-           CAST(len(embedding) AS INTEGER) AS dims
+    SELECT CAST(vec_id AS INTEGER) AS vec_id, label, '[' || array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(x * 100) AS INTEGER) AS VARCHAR)), ', ') || ']' AS embedding,
+           '{' || label || ', ' || vec_id || '}' AS pair
     FROM embeddings
 """)
 def silver_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays become text; counted here, as engines print floats differently."""
-    silver = to_silver(table(spark, sf_dir, "embeddings"))
-    return silver.select("vec_id", "label", F.size(F.split("embedding", ",")).alias("dims"))
+    """Arrays and structs become text; whole numbers here, as engines print floats differently."""
+    whole = F.transform("embedding", lambda x: F.floor(x * 100).cast("int"))
+    source = table(spark, sf_dir, "embeddings").withColumns({"embedding": whole, "pair": F.struct("label", "vec_id")})
+    return to_silver(source).select("vec_id", "label", "embedding", "pair")
 
 
 @R.query("""
@@ -99,3 +106,27 @@ def silver_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         build_silver(lake, "events_bronze", incremental=True)
     silver = lake.read("silver", "events_silver")
     return silver.drop("_ingestion_timestamp", "_source_name").withColumnRenamed("_load_mode", "load_mode")
+
+
+@R.query("""
+    SELECT o_orderkey, o_custkey,
+           CASE WHEN o_orderkey % 5 = 0 THEN 'X' WHEN o_orderkey % 3 = 0 THEN 'Y' ELSE o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 3 = 0 THEN o_totalprice - 1 ELSE o_totalprice END AS o_totalprice,
+           o_orderdate, o_orderpriority,
+           CAST(CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS revision
+    FROM orders
+""")
+def silver_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, a third change, and an older change that comes after it: the latest revision of each order stays."""
+    lake = new_lake(spark, "upsert")
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    changes = [
+        orders.withColumn("revision", F.lit(1)),
+        orders.where(key % 5 == 0).withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1, "revision": F.lit(3)}),
+        orders.where(key % 3 == 0).withColumns({"o_orderstatus": F.lit("Y"), "o_totalprice": F.col("o_totalprice") - 1, "revision": F.lit(2)}),
+    ]
+    for batch in changes:
+        load_bronze(lake, "orders_bronze", batch, "orders", "incremental")
+        build_silver(lake, "orders_bronze", pk="o_orderkey", widen=True, incremental=True, latest_by="revision")
+    return data_columns(lake.read("silver", "orders_silver"))

@@ -16,7 +16,7 @@ import datetime as dt
 import json
 import logging
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
@@ -37,6 +37,7 @@ LAYERS = ("bronze", "silver", "gold")
 STREAM = "stream"
 
 SEGMENT = "_segment"
+BUCKET = "_bucket"
 
 #: So many of a table's latest segments are merged at the least, and none of so many bytes or more.
 MERGE_AT_LEAST = 8
@@ -88,6 +89,8 @@ class Segment:
     bytes: int
     columns: dict = field(default_factory=dict)
     types: dict = field(default_factory=dict)
+    #: Of a keyed table: the buckets that still count, and their rows.
+    buckets: dict[str, int] | None = None
 
 
 @dataclass(frozen=True)
@@ -112,6 +115,8 @@ class Load:
     segments: tuple[Segment, ...] = field(default=(), compare=False)
     #: Segments that the table no longer has, and since when.
     dropped: tuple[tuple[str, dt.datetime], ...] = field(default=(), compare=False)
+    #: Of a keyed table: into how many buckets its keys are hashed.
+    n_buckets: int | None = field(default=None, compare=False)
 
     @property
     def table_rows(self) -> int:
@@ -198,9 +203,10 @@ class Lake:
         after_load: int | None = None,
         with_load_id: bool = False,
         load: Load | None = None,
+        buckets: Collection[int] | None = None,
     ) -> DataFrame:
         """A layer table as of its latest committed load (or the given one); with ``after_load``
-        only rows of later loads, for which no other segment is opened."""
+        only rows of later loads, for which no other segment is opened; of a keyed table with ``buckets`` only those."""
         path = self.path(layer, table)
         load = load or self.latest(layer, table)
         if load is None:  # files put there by hand
@@ -214,7 +220,10 @@ class Lake:
         df = None
         for segments in alike.values():
             written = T.StructType([T.StructField(f.name, T._parse_datatype_string(segments[0].types[f.name])) if f.name in segments[0].types else f for f in schema.fields])
-            part = self.spark.read.schema(written).option("basePath", path).parquet(*[f"{path}/{SEGMENT}={s.name}" for s in segments])
+            places = [place for s in segments for place in _places(path, s, buckets)]
+            if not places:
+                continue
+            part = self.spark.read.schema(written).option("basePath", path).parquet(*places).drop(BUCKET)
             part = part.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]) if written != schema else part
             df = part if df is None else df.unionByName(part)
         if df is None:
@@ -262,6 +271,8 @@ class Lake:
         """
         previous = previous or self.latest(layer, table)
         keep = mode == "incremental" and previous is not None
+        if keep and previous.n_buckets:
+            raise ValueError(f"{table} is kept by key; upsert into it")
         path = self.path(layer, table)
         if previous is None:
             self._clear_unlogged(path, mode)
@@ -304,10 +315,13 @@ class Lake:
             self.compact(layer, table, load)
         return load
 
-    def _write_segment(self, path: str, df: DataFrame, partition_by: Sequence[str], more: Sequence = ()) -> tuple[Segment, dict]:
+    def _write_segment(
+        self, path: str, df: DataFrame, partition_by: Sequence[str], more: Sequence = (), statistics: bool = True
+    ) -> tuple[Segment, dict]:
         name = f"s{uuid.uuid4().hex}"
         seen = Observation(name)
-        taken = metrics(df.schema) if self.statistics else []
+        statistics = statistics and self.statistics
+        taken = metrics(df.schema) if statistics else []
         if partition_by:
             # Cuts a crowded partition value over several tasks and merges small ones.
             df = df.hint("rebalance", *partition_by)
@@ -317,7 +331,7 @@ class Lake:
         writer.parquet(f"{path}/{SEGMENT}={name}")
         found = seen.get
         size = size_of(self.spark, f"{path}/{SEGMENT}={name}")
-        return Segment(name, 0, 0, found["rows"], size, collected(df.schema, found) if self.statistics else {}), found
+        return Segment(name, 0, 0, found["rows"], size, collected(df.schema, found) if statistics else {}), found
 
     def _on_top(self, load: Load, written: Segment, state: Load | None, mode: str) -> Load:
         """The load as the one after ``state``."""
@@ -344,6 +358,54 @@ class Lake:
             dropped=dropped,
         )
 
+    def write_upsert(
+        self,
+        layer: str,
+        table: str,
+        rows: DataFrame,
+        touched: Collection[int],
+        n_buckets: int,
+        changes: int,
+        previous: Load | None,
+        replace_all: bool = False,
+        **details,
+    ) -> Load:
+        """Commit the new rows (with ``_bucket``) of the touched buckets of a keyed table; all other buckets keep their files."""
+        path = self.path(layer, table)
+        if previous is None:
+            self._clear_unlogged(path, "full")
+        written, _ = self._write_segment(path, rows, [BUCKET], statistics=False)
+        schema = T.StructType([f for f in rows.schema.fields if f.name != BUCKET])
+        load_id = previous.load_id + 1 if previous else 1
+        counts = self.spark.read.parquet(f"{path}/{SEGMENT}={written.name}").groupBy(BUCKET).count().collect() if written.rows else []
+        written = replace(written, first=load_id, last=load_id, buckets={str(r[BUCKET]): r["count"] for r in counts})
+        kept, gone = [], []
+        for s in _as_written(previous, schema) if previous else ():
+            left = {} if replace_all else {b: n for b, n in s.buckets.items() if int(b) not in touched}
+            if left:
+                kept.append(replace(s, buckets=left, rows=sum(left.values())))
+            else:
+                gone.append((s.name, _now()))
+        load = Load(
+            load_id=load_id,
+            first_load_id=load_id,
+            mode="upsert",
+            rows=changes,
+            schema=schema,
+            partition_by=(BUCKET,),
+            last_ingested=_now(),
+            version=previous.version + 1 if previous else 1,
+            segments=(*kept, written),
+            dropped=(*(previous.dropped if previous else ()), *gone),
+            n_buckets=n_buckets,
+            **{"source_type": None, "source_name": None, "watermark_col": None, "last_watermark_value": None, **details},
+        )
+        load, expired = self._without_expired(load)
+        if not self._commit(layer, table, load):
+            raise ConcurrentLoad(f"{layer} table {table} has a new load")
+        self._delete(path, load, expired)
+        return load
+
     # -- segments ------------------------------------------------------------
 
     def compact(self, layer: str, table: str, load: Load | None = None, at_least: int = MERGE_AT_LEAST) -> Load | None:
@@ -354,7 +416,7 @@ class Lake:
         wins over the merge.
         """
         load = load or self.latest(layer, table)
-        if load is None:
+        if load is None or load.n_buckets:
             return None
         taken, size = 0, 0
         for n, segment in enumerate(reversed(load.segments), 1):
@@ -419,6 +481,13 @@ class Lake:
         return self.write_load(layer, table, df, "full", partition_by=partition_by).rows
 
 
+def _places(path: str, segment: Segment, buckets: Collection[int] | None) -> list[str]:
+    folder = f"{path}/{SEGMENT}={segment.name}"
+    if segment.buckets is None:
+        return [folder]
+    return [f"{folder}/{BUCKET}={b}" for b in segment.buckets if buckets is None or int(b) in buckets]
+
+
 def _changed(before: T.StructType, after: T.StructType) -> dict[str, str]:
     """The former types, by the column's name now, where they differ."""
     old = {f.name.lower(): f.dataType for f in before.fields}
@@ -444,6 +513,7 @@ def _manifest(load: Load, kind: str) -> str:
         "version": load.version,
         "segments": [asdict(s) for s in load.segments],
         "dropped": [(name, since.isoformat()) for name, since in load.dropped],
+        "n_buckets": load.n_buckets,
         "kind": kind,
     }
     return json.dumps(values)
@@ -458,6 +528,7 @@ def _load_of(text: str) -> Load:
         **values,
         last_ingested=dt.datetime.fromisoformat(stored["last_ingested"]),
         version=stored["version"],
+        n_buckets=stored["n_buckets"],
         segments=tuple(Segment(**s) for s in stored["segments"]),
         dropped=tuple((name, dt.datetime.fromisoformat(since)) for name, since in stored["dropped"]),
     )
