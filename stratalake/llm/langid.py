@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from stratalake.llm.common import SpanHash, code_points, kinds, runs
 
-#: Feature weights live in a table of this many rows (hashed).
-TABLE_BITS = 17
-#: The model is fitted on at most this many labelled documents per language (those of the smallest hash), ...
-SAMPLE_PER_LANG = 300
+#: Feature weights live in a table of this many rows (hashed), or of fewer so that it has no more than MOST_CELLS weights (from 65 languages on).
+TABLE_BITS, MOST_CELLS = 17, 1 << 23
+#: The model is fitted on at most this many labelled documents per language (those of the smallest hash), and on as many of each as make no more than
+#: SAMPLE_TEXTS of all languages (from 67 languages on, but one of each), ...
+SAMPLE_PER_LANG, SAMPLE_TEXTS = 300, 20_000
 #: ... and on at most this many words from the middle of each.
 SAMPLE_WORDS = 400
 #: Words per block in forward-backward, and words handled at once.
@@ -32,16 +33,30 @@ UNKNOWN = "und"
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # (2^TABLE_BITS, langs)
+    weights: np.ndarray  # (2^bits, langs)
     moves: np.ndarray  # (langs, langs), from a word to the next
 
+    @property
+    def bits(self) -> int:
+        return len(self.weights).bit_length() - 1
 
-def features(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def table_bits(n_langs: int) -> int:
+    """Of the rows of the table for so many languages."""
+    return max(1, min(TABLE_BITS, (MOST_CELLS // max(1, n_langs)).bit_length() - 1))
+
+
+def sample_size(n_langs: int) -> int:
+    """Texts of each language that the model is fitted on."""
+    return max(1, min(SAMPLE_PER_LANG, SAMPLE_TEXTS // max(1, n_langs)))
+
+
+def features(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = TABLE_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word, row of the table) arrays, one pair per kind of feature, for the words between ``starts`` and ``ends``."""
     span, index, lengths = SpanHash(points), np.arange(len(starts)), ends - starts
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((span(a, b) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+        return ((span(a, b) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
 
     for n in range(1, 5):
         long = np.flatnonzero(lengths > n)
@@ -60,7 +75,7 @@ def emissions(model: Model, points: np.ndarray, starts: np.ndarray, ends: np.nda
     """(words, langs) scores: the weights of a word's features, summed and divided by the root of their number."""
     n, m = len(starts), len(model.langs)
     out, count = np.zeros((n, m)), np.zeros(n)
-    for word, row in features(points, starts, ends):
+    for word, row in features(points, starts, ends, model.bits):
         found = model.weights[row]
         if len(word) <= n and (not len(word) or word[-1] < n and np.all(word[1:] > word[:-1])):
             out[word] += found
@@ -187,7 +202,7 @@ def fit(texts: list[tuple[str, str]], rounds: int = 3, seed: int = 7) -> Model:
     """
     langs = sorted({lang for _, lang in texts})
     m, rng = len(langs), np.random.default_rng(seed)
-    model = Model(langs, np.zeros((1 << TABLE_BITS, m)), np.zeros((m, m)))
+    model = Model(langs, np.zeros((1 << table_bits(m), m)), np.zeros((m, m)))
     pieces = []
     for text, lang in sorted(texts):
         points, starts, ends = words_of(text)
@@ -214,7 +229,7 @@ def fit(texts: list[tuple[str, str]], rounds: int = 3, seed: int = 7) -> Model:
             scores = emissions(model, points, starts, ends)
             error, pairs = posteriors(scores, np.array([len(truth)]), model.moves)
             error[np.arange(len(truth)), truth] -= 1.0
-            kinds_of = list(features(points, starts, ends))
+            kinds_of = list(features(points, starts, ends, model.bits))
             word, row = np.concatenate([w for w, _ in kinds_of]), np.concatenate([r for _, r in kinds_of])
             error /= np.sqrt(np.bincount(word, minlength=len(starts)))[:, None]
             used, place = np.unique(row, return_inverse=True)
@@ -234,10 +249,10 @@ def held_out(doc_id="doc_id"):
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """The labelled rows to fit on: of every language at most ``SAMPLE_PER_LANG`` different texts, chosen by a hash of text and label alone.
+    """The labelled rows to fit on: of every language at most ``sample_size`` different texts, chosen by a hash of text and label alone.
 
     Null ids are not held out, as they have no remainder. Copies of a text count once. Rows reach the driver only after each task kept its share, at most
-    ``SAMPLE_PER_LANG`` a language, and a piece of ``24 * SAMPLE_WORDS`` characters around the middle of each.
+    so many of each language, and a piece of ``24 * SAMPLE_WORDS`` characters around the middle of each.
     """
     pool = docs.where(~held_out()).where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"))
     size = 24 * SAMPLE_WORDS
@@ -245,11 +260,12 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
         "lang", "h", F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - size) / 2)).cast("int"), F.lit(size)).alias("text")
     )
     counts = keyed.select("lang", "h").distinct().groupBy("lang").count().collect()
+    wanted = sample_size(len(counts))
     # About twice the texts wanted pass the hash, so that few rows leave each task whatever their number.
-    least = [(lang, int(min(1.0, 2 * SAMPLE_PER_LANG / n) * (1 << 32))) for lang, n in counts]
+    least = [(lang, int(min(1.0, 2 * wanted / n) * (1 << 32))) for lang, n in counts]
     least = docs.sparkSession.createDataFrame(least, "lang string, least long")
     passed = keyed.join(F.broadcast(least), "lang").where(F.shiftrightunsigned("h", 32) < F.col("least")).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    top = passed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= SAMPLE_PER_LANG)
+    top = passed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= wanted)
     return [(r.text, r.lang) for r in top.select("text", "lang").collect()]
 
 

@@ -80,6 +80,18 @@ def test_every_label_is_learned(spark, documents):
     assert len(labels) > 64 and sorted({lang for _, lang in langid.sample(documents(rows))}) == labels
 
 
+def test_the_model_is_bounded_whatever_the_number_of_labels():
+    for n in (0, 1, 2, 4, 64, 65, 67, 1000, 100_000):
+        assert max(1, n) << langid.table_bits(n) <= max(langid.MOST_CELLS, 2 * n)
+        assert n * langid.sample_size(n) <= max(langid.SAMPLE_TEXTS, n)
+    assert [langid.table_bits(n) for n in (2, 64, 65)] == [17, 17, 16] and [langid.sample_size(n) for n in (2, 66, 200)] == [300, 300, 100]
+    texts = [(f"{chr(0x4E00 + k) * 3} {chr(0x4E00 + k) * 2} x", f"l{k:03d}") for k in range(130)]
+    model = langid.fit(texts, rounds=2)
+    assert model.weights.shape == (1 << 15, 130)
+    told = [t[0] for t in langid.predict(model, [t for t, _ in texts])]
+    assert sum(a == b for a, (_, b) in zip(told, texts, strict=True)) >= 110
+
+
 def test_copies_count_once_in_the_sample(spark, documents):
     rows = [(i, f"copy of text {i % k}", f"c{k}") for k in range(1, 9) for i in range(2000)]
     rows += [(i, f"other text {i}" if i % 10 == 0 else "the same text", "mixed") for i in range(10_000)]
