@@ -12,14 +12,15 @@ from stratalake.llm import bpe, decontaminate, langid, ngram_join, pii
 from stratalake.llm.common import read, stored
 from stratalake.llm.queries import PII_KEY
 
-#: Documents go whose best language has a smaller share of their words than this; ``und`` ones go as well.
-LEAST_SHARE = 0.3
+#: Documents go whose best language has a smaller share of their words than this many even shares; ``und`` ones go as well.
+EVEN_SHARES = 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those that look like no learned language."""
-    told = langid.identify(docs, langid.learn(docs.select("doc_id", "text", "lang")))
-    return told.where(f"lang_pred <> '{langid.UNKNOWN}' and score >= {LEAST_SHARE}").select(*docs.columns)
+    model = langid.learn(docs.select("doc_id", "text", "lang"))
+    least = EVEN_SHARES / len(model.langs) if len(model.langs) > 1 else 0.0
+    return langid.identify(docs, model).where(f"lang_pred <> '{langid.UNKNOWN}' and score >= {least}").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
