@@ -16,6 +16,7 @@ from stratalake.operators.catalog import (
     run_sql,
     table_statistics,
 )
+from stratalake.operators.follow import followed_key_audit, followed_key_coverage
 from stratalake.operators.quality import key_audit, key_coverage, orphans
 from stratalake.operators.silver import build_silver
 from stratalake.plans.gold import build_gold, write_gold
@@ -45,19 +46,49 @@ def key_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).withColumnRenamed("rows", "n")
 
 
-@R.query("""
+_COVERAGE_SQL = """
     SELECT count(user_id) AS rows_with_key,
            count(*) FILTER (user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS matched_rows,
            count(*) FILTER (user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS orphan_rows,
            count(DISTINCT user_id) FILTER (user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
                AS orphan_keys
     FROM events
-""", name="key_coverage")
+"""
+
+
+@R.query(_COVERAGE_SQL, name="key_coverage")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "customer").where("c_acctbal > 0")
     return key_coverage(table(spark, sf_dir, "events"), known, "user_id", "c_custkey")
 
 
+def _followed_lake(spark: SparkSession, sf_dir: str):
+    """Events in two loads and customers, asked after each load."""
+    lake = new_lake(spark, "followed")
+    events = table(spark, sf_dir, "events")
+    load_bronze(lake, "customer_bronze", table(spark, sf_dir, "customer").where("c_acctbal > 0"), "customer")
+    for half in (0, 1):
+        load_bronze(lake, "events_bronze", events.where(F.col("event_id") % 2 == half), "events", "incremental")
+        yield lake
+
+
+@R.query(_COVERAGE_SQL)
+def key_coverage_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage after each of two loads of events; the second time only the new load and its buckets are read."""
+    sides = ("bronze", "events_bronze", "user_id"), ("bronze", "customer_bronze", "c_custkey")
+    return [followed_key_coverage(lake, *sides, n_buckets=8) for lake in _followed_lake(spark, sf_dir)][-1]
+
+
+@R.query("""
+    SELECT count(*) AS n, CAST(count(*) - count(user_id) AS BIGINT) AS null_keys, count(DISTINCT user_id) AS distinct_keys,
+           (SELECT count(*) FROM (SELECT user_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) > 1)) AS duplicate_keys,
+           count(user_id) - count(DISTINCT user_id) AS surplus_rows FROM events
+""")
+def key_audit_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audits = [followed_key_audit(lake, "bronze", "events_bronze", "user_id", n_buckets=8) for lake in _followed_lake(spark, sf_dir)]
+    return audits[-1].withColumnRenamed("rows", "n")
+
+
 @R.query("""
     SELECT event_id, user_id, event_type FROM events
     WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal > 0)
