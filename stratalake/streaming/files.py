@@ -103,7 +103,8 @@ def ingest_new_files(
     added: list[int] = []
 
     def store(batch: DataFrame, number: int) -> None:
-        files = [row.path for row in batch.collect()]  # names, of at most max_files_per_trigger files
+        # Names, of at most max_files_per_trigger files; where one holds pattern characters the stream may name others twice.
+        files = sorted({row.path for row in batch.collect()})
         if files and (load := again_if_late(lambda: store_files(files, number))):
             added.append(load.rows)
 

@@ -42,6 +42,18 @@ def test_parquet_columns_grow(spark, tmp_path, lake):
     assert _rows(lake) == [(0, None), (1, None), (2, "x")]
 
 
+def test_a_file_named_twice_by_the_stream_is_taken_once(spark, tmp_path, lake):
+    """Beside a name with pattern characters Spark lists the others again."""
+    folder = tmp_path / "in"
+    for i, name in enumerate(("a [x]", "b", "c")):
+        spark.range(i, i + 1, 1, 1).write.parquet(str(tmp_path / name))
+        (part,) = (tmp_path / name).glob("*.parquet")
+        folder.mkdir(exist_ok=True)
+        part.rename(folder / f"{name}.parquet")
+    assert ingest_new_files(lake, str(folder), "t_bronze") == 3
+    assert _rows(lake) == [(0,), (1,), (2,)]
+
+
 def test_streamed_count_covers_all_batches(spark, tmp_path, lake):
     folder = str(tmp_path / "in")
     spark.range(0, 60, 1, 6).write.parquet(folder)
