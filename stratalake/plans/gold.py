@@ -19,7 +19,6 @@ from stratalake.operators import joins as J
 from stratalake.operators.aggregates import (
     ROWS,
     Aggregate,
-    Part,
     can_multiply,
     is_name,
     parts_of,

@@ -263,11 +263,14 @@ def sql_across_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query("SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 20)")
+@R.query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_orders, count(*) AS n_known FROM (SELECT * FROM orders LIMIT 20)")
 def sql_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statement the explorer starts with; which rows come is open, how many is not."""
+    """The statement the explorer starts with; which rows come is open, but not how many, that they differ, and that all their columns are a row's."""
     _views(spark, sf_dir, "orders")
-    return spark.sql(default_query("orders")).agg(F.count(F.lit(1)).alias("n"))
+    orders = table(spark, sf_dir, "orders")
+    known = orders.withColumn("known", F.lit(True))
+    found = spark.sql(default_query("orders")).join(known, orders.columns, "left")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_orders"), F.count("known").alias("n_known"))
 
 
 def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:

@@ -21,10 +21,6 @@ def _keys(lake, layer="bronze", table="t_bronze", key="k"):
     return sorted(r[0] for r in lake.read(layer, table).select(key).collect())
 
 
-def _ids(lo, hi):
-    return lambda spark: spark.range(lo, hi, 1, 1).toDF("k")
-
-
 # -- writers --------------------------------------------------------------------------
 
 
