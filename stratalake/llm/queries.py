@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stratalake.llm import bpe, chat, decontaminate, divergence, langid, licenses, ngram_join, pii, prefix_trie, token_files, url_filter, warc, winnow
 from stratalake.llm.common import read
