@@ -23,6 +23,8 @@ from stratalake.plans.gold import build_gold, write_gold
 from stratalake.plans.resolve import shared_columns, shared_keys
 from stratalake.queries.base import TABLES, Registry, new_lake, table, tables
 from stratalake.queries.gold import REVENUE
+from stratalake.sources.lake import Lake
+from stratalake.sources.storage import scratch_dir
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -186,7 +188,7 @@ _STATISTICS = {"orders": ("o_orderkey", "o_orderstatus", "o_orderdate"), "custom
 )
 def catalog_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the manifests tell of columns after two loads each; the estimate of distinct values beside their number."""
-    lake = new_lake(spark, "statistics")
+    lake = Lake(spark, scratch_dir(spark, "statistics"), statistics=True)
     exact = None
     for t, columns in _STATISTICS.items():
         rows = table(spark, sf_dir, t).select(*columns)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import datetime as dt
+from collections.abc import Collection
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -25,11 +26,11 @@ def _has_statistics(dtype: T.DataType) -> bool:
     return is_numeric(dtype) or is_temporal(dtype) or isinstance(dtype, (T.StringType, T.BooleanType))
 
 
-def metrics(schema: T.StructType) -> list[Column]:
-    """What to observe of each column."""
+def metrics(schema: T.StructType, wanted: bool | Collection[str] = True) -> list[Column]:
+    """What to observe of each column, or of the wanted ones."""
     out = []
     for i, f in enumerate(schema.fields):
-        if not _has_statistics(f.dataType):
+        if not _has_statistics(f.dataType) or wanted is not True and f.name not in (wanted or ()):
             continue
         column = F.col(f"`{f.name.replace('`', '``')}`")
         value = F.substring(column, 1, LEADING) if isinstance(f.dataType, T.StringType) else column
