@@ -45,6 +45,36 @@ def test_small_memo_changes_nothing(library):
     assert ours.encode(text) == library.encode_ordinary(text) and len(ours.words) <= 3
 
 
+def test_unknown_words_merge_together(library, monkeypatch):
+    ours, rng = bpe.Bpe(bpe.load_ranks(RANKS), public_tokenizers.PATTERN), random.Random(7)
+    alone = []
+    monkeypatch.setattr(ours, "merge", lambda cut: alone.append(cut) or bpe.Bpe.merge(ours, cut))
+    word = lambda: "".join(rng.choice(["in", "er", "th", "a", "e", "ß", "aaaa", "her", "7"]) for _ in range(rng.randrange(1, 12)))
+    texts = [" ".join(word() + rng.choice(["", ".", ",\n" + word()]) for _ in range(40)) + rng.choice(["", "\n", " "]) for _ in range(300)]
+    texts += [" " * n + "a  " + "x\n\n" * n for n in range(5)] + ["", " ", "q" * 600 + " " + "er" * 300]
+    got = [np.frombuffer(ids, "<i4").tolist() for ids in ours.encode_all(texts)]
+    assert got == [library.encode_ordinary(t) for t in texts]
+    assert {c.strip()[0] for c in alone} == {"q", "e"} and len(alone) == 2  # the long ones only
+    assert not any(ours.words_of_bits)  # drained
+
+
+def test_lower_rank_that_a_merge_makes_comes_first():
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 300, b"bc": 310, b"abcbc": 305, b"bcb": 306, b"cb": 320}
+    library = tiktoken.Encoding("small", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ours, rng = bpe.Bpe(ranks, public_tokenizers.PATTERN), random.Random(8)
+    for text in ["abcbcabcbc bcbcbc", *("".join(rng.choice("aabbbccc ") for _ in range(200)) for _ in range(200))]:
+        assert ours.encode(text) == library.encode_ordinary(text)
+
+
+def test_frequent_words_outlast_a_full_memo(monkeypatch):
+    ours, merged = bpe.Bpe(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, memo=40), []
+    monkeypatch.setattr(ours, "merge_together", lambda pieces: merged.extend(pieces) or bpe.Bpe.merge_together(ours, pieces))
+    for n in range(50):
+        ours.encode("the qxqzq " + " ".join(f"zqx{chr(97 + i)}w{chr(97 + n % 26)}{chr(97 + n // 26)}" for i in range(9)) + " qxqzq the")
+        assert len(ours.words) <= 2 * 40
+    assert merged.count(b" qxqzq") == 1
+
+
 def test_documents(spark, documents, library):
     for row in bpe.encode_documents(documents(ODD, extra=True), RANKS, public_tokenizers.PATTERN, with_ids=True).collect():
         texts = [t or "" for d, t in ODD if d == row.doc_id]
