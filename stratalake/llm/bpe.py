@@ -18,13 +18,15 @@ import sys
 from bisect import bisect
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from stratalake.llm.common import kept
+
 #: Longer pre-tokens and words are not kept in a memo.
 MEMO_CHARS = 40
 #: Longer pre-tokens go through a queue of their own.
@@ -297,14 +299,9 @@ class Bpe:
         return bytes(data[: ends[-1]])
 
 
-_LOADED: dict[tuple[str, str], Bpe] = {}
-
-
 def bpe_of(path: str, pattern: str) -> Bpe:
-    """The encoder of a rank file, loaded once per Python worker."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Bpe(load_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    """The encoder of a rank file, loaded once per Python worker and kept until it turns to another operator."""
+    return kept(("bpe", path, pattern), lambda: Bpe(load_ranks(path), pattern))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -334,23 +331,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path, pattern)
         for batch in batches:
-            counts, digests, all_ids = [], ([], []), []
+            at = 0
             for texts in _parts(batch.column(1)):
                 encoded = bpe.encode_all(texts)
-                counts.append(np.array([len(ids) // 4 for ids in encoded], np.int64))
-                ids, edges = np.frombuffer(b"".join(encoded), "<i4"), np.append(0, np.cumsum(counts[-1]))
-                for out, of, skip in ((digests[0], bpe.digits, 1), (digests[1], bpe.tokens, 0)):
+                counts = np.array([len(ids) // 4 for ids in encoded], np.int64)
+                ids, edges = np.frombuffer(b"".join(encoded), "<i4"), np.append(0, np.cumsum(counts))
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(counts)]
+                for of, skip in ((bpe.digits, 1), (bpe.tokens, 0)):
                     offsets, data = bpe.strings(of, ids)
                     bounds = offsets[edges].tolist()
-                    out.extend(hashlib.sha256(data[lo + skip : hi]).hexdigest() for lo, hi in zip(bounds, bounds[1:], strict=False))
+                    columns.append(pa.array([hashlib.sha256(data[lo + skip : hi]).hexdigest() for lo, hi in pairwise(bounds)], pa.string()))
                 if with_ids:
-                    all_ids.append(ids)
-            n_tokens = np.concatenate(counts or [np.zeros(0, np.int64)])
-            columns = [batch.column(0), pa.array(n_tokens), *(pa.array(d, pa.string()) for d in digests)]
-            if with_ids:
-                offsets = pa.array(np.append(0, np.cumsum(n_tokens)), pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(all_ids or [np.zeros(0, "<i4")]), pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                at += len(texts)
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,30 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(SpanHash(words)(starts, starts + size))
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from task to task (vocabularies, memos), made once; what it kept for another key goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+#: Bytes of text that an operator takes out of a batch at a time.
+SLICE_BYTES = 1 << 22
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of less than ``most`` bytes of the texts of one column after their first row: a batch has as many rows whatever their length."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // most)) + 1
+        for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key in turn, from batches sorted by the keys (which may not be null)."""
     held: list[pa.Table] = []

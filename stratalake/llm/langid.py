@@ -8,6 +8,7 @@ document's score for a language is the mean of its words' probabilities.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import SpanHash, code_points, kinds, runs
+from stratalake.llm.common import SpanHash, code_points, kept, kinds, runs, slices
 
 #: Feature weights live in a table of this many rows (hashed), or of fewer so that it has no more than MOST_CELLS weights (from 65 languages on).
 TABLE_BITS, MOST_CELLS = 17, 1 << 23
@@ -286,11 +287,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c not in {s.split()[0] for s in SCHEMA.split(", ")}]
     docs = docs.select(*names)
     text_at = names.index("text")
+    name = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(*sent.value)
-        for batch in batches:
+        known = kept(("langid", name), lambda: Model(*sent.value))
+        for batch in slices(batches, text_at):
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
             rows = [(lang, score, n, list(zip(known.langs, shares, strict=False))) for lang, score, n, shares in predict(known, texts)]
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]

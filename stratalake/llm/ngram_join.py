@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import components, grouped, mix, shingles, stored, text_key
+from stratalake.llm.common import components, grouped, kept, mix, shingles, slices, stored, text_key
 
 THRESHOLD = Fraction(4, 5)
 WORDS = 5
@@ -73,8 +73,8 @@ def signatures(docs: DataFrame, threshold: Fraction = THRESHOLD, words: int = WO
     bands, rows = bands_for(float(threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, place = _factors(bands * rows), np.arange(1, bands + 1, dtype=np.uint64)
-        for batch in batches:
+        factors, place = kept(("minhash", bands * rows), lambda: _factors(bands * rows)), np.arange(1, bands + 1, dtype=np.uint64)
+        for batch in slices(batches, 2):
             keys, sketches, hashes = [], [], []
             for text in batch.column(2):
                 items = shingles(text.as_py(), words)
@@ -251,7 +251,7 @@ def join_similar(docs: DataFrame, threshold: Fraction = THRESHOLD, words: int =
     )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 5):
             items = [shingles(t.as_py(), words).tobytes() for t in batch.column(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(items, pa.binary())], names=["set_key", "root", "block", "rows", "pairs", "items"])
 

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from stratalake.llm.common import kept, slices
+
 ROUNDS = 10
 #: Longer values are permuted in pieces of so many characters.
 PIECE = 512
@@ -343,8 +345,8 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, back: bool = False) -> D
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feistel = Feistel(key)
-        for batch in batches:
+        feistel = kept(("pii", key), lambda: Feistel(key))
+        for batch in slices(batches, at):
             texts, kinds = [], []
             for text in batch.column(at).to_pylist():
                 new, found = (None, []) if text is None else pseudonymise(text, feistel, back)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm.bpe import MEMO_CHARS
-from stratalake.llm.common import stored
+from stratalake.llm.common import kept, stored
 from stratalake.sources.storage import scratch_dir
 
 MAGIC = b"TIDS"
@@ -193,13 +193,8 @@ class WordEncoder:
         return ids
 
 
-_LOADED: dict[tuple[str, bool], WordEncoder] = {}
-
-
 def encoder_of(path: str, special_as_text: bool = False) -> WordEncoder:
-    if (path, special_as_text) not in _LOADED:
-        _LOADED[path, special_as_text] = WordEncoder(path, special_as_text=special_as_text)
-    return _LOADED[path, special_as_text]
+    return kept(("words", path, special_as_text), lambda: WordEncoder(path, special_as_text=special_as_text))
 
 
 def write_token_files(
