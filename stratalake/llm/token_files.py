@@ -152,7 +152,8 @@ class WordEncoder:
     Byte-level pre-tokenization never joins a word with a space that follows it, so a text's ids are those of its words, each with the space
     before it. The words of a text that the memo lacks go to the library as one text: the ids that begin with a space tell where each starts.
     Texts where a space follows or precedes other white space are handed over whole, as are those with the string of an added token and those that do
-    not come back in as many words. The string of a special token becomes that token's id, as the library does it; with ``special_as_text`` it is ordinary text.
+    not come back in as many words. No such word is in the memo, so only the words that it lacks are searched for them. The string of a special token becomes
+    that token's id, as the library does it; with ``special_as_text`` it is ordinary text.
     """
 
     def __init__(self, path: str, most: int = 1_000_000, special_as_text: bool = False):
@@ -161,8 +162,9 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
         self.library.no_truncation()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([BESIDE.pattern, *map(re.escape, filter(None, added))]))
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.whole = re.compile("|".join([BESIDE.pattern, *map(re.escape, added)]))
+        self.across = [a for a in added if " " in a]  # these are not found in single words
         vocabulary = self.library.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how byte-level tokens write a space
@@ -174,23 +176,30 @@ class WordEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text."""
-        if text.startswith(" ") or self.whole.search(text):
-            return self._ask(text)
         first, *words = text.split(" ")
+        if not first or any(a in text for a in self.across):
+            return self._ask(text)
         if len(self.memo) > self.most:
             self.memo.clear()
-        new = list(set(words).difference(self.memo))
-        asked = self._ask(" ".join([first, *new]))
+        found = list(map(self.memo.get, words))
+        gaps = [] if all(found) else [i for i, ids in enumerate(found) if ids is None]
+        new = list({words[i] for i in gaps})
+        asked_text = " ".join([first, *new])
+        # The last word of a text may end in white space, but what the memo takes must fit anywhere.
+        if self.whole.search(asked_text + " ." if words else asked_text):
+            return self._ask(text)
+        asked = self._ask(asked_text)
         starts = np.flatnonzero(self.spaced[asked])
         if len(starts) != len(new):
             return self._ask(text)
         cuts, data = [*(4 * starts).tolist(), 4 * len(asked)], asked.tobytes()
         self.memo.update(zip(new, [data[a:b] for a, b in pairwise(cuts)], strict=True))
-        ids = np.frombuffer(b"".join([data[: cuts[0]], *map(self.memo.__getitem__, words)]), dtype="<u4")
+        for i in gaps:
+            found[i] = self.memo[words[i]]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del self.memo[w]
-        return ids
+        return np.frombuffer(b"".join([data[: cuts[0]], *found]), dtype="<u4")
 
 
 def encoder_of(path: str, special_as_text: bool = False) -> WordEncoder:

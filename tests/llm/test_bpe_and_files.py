@@ -127,3 +127,20 @@ def test_words_encode_as_the_whole_text(as_text):
     texts = ["", " ", "a  b", "a \x1c b", "Ġ Ġa", "a <|endoftext|> b", "<|endoftext|>x <|endoftext|>"] + ["".join(rng.choice(signs, n)) for n in rng.integers(1, 60, 2000)]
     for text in texts:
         assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_known_words_are_searched_once():
+    class Searched:
+        def __init__(self, pattern):
+            self.pattern, self.texts = pattern, []
+
+        def search(self, text):
+            self.texts.append(text)
+            return self.pattern.search(text)
+
+    encoder, library = token_files.WordEncoder(JSON), Tokenizer.from_file(JSON)
+    encoder.whole = Searched(encoder.whole)
+    text = "one " + "two three " * 50 + "end"
+    for _ in range(2):
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [sorted(t.split()) for t in encoder.whole.texts] == [[".", "end", "one", "three", "two"], [".", "one"]]
